@@ -57,3 +57,31 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") ->
     """
     tag = F.xxhash64(F.col(key), F.lit(17))
     return left.withColumn("_tag", tag).join(right.withColumn("_tag", tag), [key, "_tag"], how).drop("_tag")
+
+
+def worker_cache(name: str, make):
+    """Something dear to build, kept for later tasks of the same Python worker."""
+    kept = sys.__dict__.setdefault("_arrayloom_kept", {})
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a vocabulary file of the installed collection is, on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def in_blocks(batches, budget: int):
+    """Slices of Arrow batches whose texts have about budget bytes; a longer text makes its own."""
+    for b in batches:
+        start = size = 0
+        for k, t in enumerate(b.column(1)):
+            size += len(t.as_py() or "")
+            if size >= budget:
+                yield b.slice(start, k + 1 - start)
+                start, size = k + 1, 0
+        if start < b.num_rows:
+            yield b.slice(start)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup
+from . import byte_bpe, exact_dedup, near_dedup, packing
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op6_packing": packing.op6_packing,
+    "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_minhash": near_dedup.op9_minhash,
 }
 
