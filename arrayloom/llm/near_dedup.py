@@ -6,10 +6,12 @@
    min_matches are candidates. Counting starts from short lists: with tokens in order of rising
    frequency, a pair with that many matches meets in the first 64 - min_matches + 1 tokens
    of both (prefix), and the long lists after it are skipped and probed by signature.
-3. Every posting links its members to its smallest member; links are confirmed on the full sets
-   and merged. Postings that still hold several components are compared in blocks, in numpy, and
-   pairs from different components with enough matches are confirmed the same way. So copies aren't
-   expanded into all pairs, and no pair over the match threshold is left out.
+3. Candidates are gathered into clusters: every posting links its members to its most central one,
+   by signature; postings that still hold several clusters are compared in blocks, which return
+   a spanning forest of their candidate pairs and not the pairs.
+4. Within a cluster, blocks of full shingle sets are intersected exactly, as a matrix product over
+   the shingles that two or more of them hold. Again a spanning forest of the links comes out. So
+   no link is left out, copies aren't expanded into pairs, and no group meets in one task.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, ship, skew_join, staged
 from .components import connected_components
-from .shingles import WordHashes, coefficients, jaccard_counts, shingle_set, signature
+from .shingles import WordHashes, coefficients, shingle_set, signature
 
 ship(__name__)
 
@@ -55,59 +57,123 @@ def _post(batches):
             yield pa.record_batch([pa.array(np.repeat(b.column(0).to_numpy(), COORDINATES)), pa.array((sig + coordinate).ravel())], names=["doc", "token"])
 
 
-def _confirm(width: int, percent: int):
-    """Rows (head, part, doc, text) sorted so that a head's own row precedes its documents."""
+def _groups(batches, keys: int):
+    """(key, columns as lists) of rows sorted by their first columns, over batch borders."""
+    key, held = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cuts = np.zeros(b.num_rows, bool)
+        for i in range(keys):
+            x = b.column(i).to_numpy(zero_copy_only=False)
+            cuts[1:] |= x[1:] != x[:-1]
+        starts = [0, *np.flatnonzero(cuts).tolist()]
+        for start, end in zip(starts, [*starts[1:], b.num_rows], strict=True):
+            part = b.slice(start, end - start)
+            now = tuple(part.column(i)[0].as_py() for i in range(keys))
+            if now != key and held:
+                yield key, pa.Table.from_batches(held)
+                held = []
+            key = now
+            held.append(part)
+    if held:
+        yield key, pa.Table.from_batches(held)
+
+
+def _forest(linked: np.ndarray, doc: np.ndarray) -> tuple[list, list]:
+    """Edges from the smallest doc of each component of a boolean matrix to its other docs."""
+    a, b, left = [], [], np.ones(len(doc), bool)
+    for i in np.argsort(doc):
+        if left[i]:
+            left[i] = False
+            front = np.array([i])
+            while len(front):
+                new = np.flatnonzero(linked[front].any(axis=0) & left)
+                left[new] = False
+                a += [int(doc[i])] * len(new)
+                b += doc[new].tolist()
+                front = new
+    return a, b
+
+
+def _edges(found):
+    """Arrow batches of (a, b), of about the same size."""
+    a, b = [], []
+    for x, y in found:
+        a += x
+        b += y
+        if len(a) > 10_000:
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            a, b = [], []
+    yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _sizes_allow(n: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n)
+
+
+def _agreeing(min_matches: int, percent: int):
+    """Rows (token, p, q, doc, n, sig): a forest of the candidate pairs in each block pair."""
+
+    def one(table):
+        doc, n = (table.column(i).to_numpy() for i in (3, 4))
+        sig = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint32).reshape(-1, COORDINATES)
+        same = np.zeros((len(doc), len(doc)), np.uint8)
+        for k in range(COORDINATES):
+            same += sig[:, k, None] == sig[:, k]
+        return _forest((same >= min_matches) & _sizes_allow(n, percent), doc)
+
+    return lambda batches: _edges(one(t) for _, t in _groups(batches, 3))
+
+
+def _similar(sets: list[np.ndarray], percent: int, width: int = 4096) -> np.ndarray:
+    """Which pairs of sets have the Jaccard similarity, exactly."""
+    n = np.array([len(x) for x in sets], np.int64)
+    value, place = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), n)
+    often = np.bincount(place, minlength=len(value)) > 1
+    number = np.cumsum(often) - 1
+    keep = often[place]
+    row, col = row[keep], number[place[keep]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    total = int(often.sum())
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, total, width):
+        a, b = np.searchsorted(col, (start, start + width))
+        x = np.zeros((len(sets), min(width, total - start)), np.float32)
+        x[row[a:b], col[a:b] - start] = 1
+        common += x @ x.T  # whole numbers under 2**24: exact
+    common = common.astype(np.int64)
+    return 100 * common >= percent * (n[:, None] + n - common)
+
+
+def _linked(shingles: int, percent: int):
+    """Rows (c, p, q, doc, text): a forest of the links in each block pair of a cluster."""
 
     def run(batches):
-        hashes, head, part, own = WordHashes(), None, None, None
-        for b in batches:
-            a, c = [], []
-            for h, p, d, t in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                s = shingle_set(t, width, hashes)
-                if (h, p) != (head, part):
-                    head, part, own = h, p, None
-                if d == h:
-                    own = s
-                elif own is not None:
-                    same, union = jaccard_counts(own, s)
-                    if union and 100 * same >= percent * union:
-                        a.append(h)
-                        c.append(d)
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
+        hashes = WordHashes()
+
+        def one(table):
+            doc = table.column(3).to_numpy()
+            return _forest(_similar([shingle_set(t, shingles, hashes) for t in table.column(4).to_pylist()], percent), doc)
+
+        yield from _edges(one(t) for _, t in _groups(batches, 3))
 
     return run
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int, per_task: int = 512) -> DataFrame:
-    """Of pairs (a, b), those whose full sets are similar; a head with very many partners is split."""
-    pairs = pairs.select("a", "b").distinct()
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / per_task).cast("int").alias("parts"))
-    dealt = skew_join(pairs, parts, "a", "inner").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("doc_id"))
-    heads = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("doc_id"))
-    wanted = staged(dealt.unionByName(heads))
-    texts = docs.select("doc_id", "text")
-    ids = wanted.select("doc_id").distinct()
-    rows = wanted.join(texts.join(ids, "doc_id", "left_semi"), "doc_id").select("a", "part", "doc_id", "text", (F.col("a") != F.col("doc_id")).alias("later"))
-    dealt = rows.repartition("a", "part").sortWithinPartitions("a", "part", "later")
-    return dealt.select("a", "part", "doc_id", "text").mapInArrow(_confirm(width, percent), "a long, b long")
-
-
-def _block_pairs(min_matches: int, percent: int):
-    """Within a block pair of a posting: pairs of different components that agree often enough."""
-
-    def run(table: pa.Table) -> pa.Table:
-        doc, comp, n, side = (table.column(k).to_numpy() for k in ("doc", "c", "n", "side"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
-        left, right = (np.flatnonzero(side <= 1), np.flatnonzero(side >= 1))
-        a, b = [], []
-        for i in left:
-            js = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-            js = js[(sig[js] == sig[i]).sum(axis=1) >= min_matches] if len(js) else js
-            a.append(np.minimum(doc[js], doc[i]))
-            b.append(np.maximum(doc[js], doc[i]))
-        return pa.table({"a": np.concatenate([*a, np.empty(0, np.int64)]).astype(np.int64), "b": np.concatenate([*b, np.empty(0, np.int64)]).astype(np.int64)})
+def _block_pairs(members: DataFrame, group: str, block: int) -> DataFrame:
+    """Deals members(group, m, doc, ...), m of them in the group, to pairs (p, q) of blocks.
 
-    return run
+    Any two members meet in a pair. A group of up to block members is the pair (0, 0).
+    """
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
+    other = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: (k != F.col("own")) | (F.col("blocks") == 1))
+    out = members.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(other))
+    rest = [c for c in members.columns if c not in (group, "m")]
+    return out.select(group, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), *rest)
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80, min_matches: int = 34, block: int = 1024) -> DataFrame:
@@ -130,29 +196,29 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, min_matc
     shared = skew_join(tokens, often, "token", "inner")
     room = COORDINATES - min_matches + 1
     lists = shared.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("t"))  # 64 at most
+    lists = lists.withColumn("shared", F.aggregate("t", F.lit(0.0), lambda s, x: s + F.log2(x["f"].cast("double"))))
     prefix = F.slice("t", 1, F.greatest(F.lit(0), room - (COORDINATES - F.size("t"))))
-    postings = staged(lists.select("doc", F.explode(prefix).alias("x")).select("doc", "x.token"))
+    postings = staged(lists.select("doc", "shared", F.explode(prefix).alias("x")).select("doc", "shared", "x.token"))
 
-    heads = postings.groupBy("token").agg(F.min("doc").alias("a"))
-    stars = skew_join(postings, heads, "token", "inner").where("a != doc").select("a", F.col("doc").alias("b")).distinct()
     sigs = classes.select("doc_id", "n", "sig")
-    stars = _enough(stars, sigs, min_matches, percent)
-    links = staged(_confirmed(known, stars, width, percent))
-    labels = connected_components(links)
+    heads = postings.groupBy("token").agg(F.max(F.struct("shared", (-F.col("doc")).alias("doc")))["doc"].alias("a"))
+    stars = skew_join(postings, heads.select("token", (-F.col("a")).alias("a")), "token", "inner").where("a != doc").select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")).distinct()
+    stars = staged(_enough(stars, sigs, min_matches, percent))
+    near = connected_components(stars)
 
-    placed = skew_join(postings, labels.select(F.col("v").alias("doc"), "c"), "doc").select("token", "doc", F.coalesce("c", "doc").alias("c"))
+    placed = skew_join(postings, near.select(F.col("v").alias("doc"), "c"), "doc").select("token", "doc", F.coalesce("c", "doc").alias("c"))
     state = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("who")).where("lo < hi")
-    open_ = state.groupBy("m", "who", "lo", "hi").agg(F.min("token").alias("token"))  # equal lists once
-    mixed = skew_join(placed, open_.select("token", "m"), "token", "inner").join(sigs.withColumnRenamed("doc_id", "doc"), "doc")
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    mixed = mixed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    # side 0: the lower block of a pair, 2: the higher, 1: both
-    mixed = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    mixed = mixed.select("token", "doc", "c", "n", "sig", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") == F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(2).alias("side"))
-    rest = mixed.groupBy("token", "p", "q").applyInArrow(_block_pairs(min_matches, percent), "a long, b long").distinct()
-    more = staged(_confirmed(known, rest, width, percent))
-    if not more.isEmpty():
-        labels = connected_components(links.unionByName(more))
+    open_ = state.groupBy("m", "who", "lo", "hi").agg(F.min("token").alias("token")).select("token", "m")  # equal lists once
+    mixed = skew_join(skew_join(placed, open_, "token", "inner").select("token", "m", "doc"), sigs.withColumnRenamed("doc_id", "doc"), "doc", "inner").select("token", "m", "doc", "n", "sig")
+    dealt = _block_pairs(mixed, "token", block).repartition("token", "p", "q").sortWithinPartitions("token", "p", "q")
+    more = staged(dealt.mapInArrow(_agreeing(min_matches, percent), "a long, b long").distinct())
+    clusters = staged(connected_components(stars.unionByName(more)).select("c", F.col("v").alias("doc")))
+
+    sizes = clusters.groupBy("c").agg(F.count("*").alias("m"))
+    members = skew_join(clusters, sizes, "c", "inner").select("c", "m", "doc")
+    texts = known.select(F.col("doc_id").alias("doc"), "text")
+    dealt = _block_pairs(members.join(texts, "doc"), "c", block // 2).repartition("c", "p", "q").sortWithinPartitions("c", "p", "q")
+    labels = connected_components(dealt.mapInArrow(_linked(width, percent), "a long, b long"))
 
     named = classes.select("set_hash", F.col("doc_id").alias("v")).join(labels, "v", "left").select("set_hash", F.coalesce("c", "v").alias("c"))
     out = skew_join(signed, named, "set_hash")

@@ -57,10 +57,3 @@ def signature(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         np.minimum(out, part.min(axis=0), out=out)
     return (out >> np.uint64(32)).astype(np.uint32)
 
-
-def jaccard_counts(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
-    """Intersection and union size of two sorted distinct arrays."""
-    both = np.concatenate((x, y))
-    both.sort()
-    same = int((both[1:] == both[:-1]).sum())
-    return same, len(x) + len(y) - same
