@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, line_dedup, near_dedup, packing, pii, quality, secrets
+from . import byte_bpe, exact_dedup, line_dedup, near_dedup, packing, pii, quality, secrets, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_packing": packing.op6_packing,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
