@@ -62,16 +62,14 @@ def _windows(lines: Column, min_words: int) -> Column:
     return let(lines, named)
 
 
-def line_dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """One row per document: doc_id, n_lines, n_removed, removed (line numbers), copied_from (doc_ids
-    whose copies stay), text (without the removed lines).
+def without_lines(text: Column, removed: Column) -> Column:
+    """The text without the lines of these numbers; empty if only blank lines are left."""
+    left = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(removed, i))
+    return let(left, lambda x: F.when(F.exists(x, lambda y: y.rlike(WORD)), F.array_join(x, "\n")).otherwise(""))
 
-    A run of lines is deleted where it has min_words words or more and stands earlier, by
-    (doc_id, line), in the corpus. Lines are compared whole; blank lines don't count and stay, unless
-    every line with words goes. Null text counts as empty. Rows that repeat doc_id and text are one
-    document, each returned; a null doc_id sorts first. Other columns are ignored; an empty table
-    gives no rows.
-    """
+
+def later_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
+    """(doc_id, key, removed, copied_from) of the documents that hold later copies; key hashes the text."""
     if min_words < 1:
         raise ValueError("min_words must be positive")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -83,22 +81,51 @@ def line_dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
     packed = again.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("i", "pos", "h", "w"))).alias("lines"))
     runs = packed.select("doc_id", "key", "lines", F.explode(_windows(F.col("lines"), min_words)).alias("r"))
     place = F.struct("doc_id", "key", F.get("lines", F.col("r.at"))["i"].alias("i"))
-    runs = staged(runs.select("doc_id", "key", place.alias("place"), F.transform(F.slice("lines", F.col("r.at") + 1, F.col("r.to") - F.col("r.at") + 1), lambda x: x["pos"]).alias("pos"), F.col("r.name").alias("name")))
+    covered = F.transform(F.slice("lines", F.col("r.at") + 1, F.col("r.to") - F.col("r.at") + 1), lambda x: x["pos"])
+    runs = staged(runs.select("doc_id", "key", place.alias("place"), covered.alias("pos"), F.col("r.name").alias("name")))
     first = runs.groupBy("name").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = skew_join(runs, first, "name", "inner").where("place > first")
-    gone = later.groupBy("doc_id", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("pos")))).alias("removed"), F.array_sort(F.collect_set("first.doc_id")).alias("copied_from"))
-    a, b = rows.alias("a"), gone.alias("b")
+    return later.groupBy("doc_id", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("pos")))).alias("removed"), F.array_sort(F.collect_set("first.doc_id")).alias("copied_from"))
+
+
+def line_dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
+    """One row per document: doc_id, n_lines, n_removed, removed (line numbers), copied_from (doc_ids
+    whose copies stay), text (without the removed lines).
+
+    A run of lines is deleted where it has min_words words or more and stands earlier, by
+    (doc_id, line), in the corpus. Lines are compared whole; blank lines don't count and stay, unless
+    every line with words goes. Null text counts as empty. Rows that repeat doc_id and text are one
+    document, each returned; a null doc_id sorts first. Other columns are ignored; an empty table
+    gives no rows.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn("key", F.xxhash64("text"))
+    a, b = rows.alias("a"), later_copies(docs, min_words).alias("b")
     out = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.key") == F.col("b.key")), "left")
-    left = let(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("removed", i)), lambda x: F.when(F.exists(x, lambda y: y.rlike(WORD)), F.array_join(x, "\n")).otherwise(""))
     return out.select(
         "a.doc_id",
         (F.regexp_count("a.text", F.lit("\n")) + 1).cast("long").alias("n_lines"),
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
         F.coalesce("copied_from", F.array().cast("array<bigint>")).alias("copied_from"),
-        F.when(F.col("removed").isNotNull(), left).otherwise(F.col("a.text")).alias("text"),
+        F.when(F.col("removed").isNotNull(), without_lines(F.col("a.text"), F.col("removed"))).otherwise(F.col("a.text")).alias("text"),
     )
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir))
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose the lines of later copies. A document whose every line with words is such a copy goes;
+    the columns stay as they are."""
+    names = docs.columns
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    gone = later_copies(docs)
+    rows = docs.withColumn("_key", F.xxhash64(text))
+    a, b = rows.alias("a"), gone.alias("b")
+    out = a.join(b, F.col("a.doc_id").cast("long").eqNullSafe(F.col("b.doc_id")) & (F.col("a._key") == F.col("b.key")), "left")
+    new = F.when(F.col("b.removed").isNotNull(), without_lines(F.col("a.text").cast("string"), F.col("b.removed"))).otherwise(F.col("a.text"))
+    out = out.select(*[F.col(f"a.`{c}`") for c in names if c != "text"], new.alias("text"), F.col("b.removed").isNotNull().alias("_cut"))
+    out = out.where(~F.col("_cut") | (F.col("text") != ""))
+    return out.select(*[F.when(F.col("_cut"), F.char_length("text").cast("long")).otherwise(F.col("n_chars")).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in names])

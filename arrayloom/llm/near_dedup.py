@@ -242,3 +242,13 @@ def _enough(pairs: DataFrame, sigs: DataFrame, min_matches: int, percent: int) -
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(documents(spark, sf_dir), width=2, percent=80)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: five-word shingles, similarity 0.8.
+
+    A document without words is alone in its group; a null doc_id is never a duplicate.
+    """
+    found = near_components(docs, width=5, percent=80)
+    gone = found.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, line_dedup, near_dedup, packing, pii, quality, secrets, toxicity
+from . import byte_bpe, exact_dedup, line_dedup, near_dedup, ngram_lm, packing, pii, quality, secrets, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_kneser_ney": ngram_lm.op2_kneser_ney,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
