@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SERIES = Window.partitionBy("run_id", "vox").orderBy("t")
+
+def series():
+    """A voxel's values in order of time."""
+    return Window.partitionBy("run_id", "vox").orderBy("t")
 
 
 def differences(df: DataFrame) -> DataFrame:
     """value[t+1] - value[t] at t; a series of n has n - 1."""
-    return df.select("run_id", "vox", F.lag("t").over(SERIES).alias("t"), (F.col("value") - F.lag("value").over(SERIES)).alias("delta")).where("t IS NOT NULL").select("run_id", "t", "vox", "delta")
+    return df.select("run_id", "vox", F.lag("t").over(series()).alias("t"), (F.col("value") - F.lag("value").over(series())).alias("delta")).where("t IS NOT NULL").select("run_id", "t", "vox", "delta")
 
 
 def first_values(df: DataFrame) -> DataFrame:
@@ -29,7 +32,7 @@ def integrate(deltas: DataFrame, firsts: DataFrame | None, t0: int = 0, until: i
     if firsts is None:
         firsts = deltas.select("run_id", "vox").distinct().withColumn("value", F.lit(0.0))
     start = firsts.select("run_id", "vox", F.lit(t0).alias("t"), F.col("value").alias("d"))
-    run = F.sum("d").over(SERIES.rowsBetween(Window.unboundedPreceding, 0))
+    run = F.sum("d").over(series().rowsBetween(Window.unboundedPreceding, 0))
     return start.unionByName(steps).select("run_id", "t", "vox", run.alias("value"))
 
 
@@ -39,9 +42,9 @@ def higher_difference(df: DataFrame, order: int = 1, kind: str = "forward", remo
         df = df.withColumn("value", F.col("value") - F.avg("value").over(Window.partitionBy("run_id", "vox")))
     for _ in range(order):
         step = {
-            "forward": F.lead("value").over(SERIES) - F.col("value"),
-            "backward": F.col("value") - F.lag("value").over(SERIES),
-            "central": (F.lead("value").over(SERIES) - F.lag("value").over(SERIES)) / 2,
+            "forward": F.lead("value").over(series()) - F.col("value"),
+            "backward": F.col("value") - F.lag("value").over(series()),
+            "central": (F.lead("value").over(series()) - F.lag("value").over(series())) / 2,
         }[kind]
         df = df.select("run_id", "t", "vox", step.alias("value")).where("value IS NOT NULL")
     return df
@@ -54,8 +57,8 @@ def rle_encode(df: DataFrame, value: str = "delta") -> DataFrame:
     through one row each: pos is where a run starts in the stream.
     """
     v = F.col(value)
-    changed = F.coalesce((v != F.lag(v).over(SERIES)).cast("int"), F.lit(1))
-    marked = df.select("run_id", "vox", "t", v.alias("value"), F.sum(changed).over(SERIES.rowsBetween(Window.unboundedPreceding, 0)).alias("part"))
+    changed = F.coalesce((v != F.lag(v).over(series())).cast("int"), F.lit(1))
+    marked = df.select("run_id", "vox", "t", v.alias("value"), F.sum(changed).over(series().rowsBetween(Window.unboundedPreceding, 0)).alias("part"))
     parts = marked.groupBy("run_id", "vox", "part").agg(F.first("value").alias("value"), F.count("*").alias("n"))
     of_voxel = parts.groupBy("run_id", "vox").agg(F.sum("n").alias("size"), F.max("part").alias("parts"), F.min_by("value", "part").alias("head"), F.max_by("value", "part").alias("tail"))
     by_run = Window.partitionBy("run_id").orderBy("vox")

@@ -46,7 +46,7 @@ def project(df: DataFrame, basis: DataFrame, key: str, components: int) -> DataF
 
 def _cells(basis: DataFrame, components: int) -> int:
     """Cells of a packed basis if they are known from a local table, else over the limit."""
-    size = int(basis._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(basis._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return size // 8
 
 

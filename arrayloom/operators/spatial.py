@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,11 +68,17 @@ def neighbour_pairs(voxels: DataFrame, dims) -> DataFrame:
     v = with_coordinates(voxels.select("vox"), dims)
     n = v.select(F.col("vox").alias("b"))
     steps = F.array(F.when(F.col("x") < dims[0] - 1, F.lit(1)), F.when(F.col("y") < dims[1] - 1, F.lit(dims[0])), F.when(F.col("z") < dims[2] - 1, F.lit(dims[0] * dims[1])))
-    return v.select(F.col("vox").alias("a"), (F.col("vox") + F.explode(F.array_compact(steps))).alias("b")).join(n, "b", "left_semi").select("a", "b")
+    pairs = v.select(F.col("vox").alias("a"), F.explode(F.array_compact(steps)).alias("step")).select("a", (F.col("a") + F.col("step")).alias("b"))
+    return pairs.join(n, "b", "left_semi").select("a", "b")
 
 
 def label_components(voxels: DataFrame, dims) -> DataFrame:
-    """(vox, label): components of 6-connected voxels, numbered from 1 in order of their first voxel."""
+    """(vox, label): components of 6-connected voxels, numbered from 1 in order of their first voxel.
+
+    A mask of up to kernel.max_series voxels is labelled by one task; a larger one by rounds of joins.
+    """
+    if voxels.select("vox").limit(option("kernel.max_series") + 1).count() <= option("kernel.max_series"):
+        return voxels.select("vox").distinct().coalesce(1).mapInArrow(lambda batches: _labelled(batches, dims), "vox int, label int")
     found = connected_components(neighbour_pairs(voxels, dims))
     rooted = voxels.select("vox").join(found.withColumnRenamed("v", "vox"), "vox", "left").select("vox", F.coalesce("c", "vox").alias("root"))
     roots = rooted.select("root").distinct()
@@ -79,6 +86,31 @@ def label_components(voxels: DataFrame, dims) -> DataFrame:
     return rooted.join(numbered, "root").select("vox", "label")
 
 
+def _labelled(batches, dims):
+    """Smallest-neighbour labels with pointer jumping, over whole arrays."""
+    vox = np.sort(np.concatenate([b.column(0).to_numpy() for b in batches] or [np.empty(0, np.int32)])).astype(np.int64)
+    steps = []
+    for step, room in ((1, vox % dims[0] < dims[0] - 1), (dims[0], vox // dims[0] % dims[1] < dims[1] - 1), (dims[0] * dims[1], np.ones(len(vox), bool))):
+        to = np.searchsorted(vox, vox + step)
+        hit = room & (to < len(vox))
+        hit[hit] = vox[to[hit]] == vox[hit] + step
+        steps.append((np.flatnonzero(hit), to[hit]))
+    label = np.arange(len(vox))
+    while True:
+        new = label.copy()
+        for a, b in steps:
+            np.minimum.at(new, label[a], label[b])
+            np.minimum.at(new, label[b], label[a])
+        while (new[new] != new).any():
+            new = new[new]
+        new = new[label]
+        if (new == label).all():
+            break
+        label = new
+    number = np.unique(label, return_inverse=True)[1] + 1 if len(vox) else label
+    yield pa.record_batch([pa.array(vox, pa.int32()), pa.array(number, pa.int32())], names=["vox", "label"])
+
+
 # ---- gradients -----------------------------------------------------------------------------------
 
 
