@@ -52,10 +52,12 @@ def exact_dedup(docs: DataFrame, prefix_bytes: int = 256, digest_all: bool = Tru
     if digest_all:
         survivors = by_length.join(prefixes, ["n", "prefix_hash"], "left_semi")
     else:
-        ids = by_length.join(prefixes, ["n", "prefix_hash"], "left_semi").select("doc_id").distinct()
-        full = _digests(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), prefix_bytes, True)
-        survivors = full
-        rows = rows.drop("text_sha256").join(full.select("doc_id", "text_sha256").distinct(), "doc_id", "left")
+        keys = ["n", "prefix_hash"]
+        ids = by_length.join(prefixes, keys, "left_semi").select("doc_id").distinct()
+        a, b = docs.select(F.col("doc_id").cast("long"), "text").alias("a"), ids.alias("b")
+        some = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "left_semi")
+        survivors = staged(_digests(some, prefix_bytes, True)).join(prefixes, keys, "left_semi")
+        rows = rows.join(prefixes, keys, "left_anti").unionByName(survivors)
     groups = survivors.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     out = skew_join(rows, groups, "text_sha256")
     keep = F.coalesce("keep_id", "doc_id")

@@ -231,6 +231,7 @@ def fit(docs: DataFrame, keys_a_shard: int = 4_000_000) -> Model:
             words = list(counts)
             h = np.append(word_hashes(words), np.uint64(Vocabulary.END))
             h, v = summed(h, np.append(np.fromiter(counts.values(), np.int64, len(words)), ends))
+            h, v = h[v > 0], v[v > 0]
             return _rows(_packed(0, shard_of(h, parts), h, v.astype(np.uint32)))
 
         for b in in_blocks(batches, 2_000_000):
