@@ -151,7 +151,7 @@ def from_numpy(spark: SparkSession, arrays: np.ndarray | dict[str, np.ndarray] |
     rows = []
     for r, a in arrays.items():
         lead = (*a.shape[:-1], 1, 1, 1)[:3] if a.ndim > 1 else (1, 1, 1)
-        flat = np.asarray(a, float).reshape((-1, a.shape[-1]), order="F") if a.ndim > 1 else np.asarray(a, float)[None, :]
+        flat = np.asarray(a, float).reshape((int(np.prod(lead)), a.shape[-1]), order="F")
         v, t = np.meshgrid(np.arange(flat.shape[0]), np.arange(flat.shape[1]), indexing="ij")
         rows += zip([r] * flat.size, t.ravel().tolist(), v.ravel().tolist(), flat.ravel().tolist(), strict=True)
     a = next(iter(arrays.values()))

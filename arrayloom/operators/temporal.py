@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..errors import InvalidInput, warn
 from ..functions import bases
-from ..functions.scalar import bayes_threshold, below_to_zero, dct_value, hard, noise_sigma, normal_tail, normal_upper, soft, universal_threshold
+from ..functions.scalar import bayes_threshold, below_to_zero, dct_value, hard, noise_sigma, normal_tail, soft, universal_threshold
 from . import linalg
 
 
@@ -89,7 +89,7 @@ def shrink(coef: DataFrame, kind: str, value: float | None = None, finest: DataF
 
 
 def fdr_cut(coef: DataFrame, sigma: float, alpha: float = 0.05) -> float | None:
-    """Benjamini-Hochberg over all coefficients: the largest p-value that is significant.
+    """Benjamini-Hochberg over all coefficients: the smallest |value| / sigma that is significant.
 
     p-values fall as |value| rises, so the rank test needs, for each distinct |value|, only the number of values
     at least as large; the answer is one number.
@@ -110,15 +110,15 @@ def fdr_cut(coef: DataFrame, sigma: float, alpha: float = 0.05) -> float | None:
     base = F.lit(0)
     for part, n in offset.items():
         base = F.when(F.col("part") == part, n).otherwise(base)
-    row = ranked.withColumn("rank", F.sum("m").over(before) + base).withColumn("p", p_value("z")).where(F.col("p") <= alpha * F.col("rank") / total).agg(F.max("p")).first()
+    row = ranked.withColumn("rank", F.sum("m").over(before) + base).withColumn("p", p_value("z")).where(F.col("p") <= alpha * F.col("rank") / total).agg(F.min("z")).first()
     return row[0] if row else None
 
 
 def fdr(coef: DataFrame, sigma: float, alpha: float = 0.05) -> DataFrame:
     """Zeroes what isn't significant; if nothing is, everything."""
-    p = fdr_cut(coef, sigma, alpha)
-    cut = float("inf") if p is None else normal_upper(p / 2) * sigma if p > 0 else 0.0
-    return coef.withColumn("value", F.when(F.abs("value") >= cut - 1e-12, F.col("value")).otherwise(0.0))
+    cut = fdr_cut(coef, sigma, alpha)
+    keep = F.lit(False) if cut is None else F.abs("value") / sigma >= cut
+    return coef.withColumn("value", F.when(keep, F.col("value")).otherwise(0.0))
 
 
 def _series_kernel(df: DataFrame, schema: str, kernel) -> DataFrame:

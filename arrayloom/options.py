@@ -207,8 +207,11 @@ def merged(base: Mapping[str, Any], *more: Mapping[str, Any]) -> dict[str, Any]:
     return out
 
 
-def resolve_parameters(type: str, given: Mapping[str, Any] | None = None, strict: bool = True) -> dict[str, Any]:
-    """Defaults, then options under the step's type, then what is given."""
+def resolve_parameters(type: str, given: Mapping[str, Any] | None = None, strict: bool = True, checked: bool = True) -> dict[str, Any]:
+    """Defaults, then options under the step's type, then what is given.
+
+    Names are always checked; values unless checked is false; strict also wants the required ones.
+    """
     known = _schema.steps.get(type)
     if known is None:
         raise NoMethod(f"no step type {type!r}", "resolve_parameters", type=type)
@@ -217,6 +220,6 @@ def resolve_parameters(type: str, given: Mapping[str, Any] | None = None, strict
         raise InvalidParameters(f"unknown parameters of {type}: {', '.join(unknown)}", "resolve_parameters", type=type)
     out = merged(default_parameters(type), _options.get(type) or {}, given)
     for k, p in known.items():
-        if strict or out.get(k) is not None:
+        if checked and (strict or out.get(k) is not None):
             p.check(k, out.get(k))
     return out

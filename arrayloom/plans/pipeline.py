@@ -35,7 +35,7 @@ class Pipeline:
 
     def add_step(self, type: str, parameters: dict[str, Any] | None = None, at: int | None = None) -> Pipeline:
         given = {k: v for k, v in (parameters or {}).items() if v is not None}
-        step = Step(type, resolve_parameters(type, given, strict=False))
+        step = Step(type, resolve_parameters(type, given, strict=False, checked=False))
         self.steps.insert(len(self.steps) if at is None else at, step)
         return self
 
@@ -66,7 +66,7 @@ class Pipeline:
                     new[name] = defaults[name]
             else:
                 new[name] = value
-        self.steps[k] = Step(s.type, resolve_parameters(s.type, new, strict=False))
+        self.steps[k] = Step(s.type, resolve_parameters(s.type, new, strict=False, checked=False))
         return self
 
     def remove_step(self, which: int | str) -> Pipeline:

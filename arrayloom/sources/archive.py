@@ -266,6 +266,13 @@ def frame_of(spark: SparkSession, path: str, m: dict | None = None) -> ArrayFram
     return ArrayFrame(stored_values(spark, path), tuple(m["dims"]), m["n_time"], mask, space, m.get("rank", 4))
 
 
+def changed_axes(d: dict) -> set[str]:
+    """Axes of the array that a step's output no longer has as they were."""
+    if d["type"] == "delta" and d["params"].get("axis") == 1:
+        return {"vox", "t"}  # the frame is turned: its series run through space
+    return set(get_transform(d["type"]).changes.split())
+
+
 def _output(df: DataFrame, dtype: str) -> DataFrame:
     if dtype == "float16":
         raise Float16Unsupported("half precision isn't a column type", "read_archive:output_dtype")
@@ -299,13 +306,17 @@ def read_archive(spark: SparkSession, path: str, run_id=None, roi=None, times: S
     region = subset.roi_table(frame, roi) if roi is not None else None
     points = [int(t) for t in times] if times is not None else None
     kept = [d for d in steps if d["type"] not in skipped]
-    moved = {a for d in kept for a in get_transform(d["type"]).changes.split()}
+    moved = {a for d in kept for a in changed_axes(d)}
     if region is not None and "vox" not in moved and not any(d["params"].get("coding_method") == "rle" for d in kept):
         df = subset.select_voxels(df, region)
     if points is not None and "t" not in moved:
         df = df.where(F.col("t").isin(points or [-1]))
-    for d in reversed(kept):
-        context = Context(spark, step_name(d["index"], d["type"]), d["index"], d["params"], frame, m["n_time"], frame.n_vox, lambda name: load_dataset(spark, path, name), region, tuple(points) if points else None)
+    for place in range(len(kept) - 1, -1, -1):
+        d = kept[place]
+        # a step may use the selection where no step before it has changed what the axis means
+        before = {a for e in kept[:place] for a in changed_axes(e)}
+        own_region, own_times = None if "vox" in before else region, tuple(points) if points and "t" not in before else None
+        context = Context(spark, step_name(d["index"], d["type"]), d["index"], d["params"], frame, m["n_time"], frame.n_vox, lambda name: load_dataset(spark, path, name), own_region, own_times)
         df = run_step("inverse", d["type"], context, df)
     if region is not None:
         df = subset.select_voxels(df, region)
