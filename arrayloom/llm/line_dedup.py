@@ -44,9 +44,16 @@ def _windows(lines: Column, min_words: int) -> Column:
             n = F.size(a)
             index = F.sequence(F.lit(0), n - 1)
             # sums is increasing: the ends and starts of the shortest runs, at most min_words lines away
-            ahead = F.transform(index, lambda i: i + let(F.slice(sums, i + 2, min_words), lambda s: F.size(F.filter(s, lambda x: x < F.get(sums, i) + min_words))))
-            back = F.transform(index, lambda i: i - let(F.slice(sums, F.greatest(i - min_words + 2, F.lit(1)), F.least(i + 1, F.lit(min_words))), lambda s: F.size(F.filter(s, lambda x: x > F.get(sums, i + 1) - min_words))))
-            pairs = F.array_distinct(F.concat(F.transform(index, lambda i: F.struct(i.alias("at"), F.get(ahead, i).alias("to"))), F.transform(index, lambda i: F.struct(F.get(back, i).alias("at"), i.alias("to")))))
+            def ahead(i: Column) -> Column:
+                rest = let(F.get(sums, i) + min_words, lambda goal: F.size(F.filter(F.slice(sums, i + 2, min_words), lambda x: x < goal)))
+                return F.struct(i.alias("at"), (i + rest).alias("to"))
+
+            def back(i: Column) -> Column:
+                before = F.slice(sums, F.greatest(i - min_words + 2, F.lit(1)), F.least(i + 1, F.lit(min_words)))
+                rest = let(F.get(sums, i + 1) - min_words, lambda goal: F.size(F.filter(before, lambda x: x > goal)))
+                return F.struct((i - rest).alias("at"), i.alias("to"))
+
+            pairs = F.array_distinct(F.concat(F.transform(index, ahead), F.transform(index, back)))
             whole = F.filter(pairs, lambda p: (p["at"] >= 0) & (p["to"] < n) & (F.get(a, p["to"])["i"] - F.get(a, p["at"])["i"] == p["to"] - p["at"]))
 
             def name(p: Column) -> Column:
