@@ -118,3 +118,21 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+SQL = (
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS t, " + _WORDS.format("coalesce(text, '')") + " AS w FROM documents), "
+    "g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) > 2), g2 AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM g), "
+    "r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM g2, range(3) x(k) WHERE n > 1 GROUP BY doc_id), "
+    "l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d), "
+    r"f AS (SELECT doc_id, x, len(" + _WORDS.format("x") + r") AS w, length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) AS size, "
+    r"len(list_filter(regexp_split_to_array(x, '[\x20\x09]'), lambda y: y IN ('|', '»', '›', '·', '•', '/', '::', '>>'))) AS bars, "
+    r"length(regexp_replace(x, '[^#*$%&|<>{}\[\]\\^~=_]', '', 'g')) AS symbols, len(regexp_extract_all(x, '!!+')) AS shouts, regexp_matches(x, '(?i)" + "|".join(BOILERPLATE) + "') AS boiler FROM l), "
+    "v AS (SELECT doc_id, x, w, (bars >= 3 AND bars * 4 >= w) OR symbols > size * 0.1 OR (shouts >= 3 AND shouts >= w * 0.5) OR (w <= 20 AND boiler) AS fails FROM f), "
+    "k AS (SELECT doc_id, coalesce(sum(w) FILTER (NOT fails), 0) AS left_words, count(*) FILTER (w > 0) - count(DISTINCT x) FILTER (w > 0) AS dup FROM v GROUP BY doc_id), "
+    r"b AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, k.dup::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, k.left_words FROM d JOIN k USING (doc_id) LEFT JOIN r USING (doc_id)), "
+    "c AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b) "
+    "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND left_words >= n_words * 0.5 AS kept FROM c"
+)

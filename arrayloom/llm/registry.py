@@ -19,4 +19,6 @@ QUERIES = {
 
 ORACLES = {
     "op3_exact_dedup": exact_dedup.SQL,
+    "op7_quality_rules": quality.SQL,
+    "op9_minhash": near_dedup.SQL,
 }
