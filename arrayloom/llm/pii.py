@@ -124,3 +124,35 @@ def sanitised(text: Column, spans: Column) -> Column:
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii(documents(spark, sf_dir))
+
+
+def _sql() -> str:
+    from .secrets import _sql_spans
+
+    email = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+    ip, card = r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", r"[0-9](?:[\x20-]?[0-9])+"
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    double = "list_sum(list_transform(range(1, length(q) + 1), lambda i: CASE WHEN (length(q) - i) % 2 = 1 THEN (q[i]::INT * 2) // 10 + (q[i]::INT * 2) % 10 ELSE q[i]::INT END))"
+    context = (
+        "SELECT b.doc_id, b.e, origin + coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start, m[i] AS m "
+        f"FROM (SELECT doc_id, e, origin, m, p, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, e, origin, regexp_extract_all(part, '{TERM}') AS m, regexp_split_to_array(part, '{TERM}') AS p FROM c WHERE regexp_matches(part, '{TERM}'))) b"
+    )
+    return (
+        "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), "
+        f"i AS ({_sql_spans('ip', 1, ip)}), k AS (SELECT *, {digits} AS q FROM ({_sql_spans('card', 2, card)})), f AS (SELECT * FROM ({_sql_spans('phone', 3, PHONE)}) WHERE length({digits}) BETWEEN 8 AND 15), "
+        f"b0 AS ({_sql_spans('email', 0, email)} UNION ALL SELECT * FROM i WHERE len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(x AS BIGINT), 0) > 255)) = 0 "
+        f"UNION ALL SELECT doc_id, start, rank, m, kind FROM k WHERE length(q) BETWEEN 16 AND 19 AND {double} % 10 = 0 UNION ALL SELECT * FROM f), "
+        "b AS (SELECT *, start + length(m) AS stop, concat(kind, ':', CASE rank WHEN 0 THEN lower(m) WHEN 1 THEN m ELSE regexp_replace(m, '[^0-9]', '', 'g') END) AS e FROM b0), "
+        f"c AS (SELECT b.doc_id, e, greatest(start - {CONTEXT}, 0) AS origin, substring(t, greatest(start - {CONTEXT}, 0) + 1, start - greatest(start - {CONTEXT}, 0)) AS part FROM b JOIN d USING (doc_id) UNION ALL SELECT b.doc_id, e, stop, substring(t, stop + 1, {CONTEXT}) FROM b JOIN d USING (doc_id)), "
+        f"t0 AS ({context}), t1 AS (SELECT DISTINCT doc_id, e, lower(m) AS term, start, start + length(m) AS stop FROM t0 WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = t0.doc_id AND b.start < t0.start + length(t0.m) AND t0.start < b.stop)), "
+        "j AS (SELECT e, term, count(DISTINCT doc_id) AS n FROM t1 GROUP BY ALL HAVING count(DISTINCT doc_id) >= 2), n_e AS (SELECT e, count(DISTINCT doc_id) AS n_e FROM t1 GROUP BY e), "
+        f"n_t AS (SELECT term, count(*) AS n_t FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(t), '{TERM}')) AS term FROM d) GROUP BY term), "
+        "g AS (SELECT e, term FROM j JOIN n_e USING (e) JOIN n_t USING (term), (SELECT count(*) AS n_all FROM d) WHERE n / n_t >= 0.5 AND log2(n / n_t * n_all / n_e) >= 5.0), "
+        "s AS (SELECT doc_id, rank, start, stop, kind FROM b UNION ALL SELECT DISTINCT doc_id, 4, start::BIGINT, stop::BIGINT, 'term' FROM t1 JOIN g USING (e, term)), "
+        "a AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_email, count(*) FILTER (rank = 1) AS n_ip, count(*) FILTER (rank = 2) AS n_card, count(*) FILTER (rank = 3) AS n_phone, count(*) FILTER (rank = 4) AS n_term, "
+        "coalesce(string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY rank, start) FILTER (rank < 4), '') AS base, string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY rank, start) AS spans FROM s GROUP BY doc_id) "
+        "SELECT d.doc_id, " + ", ".join(f"coalesce(n_{x}, 0)::BIGINT AS n_{x}" for x in KINDS) + ", sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)"
+    )
+
+
+SQL = _sql()

@@ -18,7 +18,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_secret_scan": secrets.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
     "op7_quality_rules": quality.SQL,
     "op9_minhash": near_dedup.SQL,
+    "op10_pii": pii.SQL,
 }

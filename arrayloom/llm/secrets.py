@@ -109,3 +109,29 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(documents(spark, sf_dir))
+
+
+def _sql_spans(kind: str, rank: int, pattern: str, least: int = 0, group: int = 0) -> str:
+    """Rows (doc_id, start, rank, stop, kind, m): lengths of the pieces between matches give the places."""
+    p = pattern.replace("'", "''")
+    return (
+        f"SELECT doc_id, (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start, {rank} AS rank, m[i] AS m, '{kind}' AS kind "
+        f"FROM (SELECT doc_id, m, g, p, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {group}) AS g, regexp_split_to_array(t, '{p}') AS p FROM d WHERE regexp_matches(t, '{p}'))) WHERE length(g[i]) >= {least}"
+    )
+
+
+_ALLOWED = " OR ".join(f"regexp_matches(m, '{p}')" for p in ALLOW)
+
+SQL = (
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), "
+    f"b AS ({_sql_spans('assign', 0, ASSIGN, 12, 1)} UNION ALL {_sql_spans('access', 1, ACCESS)} UNION ALL {_sql_spans('hex', 2, HEX)}), "
+    f"c AS (SELECT * FROM ({_sql_spans('entropy', 3, CANDIDATE)}) x WHERE regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND NOT ({_ALLOWED}) "
+    "AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = x.doc_id AND b.start < x.start + length(x.m) AND x.start < b.start + length(b.m))), "
+    f"w AS (SELECT doc_id, start, m, unnest(range(1, length(m) - {WINDOW} + 2)) AS i FROM c), "
+    f"h AS (SELECT doc_id, start, i, log2({WINDOW}.0) - sum(n * log2(n)) / {WINDOW} AS bits FROM (SELECT doc_id, start, i, ch, count(*) AS n FROM (SELECT doc_id, start, i, unnest(string_split(m[i:i + {WINDOW - 1}], '')) AS ch FROM w) GROUP BY ALL) GROUP BY ALL), "
+    f"e AS (SELECT c.* FROM c JOIN (SELECT doc_id, start, max(bits) AS bits FROM h GROUP BY ALL) USING (doc_id, start) WHERE bits >= CASE WHEN regexp_matches(m, '^[0-9A-Fa-f]+$') THEN {BITS['hex']} WHEN regexp_matches(m, '^[A-Za-z0-9]+$') THEN {BITS['alnum']} ELSE {BITS['base64']} END), "
+    "s AS (SELECT *, concat(kind, ':', start, ':', start + length(m)) AS x FROM (SELECT * FROM b UNION ALL SELECT * FROM e)), "
+    "a AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex, count(*) FILTER (rank = 3) AS n_entropy, "
+    "coalesce(string_agg(x, ',' ORDER BY start, rank) FILTER (rank < 3), '') AS base, string_agg(x, ',' ORDER BY start, rank) AS spans FROM s GROUP BY doc_id) "
+    "SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_entropy, 0)::BIGINT AS n_entropy FROM d LEFT JOIN a USING (doc_id)"
+)
