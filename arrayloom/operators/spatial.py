@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..errors import DimensionMismatch, InvalidInput, warn
+from ..functions.kernels import sobel_magnitude
 from ..functions.scalar import kernel, morton, morton_bits
 from ..model import with_coordinates
 from ..options import option
@@ -115,28 +116,50 @@ def _labelled(batches, dims):
 
 
 def sobel(df: DataFrame, dims) -> DataFrame:
-    """Gradient magnitude of 3-D Sobel filters, border 0: (run_id, t, vox, value).
+    """Gradient magnitude of 3-D Sobel filters: (run_id, t, vox, value) for every voxel there is.
 
-    The filters are separable: one pass along each axis smooths (1, 2, 1) and differentiates (-1, 0, 1). Each
-    pass is a window over lines of one axis, so no row is copied to its 26 neighbours.
+    It is 0 where one of the 26 neighbours is absent. Volumes of up to kernel.max_series cells go whole to a task,
+    each (run, time) on its own; larger ones are filtered by windows along the axes.
     """
+    return _sobel_volumes(df, dims) if int(np.prod(dims)) <= option("kernel.max_series") else sobel_by_windows(df, dims)
+
+
+def _sobel_volumes(df: DataFrame, dims) -> DataFrame:
+    packed = df.groupBy("run_id", "t").agg(F.collect_list("vox").alias("vox"), F.collect_list("value").alias("value"))
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                at, x = (b.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (2, 3))
+                volume = np.full(int(np.prod(dims)), np.nan)
+                volume[at] = x
+                out = sobel_magnitude(volume.reshape(dims, order="F")).ravel(order="F")[at]
+                yield pa.record_batch([pa.array([b.column(0)[i].as_py()] * len(at), pa.string()), pa.array(np.full(len(at), b.column(1)[i].as_py(), np.int32)), pa.array(at, pa.int32()), pa.array(out)], names=["run_id", "t", "vox", "value"])
+
+    return packed.mapInArrow(run, "run_id string, t int, vox int, value double")
+
+
+def sobel_by_windows(df: DataFrame, dims) -> DataFrame:
+    """As sobel. The filters are separable: one pass along each axis smooths (1, 2, 1) and differentiates
+    (-1, 0, 1), as a window over lines of that axis, so no row is copied to its 26 neighbours."""
     v = with_coordinates(df, dims)
 
     def along(axis: str, columns: dict[str, tuple[str, str]]):
         others = [c for c in "xyz" if c != axis]
         w = Window.partitionBy("run_id", "t", *others).orderBy(axis)
+        near = (F.lag(axis).over(w) == F.col(axis) - 1) & (F.lead(axis).over(w) == F.col(axis) + 1)
         out = {}
         for name, (source, how) in columns.items():
             back, ahead, here = F.lag(source).over(w), F.lead(source).over(w), F.col(source)
-            out[name] = back + 2 * here + ahead if how == "smooth" else ahead - back
+            out[name] = F.when(near, back + 2 * here + ahead if how == "smooth" else ahead - back)
         return out
 
+    # slopes skip the middle cell; sums that don't tell whether it was there
     v = v.withColumns(along("x", {"sx": ("value", "smooth"), "dx": ("value", "slope")}))
     v = v.withColumns(along("y", {"gx": ("dx", "smooth"), "gy": ("sx", "slope"), "gz": ("sx", "smooth")}))
-    last = along("z", {"a": ("gx", "smooth"), "b": ("gy", "smooth"), "c": ("gz", "slope")})
-    v = v.withColumns(last)
+    v = v.withColumns(along("z", {"a": ("gx", "smooth"), "b": ("gy", "smooth"), "c": ("gz", "slope"), "all": ("gz", "smooth")}))
     size = F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b") + F.col("c") * F.col("c"))
-    return v.select("run_id", "t", "vox", F.coalesce(size, F.lit(0.0)).alias("value"))
+    return v.select("run_id", "t", "vox", F.when(F.col("all").isNotNull(), F.coalesce(size, F.lit(0.0))).otherwise(0.0).alias("value"))
 
 
 def edge_map(gradient: DataFrame, voxels: DataFrame | None = None, k: float = 3.0) -> DataFrame:

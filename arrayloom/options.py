@@ -44,7 +44,7 @@ DEFAULTS: dict[str, Any] = {
     # limits of this engine: what may be broadcast or held by one task
     "broadcast.max_cells": 4_000_000,
     "kernel.max_features": 4_096,
-    "kernel.max_series": 1_000_000,
+    "kernel.max_series": 4_000_000,
 }
 
 _options: dict[str, Any] = copy.deepcopy(DEFAULTS)
