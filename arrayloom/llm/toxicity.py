@@ -90,15 +90,16 @@ def _log_tail(k: int, x: int, p: float) -> float:
 
 def distinct_examples(signatures: list[bytes]) -> list[int]:
     """Indices of texts that aren't near copies of an earlier one, by MinHash of their words."""
-    seen: dict[tuple[int, int], list[int]] = {}
-    rows, kept = [np.frombuffer(x, np.uint32) for x in signatures], []
-    for i, sig in enumerate(rows):
-        rivals = {j for k in range(_COORDINATES) for j in seen.get((k, int(sig[k])), ())}
-        if any((rows[j] == sig).sum() >= _COORDINATES // 2 for j in rivals):
+    held, kept = np.empty((_COORDINATES, len(signatures)), np.uint32), []
+    for i, sig in enumerate(np.frombuffer(x, np.uint32) for x in signatures):
+        n = len(kept)
+        same = np.zeros(n, np.uint8)
+        for k in range(_COORDINATES):
+            same += held[k, :n] == sig[k]
+        if n and same.max() >= _COORDINATES // 2:
             continue
+        held[:, n] = sig
         kept.append(i)
-        for k in range(_COORDINATES):
-            seen.setdefault((k, int(sig[k])), []).append(i)
     return kept
 
 
