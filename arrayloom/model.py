@@ -82,7 +82,7 @@ def promoted_dims(dims: Iterable[int]) -> tuple[int, ...]:
 
 
 #: Least rank of an array by the first step's type.
-MIN_RANK = {"delta": 1, "quant": 1, "basis": 2, "embed": 2}
+MIN_RANK = {"delta": 1, "quant": 1, "quant_refactored": 1, "basis": 2, "embed": 2}
 
 
 def min_rank(type: str | None, masked: bool = False) -> int:

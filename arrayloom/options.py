@@ -175,6 +175,7 @@ STEPS: dict[str, dict[str, Parameter]] = {
     },
     "embed.transfer_hrbf_basis": {"source_archive": Parameter(kind=str, required=True), "source_descriptor": Parameter(kind=str, required=True), "center_data_with": Parameter(kind=str), "scale_data_with": Parameter(kind=str)},
 }
+STEPS["quant_refactored"] = STEPS["quant"]
 STEPS["embed.pca"] = STEPS["embed.hrbf_analytic"] = STEPS["embed"]
 
 

@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..errors import ContractError, DataQuality, DimensionMismatch, InvalidInput, MaskMismatch, NotSupported, StepError, StepReturnError, ValidationError, warn
+from ..errors import ContractError, DataQuality, DimensionMismatch, DuplicateKey, InvalidInput, MaskMismatch, NotSupported, StepError, StepReturnError, ValidationError, warn
 from ..functions import bases
 from ..model import ArrayFrame
 from ..operators import codecs, haar, linalg, quant, runs, spatial, temporal
-from ..options import STEPS, option
+from ..options import STEPS, Parameter, option
 from .registry import get_transform, register_transform
 
 
@@ -66,6 +66,39 @@ class Context:
         return self.spark.range(self.frame.n_vox).select(F.col("id").cast("int").alias("vox"))
 
 
+class StepBuilder:
+    """Collects what a forward step returns, with checks; for steps defined by users."""
+
+    def __init__(self, context: Context):
+        self.context, self._sets, self._parameters, self._report = context, {}, {}, None
+
+    def parameter(self, name: str, kind: type | tuple[type, ...] | None = None, low: float | None = None, high: float | None = None, choices: tuple = ()) -> Any:
+        """A parameter's value, checked."""
+        value = self.context.parameters.get(name)
+        Parameter(None, choices, low, high, kind, required=True).check(name, value)
+        return value
+
+    def dataset(self, name: str, df: DataFrame, role: str, dtype: str = "float64") -> StepBuilder:
+        """Adds a table under the step's own folder."""
+        path = self.context.path(name)
+        if path in self._sets:
+            raise DuplicateKey(f"two datasets {path}", "StepBuilder.dataset", self.context.index)
+        self._sets[path] = Dataset(df, role, dtype)
+        return self
+
+    def store(self, **parameters: Any) -> StepBuilder:
+        """Parameters that the inverse needs."""
+        self._parameters |= parameters
+        return self
+
+    def report(self, text: str) -> StepBuilder:
+        self._report = text
+        return self
+
+    def result(self, df: DataFrame) -> Result:
+        return Result(df, self._sets, self._parameters, self._report)
+
+
 def run_step(direction: str, type: str, context: Context, df: DataFrame):
     """Looks the step up, runs it and says where a failure came from."""
     f = getattr(get_transform(type, direction), direction)
@@ -326,7 +359,13 @@ def _edges(c: Context, df: DataFrame) -> DataFrame | None:
     e = c.parameters.get("edge_adaptive")
     if not e:
         return None
-    g = spatial.sobel(spatial.self_mean(df), c.frame.dims)
+    if e.get("source", "self_mean") == "structural_path":
+        volume = c.load(e["structural_path"])
+        if affine := e.get("affine"):  # from voxels of the array to voxels of the volume
+            volume = spatial.resample(volume, tuple(e["structural_dims"]), c.frame.dims, np.array(affine, float).reshape(4, 4))
+        g = spatial.sobel(volume, c.frame.dims)
+    else:
+        g = spatial.sobel(spatial.self_mean(df), c.frame.dims)
     return spatial.edge_map(g, c.mask(), e.get("edge_thresh_k", option("edge.thresh_k"))).groupBy("vox").agg(F.max("edge").alias("edge"))
 
 
@@ -463,6 +502,7 @@ def _transfer_inverse(c: Context, df: DataFrame) -> DataFrame:
 def _register() -> None:
     table = {
         "quant": (_quant_forward, _quant_inverse, "compression", "", 1, ("roi", "time")),
+        "quant_refactored": (_quant_forward, _quant_inverse, "compression", "", 1, ("roi", "time")),
         "delta": (_delta_forward, _delta_inverse, "compression", "t", 1, ("roi", "time")),
         "basis": (_basis_forward, _same, "dimensionality", "", 2, ("roi", "time")),
         "embed": (_embed_forward, _embed_inverse, "dimensionality", "vox", 2, ("roi", "time")),

@@ -280,3 +280,41 @@ def test_selection_reaches_the_scan(spark, frame, tmp_path):
     text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
     assert "PushedFilters" in text and "In(t, [2])" in text or "EqualTo(t,2)" in text
     assert "PartitionFilters" in text and "run-01" in text
+
+
+def test_step_builder(spark, frame, tmp_path):
+    from arrayloom.plans.steps import StepBuilder
+
+    def forward(c, df):
+        by = StepBuilder(c).parameter("by", (int, float), low=0.1)
+        return StepBuilder(c).dataset("used", df.limit(1), "sample").store(kept=by * 2).result(df.withColumn("value", F.col("value") * by))
+
+    registry.register_transform("times", forward, lambda c, df: df.withColumn("value", F.col("value") * 2 / c.parameters["kept"]), parameters={"by": options.Parameter(3.0), "kept": options.Parameter()}, force=True)
+    path = archive.write_archive(frame, str(tmp_path / "a"), ["times"])
+    assert np.allclose(values(archive.read_archive(spark, path), frame), source(frame)) and archive.load_dataset(spark, path, "00_times/used").count() == 1
+    with pytest.raises(errors.InvalidParameters):
+        archive.write_archive(frame, str(tmp_path / "b"), [("times", {"by": 0.0})])
+    registry.remove_transform("times")
+
+
+def test_edges_from_a_stored_volume(spark, tmp_path):
+    x = np.zeros((6, 6, 6, 2))
+    x[3:, :, :, :] = 5.0
+    f = model.from_numpy(spark, x)
+    registry.register_transform("volume", lambda c, df: Result(df, {"structure": __import__("arrayloom.plans.steps", fromlist=["Dataset"]).Dataset(df.where("t = 0"), "structure")}), lambda c, df: df, parameters={}, force=True)
+    p = {"sigma0": 2.0, "levels": 0, "edge_adaptive": {"source": "structural_path", "structural_path": "structure", "edge_thresh_k": 0.5, "density_factor": 2.0}}
+    path = archive.write_archive(f, str(tmp_path / "a"), ["volume", ("spat.hrbf", p)])
+    plain = archive.write_archive(f, str(tmp_path / "b"), [("spat.hrbf", {"sigma0": 2.0, "levels": 0})])
+    k = [archive.descriptors(spark, q)[-1]["params"]["k_actual"] for q in (path, plain)]
+    assert k[0] > k[1]
+    registry.remove_transform("volume")
+
+
+def test_kernels_can_be_switched_off():
+    from arrayloom.functions import perf
+
+    assert perf.gradient_form((64, 64, 64)) == "volume"
+    perf.use_kernels(False)
+    assert perf.gradient_form((2, 2, 2)) == "windows"
+    perf.use_kernels(True)
+    assert perf.time_kernel(16, 1) > 0
