@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import InvalidInput, NotSupported
 from ..functions.scalar import snr_db
 from ..model import check_finite
 from .subset import small
@@ -84,23 +81,35 @@ def snr(df: DataFrame, params: DataFrame, sample: float | None = None) -> DataFr
     return by.groupBy("run_id").agg(F.avg(snr_db(F.col("v"), F.col("scale"))).alias("snr_db"))
 
 
-def report(df: DataFrame, params: DataFrame, codes: DataFrame, bits: int, method: str, scope: str, sample: float | None = None) -> str:
-    """The quantisation report as JSON; a few numbers and 2^bits counts reach the driver."""
-    out = {"report_version": "1.0", "bits": bits, "method": method, "scale_scope": scope, "runs": {}}
-    for r in clip_stats(codes).collect():
-        out["runs"][r.run_id] = {"n_clipped_total": r.n_clipped, "clip_pct": r.clip_pct}
+def local(params: DataFrame) -> DataFrame:
+    """Parameters of a global scope as a local table: a row a run, and there are at most 100 runs."""
+    rows = params.collect()
+    return params.sparkSession.createDataFrame([tuple(r) for r in rows], params.schema)
+
+
+def report(df: DataFrame, params: DataFrame, codes: DataFrame, bits: int, method: str, scope: str, sample: float | None = None) -> dict:
+    """The quantisation report. A few numbers a run and 2^bits counts reach the driver.
+
+    Up to 8 bits, codes are counted by run in one pass for both the histogram and the clipping.
+    """
+    out: dict = {"report_version": "1.0", "bits": bits, "method": method, "scale_scope": scope, "runs": {}}
+    if bits <= 8:
+        counts = codes.groupBy("run_id", "q").agg(F.count("*").alias("n"), F.count_if("clipped").alias("clipped")).collect()
+        hist = [0] * 2**bits
+        for r in counts:
+            hist[r.q] += r.n
+            own = out["runs"].setdefault(r.run_id, {"n_clipped_total": 0, "n": 0})
+            own["n_clipped_total"] += r.clipped
+            own["n"] += r.n
+        for own in out["runs"].values():
+            own["clip_pct"] = 100 * own["n_clipped_total"] / own.pop("n")
+    else:
+        for r in clip_stats(codes).collect():
+            out["runs"][r.run_id] = {"n_clipped_total": r.n_clipped, "clip_pct": r.clip_pct}
+        hist = [r.n for r in histogram(codes, bits).orderBy("q").collect()]
     for r in param_summary(params).collect():
         out["runs"][r.run_id] |= {k: v for k, v in r.asDict().items() if k != "run_id"}
     for r in snr(df, params, sample).collect():
         out["runs"][r.run_id]["estimated_snr_db"] = r.snr_db
-    out["histogram"] = [r.n for r in histogram(codes, bits).orderBy("q").collect()]
-    return json.dumps(out)
-
-
-def check_supported(bits: int) -> None:
-    if not 1 <= bits <= 16:
-        raise InvalidInput(f"bits is {bits}, outside 1 to 16", "quant")
-
+    return out | {"histogram": hist}
 
-def half_precision() -> None:
-    raise NotSupported("half precision isn't a column type", "output_dtype")

@@ -6,6 +6,7 @@ What a step needs to be undone is in its parameters and in the datasets that it
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -123,17 +124,19 @@ def _quant_forward(c: Context, df: DataFrame) -> Result:
         warn("a voxel scope needs time and space; the scope is global", DataQuality)
         p["scale_scope"] = "global"
     params = quant.quant_params(quant.quant_stats(df, p["scale_scope"]), p["bits"], p["method"], p["center"])
+    if p["scale_scope"] == "global":
+        params = quant.local(params)
     codes = quant.quantise(df, params, p["bits"])
+    report = quant.report(df, params, codes, p["bits"], p["method"], p["scale_scope"], p["snr_sample_frac"] if p["scale_scope"] == "voxel" else None)
     if p["scale_scope"] == "global":
-        worst = quant.clip_stats(codes).agg(F.max("clip_pct")).first()[0] or 0.0
+        worst = max((r["clip_pct"] for r in report["runs"].values()), default=0.0)
         if worst > option("quant.clip_abort_pct") and not p["allow_clip"]:
             raise InvalidInput(f"{worst:.2f} % of the values would be clipped", "quant:clip")
         if worst > option("quant.clip_warn_pct"):
             warn(f"{worst:.2f} % of the values are clipped", DataQuality)
-    report = quant.report(df, params, codes, p["bits"], p["method"], p["scale_scope"], p["snr_sample_frac"] if p["scale_scope"] == "voxel" else None)
     out = codes.select("run_id", "t", "vox", F.col("q").cast("double").alias("value"))
     dtype = "uint8" if p["bits"] <= 8 else "uint16"
-    return Result(out, {c.path("quant_params"): Dataset(params, "quant_params")}, p | {"dtype": dtype}, report)
+    return Result(out, {c.path("quant_params"): Dataset(params, "quant_params")}, p | {"dtype": dtype}, json.dumps(report))
 
 
 def _quant_inverse(c: Context, df: DataFrame) -> DataFrame:
