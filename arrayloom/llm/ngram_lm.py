@@ -21,6 +21,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,8 @@ from .shingles import mix
 
 ship(__name__)
 
-_KEPT_WORDS = 400_000
-_KEYS_A_BLOCK = 4_000_000
+_KEPT_WORDS = 300_000
+_KEYS_A_BLOCK = 2_500_000
 _PACKED = "kind int, shard long, keys binary, values binary"
 
 
@@ -68,6 +70,17 @@ def _map(folder: str, name: str, dtype) -> np.ndarray:
         return np.memmap(copy, dtype, "r") if copy.tell() else np.empty(0, dtype)
 
 
+def _write_counts(folder: str, name: str, counts: np.ndarray) -> None:
+    """As 32-bit numbers where all fit, else as 64-bit ones."""
+    _write(folder, name, counts.astype(np.uint32 if not len(counts) or counts.max() < 2**32 else np.uint64))
+
+
+def _map_counts(folder: str, name: str, n: int) -> np.ndarray:
+    """n counts of either width."""
+    raw = _map(folder, name, np.uint8)
+    return raw.view(np.uint32 if len(raw) == 4 * n else np.uint64)
+
+
 # ---- tokens ----------------------------------------------------------------------------------
 
 
@@ -87,7 +100,7 @@ class Vocabulary:
         self.offsets, self.size = offsets, offsets[-1]
         n = len(offsets) - 1
         self.hashes = [_map(folder, f"words-{k}", np.uint64) for k in range(n)]
-        self.counts = [_map(folder, f"counts-{k}", np.uint32) for k in range(n)]
+        self.counts = [_map_counts(folder, f"counts-{k}", len(self.hashes[k])) for k in range(n)]
         self.start = self.size + 1
         self.known: dict[bytes, int] = {}
         self.end = int(self.numbers(np.array([self.END], np.uint64))[0])
@@ -121,7 +134,7 @@ class Vocabulary:
         new = list(set().union(*texts).difference(known))
         if new:
             known.update(zip(new, self.numbers(word_hashes(new)).tolist(), strict=True))
-        return [np.fromiter((*map(known.__getitem__, t), self.end), np.int64, len(t) + 1) for t in texts]
+        return [np.fromiter(chain(map(known.__getitem__, t), (self.end,)), np.int64, len(t) + 1) for t in texts]
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -152,21 +165,26 @@ def _rows(rows):
 
 
 def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted keys with the sums of their values."""
     order = np.argsort(keys, kind="stable")
     keys, values = keys[order], values[order]
     first = np.flatnonzero(np.diff(keys, prepend=keys[:1] + np.uint64(1)) != 0) if len(keys) else np.empty(0, np.int64)
-    return keys[first], np.add.reduceat(values, first) if len(first) else values
+    return keys[first], np.add.reduceat(values, first, dtype=np.int64) if len(first) else values.astype(np.int64)
 
 
-def _merged(batches, dtype, per_key: int = 1):
-    """(kind, shard, keys, values) of each shard, from rows sorted by kind and shard."""
+def _merged(batches, dtype, columns: dict[int, int] | None = None):
+    """(kind, shard, keys, values) of each shard, from rows sorted by kind and shard.
+
+    columns: how many values a key has, by kind (1 unless given).
+    """
     now, keys, values = None, [], []
 
     def out():
+        per_key = (columns or {}).get(now[0], 1)
         k = np.concatenate([np.frombuffer(x, np.uint64) for x in keys])
-        v = np.concatenate([np.frombuffer(x, dtype).reshape(-1, per_key) for x in values]).astype(np.int64)
-        k, v = summed(k, v)
-        return (*now, k, v if per_key > 1 else v[:, 0])
+        v = np.concatenate([np.frombuffer(x, dtype).reshape(-1, per_key) for x in values])
+        k, v = summed(k, v if per_key > 1 else v[:, 0])
+        return *now, k, v
 
     for b in batches:
         for kind, shard, k, v in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
@@ -215,8 +233,11 @@ def _discounted(counts: np.ndarray, discounts: list[float]) -> np.ndarray:
     return np.maximum(counts - np.array([0.0, *discounts])[np.minimum(counts, 3)], 0)
 
 
-def fit(docs: DataFrame, keys_a_shard: int = 4_000_000) -> Model:
-    """Counts the texts of docs and writes the model to the shared folder. Null text counts as empty."""
+def fit(docs: DataFrame, keys_a_shard: int = 2_000_000) -> Model:
+    """Counts the texts of docs and writes the model to the shared folder. Null text counts as empty.
+
+    keys_a_shard tokens make a shard of bigrams; it bounds what a task holds.
+    """
     spark = docs.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/ngram-lm-{uuid.uuid4().hex}"
     atexit.register(_drop, folder)
@@ -224,7 +245,7 @@ def fit(docs: DataFrame, keys_a_shard: int = 4_000_000) -> Model:
     parts = max(1, texts.rdd.getNumPartitions() // 2)
 
     def count_words(batches):
-        counts: dict[bytes, int] = {}
+        counts: Counter[bytes] = Counter()
         ends = 0
 
         def out():
@@ -236,25 +257,24 @@ def fit(docs: DataFrame, keys_a_shard: int = 4_000_000) -> Model:
 
         for b in in_blocks(batches, 2_000_000):
             for t in b.column(1):
-                for w in split_words(t.as_py()):
-                    counts[w] = counts.get(w, 0) + 1
+                counts.update(split_words(t.as_py()))
                 ends += 1
             if len(counts) > _KEPT_WORDS:
                 yield from out()
-                counts, ends = {}, 0
+                counts, ends = Counter(), 0
         yield from out()
 
     def write_words(batches):
         for _, shard, keys, values in _merged(batches, np.uint32):
             _write(folder, f"words-{shard}", keys)
-            _write(folder, f"counts-{shard}", values.astype(np.uint32))
+            _write_counts(folder, f"counts-{shard}", values)
             yield pa.record_batch([pa.array([shard]), pa.array([len(keys)], pa.int64()), pa.array([int(values.sum())], pa.int64())], names=["shard", "n", "total"])
 
     sizes = {r[0]: r[1:] for r in _by_shard(texts.mapInArrow(count_words, _PACKED)).mapInArrow(write_words, "shard long, n long, total long").collect()}  # a row a shard
     for k in range(parts):
         if k not in sizes:
             _write(folder, f"words-{k}", np.empty(0, np.uint64))
-            _write(folder, f"counts-{k}", np.empty(0, np.uint32))
+            _write_counts(folder, f"counts-{k}", np.empty(0, np.uint32))
     offsets = np.concatenate(([0], np.cumsum([sizes.get(k, (0, 0))[0] for k in range(parts)]))).tolist()
     words, total = offsets[-1], sum(x[1] for x in sizes.values())
     if words >= 2**32 - 2:
@@ -285,47 +305,34 @@ def fit(docs: DataFrame, keys_a_shard: int = 4_000_000) -> Model:
         if held:
             yield from out()
 
-    id_shards = max(1, -(-(words + 2) // 1_000_000))
+    # each bigram shard sends up to one entry a word: as the shards grow in number, so do those that gather them
+    id_shards = min(words + 2, max(1, shards // 2, -(-(words + 2) // 1_000_000)))
     width = -(-(words + 2) // id_shards)
 
     def write_bigrams(batches):
         """Writes a shard; sends what its bigrams add to their contexts (kind 2) and words (kind 3)."""
         for _, shard, keys, n in _merged(batches, np.uint32):
             _write(folder, f"bigrams-{shard}", keys)
-            _write(folder, f"times-{shard}", n.astype(np.uint32))
+            _write_counts(folder, f"times-{shard}", n)
             facts = np.array([(n == k).sum() for k in range(1, 5)], np.int64)
             yield from _rows([(4, 0, np.zeros(1, np.uint64).tobytes(), facts.astype(np.int64).tobytes())])
-            one = np.ones(len(n), np.int64)
-            context, v = summed(keys >> np.uint64(32), np.stack([n, one * (n == 1), one * (n == 2), one * (n > 2)], axis=1))
-            yield from _rows(_packed(2, (context // np.uint64(width)).astype(np.int64), context, v.astype(np.uint32)))
-            word, v = summed(keys & np.uint64(0xFFFFFFFF), one)
-            yield from _rows(_packed(3, (word // np.uint64(width)).astype(np.int64), word, v.astype(np.uint32)))
+            context, v = summed(keys >> np.uint64(32), np.stack([n, n == 1, n == 2, n > 2], axis=1))
+            yield from _rows(_packed(2, (context // np.uint64(width)).astype(np.int64), context, v))
+            word, v = summed(keys & np.uint64(0xFFFFFFFF), np.ones(len(n), np.uint32))
+            yield from _rows(_packed(3, (word // np.uint64(width)).astype(np.int64), word, v))
 
     def write_statistics(batches):
         """Dense arrays over a range of word numbers, and counts of counts of the lower order."""
-        groups: dict[int, list] = {}
-
-        def closed(kind, shard, k, v):
-            at = (k - np.uint64(shard * width)).astype(np.int64)
-            dense = np.zeros((width, v.shape[1] if v.ndim > 1 else 1), np.uint32)
-            dense[at] = v if v.ndim > 1 else v[:, None]
-            _write(folder, f"{'contexts' if kind == 2 else 'before'}-{shard}", dense)
-            return np.array([*((v == n).sum() for n in range(1, 5)), v.sum(), (v > 2).sum()], np.int64) if kind == 3 else None
-
-        def split(kind):
-            return lambda rows: _merged(rows, *{2: (np.uint32, 4), 3: (np.uint32, 1), 4: (np.int64, 4)}[kind])
-
-        for b in batches:
-            for i in range(b.num_rows):
-                groups.setdefault(b.column(0)[i].as_py(), []).append(b.slice(i, 1))
-        for kind, rows in groups.items():
-            for _, shard, k, v in split(kind)(rows):
-                if kind == 4:
-                    facts = np.append(v[0], [0, 0])
-                else:
-                    facts = closed(kind, shard, k, v)
-                if facts is not None:
-                    yield pa.record_batch([pa.array([kind], pa.int32()), pa.array([facts.tolist()], pa.list_(pa.int64()))], names=["kind", "facts"])
+        for kind, shard, k, v in _merged(batches, np.int64, {2: 4, 4: 4}):
+            if kind == 4:
+                facts = np.append(v[0], [0, 0])
+            else:
+                dense = np.zeros((width, v.shape[1] if v.ndim > 1 else 1), np.int64)
+                dense[(k - np.uint64(shard * width)).astype(np.int64)] = v if v.ndim > 1 else v[:, None]
+                _write_counts(folder, f"{'contexts' if kind == 2 else 'before'}-{shard}", dense)
+                facts = np.array([*((v == n).sum() for n in range(1, 5)), v.sum(), (v > 2).sum()], np.int64)
+            if kind != 2:
+                yield pa.record_batch([pa.array([kind], pa.int32()), pa.array([facts.tolist()], pa.list_(pa.int64()))], names=["kind", "facts"])
 
     added = _by_shard(texts.mapInArrow(count_bigrams, _PACKED)).mapInArrow(write_bigrams, _PACKED)
     facts = {3: np.zeros(6, np.int64), 4: np.zeros(6, np.int64)}
@@ -353,15 +360,16 @@ class Scorer:
         self.m = m = model
         self.v = Vocabulary(m.folder, m.offsets)
         self.keys = [self._maybe(f"bigrams-{k}", np.uint64) for k in range(m.shards)]
-        self.times = [self._maybe(f"times-{k}", np.uint32) for k in range(m.shards)]
-        self.contexts = [self._maybe(f"contexts-{k}", np.uint32).reshape(-1, 4) for k in range(m.id_shards)]
-        self.before = [self._maybe(f"before-{k}", np.uint32) for k in range(m.id_shards)]
+        self.times = [self._maybe(f"times-{k}", len(self.keys[k])) for k in range(m.shards)]
+        self.contexts = [self._maybe(f"contexts-{k}", 4 * m.width).reshape(-1, 4) for k in range(m.id_shards)]
+        self.before = [self._maybe(f"before-{k}", m.width) for k in range(m.id_shards)]
 
-    def _maybe(self, name: str, dtype) -> np.ndarray:
-        """A shard that no key fell into has no file."""
+    def _maybe(self, name: str, kind) -> np.ndarray:
+        """An array of a type, or that many counts; a shard that no key fell into has no file."""
         system, path = _file_system(self.m.folder)
-        there = system.get_file_info(f"{path}/{name}").type == fs.FileType.File
-        return _map(self.m.folder, name, dtype) if there else np.empty(0, dtype)
+        if system.get_file_info(f"{path}/{name}").type != fs.FileType.File:
+            return np.empty(0, np.uint32 if isinstance(kind, int) else kind)
+        return _map_counts(self.m.folder, name, kind) if isinstance(kind, int) else _map(self.m.folder, name, kind)
 
     def _dense(self, arrays: list, numbers: np.ndarray, columns: int) -> np.ndarray:
         out = np.zeros((len(numbers), columns), np.int64)
