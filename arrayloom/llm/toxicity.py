@@ -1,21 +1,23 @@
-"""Toxicity by the nearest labelled examples, exact under TF-IDF cosine, from a block-max index.
+"""Toxicity by the nearest labelled examples, exact under TF-IDF cosine.
 
 Fitting takes a bounded sample of labelled rows (max_examples, in hash order of the id, at the labels'
-own rate). Near copies in it count once. Terms are words and beginnings of words. Those whose documents
-are toxic more often than chance allows (binomial tail, Bonferroni-corrected) make the vocabulary,
-max_terms of them at most. Document frequencies
-of these terms are counted over the whole corpus. Examples that hold any are the index: postings by
-term and block of examples, with the largest weight of each term in each block.
-
-A text visits blocks by falling upper bound (query weights times block maxima) until the k-th best
-cosine found is no less than the next bound; so its k neighbours are exact. They vote with their squared
-cosine as weight; votes become probabilities by isotonic regression on the examples, each scored
-without itself. The neighbours are the evidence.
+own rate). Near copies in it count once. The terms are all words of the examples; words and beginnings
+of words whose documents are toxic more often than chance allows (binomial tail, Bonferroni-corrected;
+max_terms of them at most) weigh _BOOST times as much. Document frequencies of all terms are counted
+over the whole corpus. Every example that holds a word is in the index.
+
+The cosine with every example is computed: terms that many examples hold are rows of a matrix, the
+others have postings. So a text's k neighbours are exact. They vote with a weight that rises with the
+cosine, steeply near 1, so that a copy of a labelled text outweighs texts that are merely alike; votes
+become probabilities by isotonic regression on the examples, each scored without itself. The
+neighbours are the evidence.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +34,15 @@ ship(__name__)
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 _COORDINATES = 16
 _VOTERS = 15
+#: Texts scored at a time, and the share of the examples from which on a term is a matrix row.
 _BLOCK = 64
+_COMMON = 1 / 12
+#: Weight of terms that come with toxic texts, next to other words.
+_BOOST = 12.0
 #: Weight of the base rate among the votes.
 _PRIOR_WEIGHT = 0.05
+#: A neighbour votes with s*s / (1 + _NEARLY - s), s being its cosine.
+_NEARLY = 0.02
 
 
 _KEPT_WORDS = 300_000
@@ -59,26 +67,68 @@ class Bags:
     alone can't tell a stem that recurs from one that stands there by chance.
     """
 
-    def __init__(self, among=None):
-        self.among, self.known = among, {}
-        self.plain = None if among is None else {t.partition(b"*")[0] for t in among}
+    def __init__(self):
+        self.known = {}
 
     def __call__(self, text: bytes | None) -> dict[bytes, int]:
         out: dict[bytes, int] = {}
-        known, plain = self.known, self.plain
+        known = self.known
         if len(known) > _KEPT_WORDS:
             known.clear()
-        for w in words_of(text):
+        for w, n in Counter(words_of(text)).items():
             terms = known.get(w)
             if terms is None:
-                terms = known[w] = tuple(t for t in terms_of_word(w) if plain is None or t in plain)
+                terms = known[w] = tuple(terms_of_word(w))
             for t in terms:
-                out[t] = out.get(t, 0) + 1
-        if out:
-            out |= {b"%b*%d" % (t, k): 1 for t, n in out.items() if n > 1 for k in range(2, min(n, _TIMES) + 1)}
-            if self.among is not None:
-                out = {t: n for t, n in out.items() if t in self.among}
-        return out
+                out[t] = out.get(t, 0) + n
+        return out | {b"%b*%d" % (t, k): 1 for t, n in out.items() if n > 1 for k in range(2, min(n, _TIMES) + 1)}
+
+
+class Numbered:
+    """Numbers and counts of those of a text's terms that are among the given ones, as arrays."""
+
+    def __init__(self, number: dict[bytes, int]):
+        self.number, self.known, self.marks = number, {}, {}
+        for t, i in number.items():
+            stem, mark, k = t.partition(b"*")
+            if mark:
+                self.marks.setdefault(stem, []).append((int(k), i))
+        # a term that is there for its marks only has a number of its own while counting
+        self.only = {t: len(number) + k for k, t in enumerate(t for t in self.marks if t not in number)}
+        self.marks = {number.get(t, self.only.get(t)): x for t, x in self.marks.items()}
+        self.stems = {t[:-1] for t in [*number, *self.only] if t.endswith(b"-")}
+
+    def _terms(self, word: bytes) -> tuple[int, ...]:
+        places = (self.number.get(t, self.only.get(t)) for t in (terms_of_word(word) if self.stems else (word,)))
+        return tuple(i for i in places if i is not None)
+
+    def __call__(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        out: dict[int, int] = {}
+        known = self.known
+        if len(known) > _KEPT_WORDS:
+            known.clear()
+        for w, n in Counter(words_of(text)).items():
+            terms = known.get(w)
+            if terms is None:
+                terms = known[w] = self._terms(w)
+            for t in terms:
+                out[t] = out.get(t, 0) + n
+        if self.marks:
+            out |= {i: 1 for t in self.marks.keys() & out.keys() for k, i in self.marks[t] if out[t] >= k}
+        t, n = np.fromiter(out.keys(), np.int32, len(out)), np.fromiter(out.values(), np.int32, len(out))
+        if self.only:
+            t, n = t[t < len(self.number)], n[t < len(self.number)]
+        order = np.argsort(t)
+        return t[order], n[order]
+
+
+def packed_terms(terms: list[bytes]) -> bytes:
+    """Terms hold no white space."""
+    return zlib.compress(b" ".join(terms), 1)
+
+
+def unpacked_terms(packed: bytes) -> dict[bytes, int]:
+    return {t: i for i, t in enumerate(zlib.decompress(packed).split(b" ")) if t}
 
 
 def _log_tail(k: int, x: int, p: float) -> float:
@@ -126,22 +176,46 @@ def choose_terms(counts: list[tuple[bytes, int, int]], toxic: int, total: int, n
     return out
 
 
-class BlockMaxIndex:
-    """Unit TF-IDF vectors of examples in blocks, with each term's largest weight in each block."""
+class ExampleIndex:
+    """Unit TF-IDF vectors of examples: common terms as a matrix, the others as postings."""
 
     def __init__(self, terms: list[bytes], idf: np.ndarray, vectors: list[dict[int, float]], labels: list[int], ids: list[int]):
         self.number = {t: i for i, t in enumerate(terms)}
         self.idf, self.labels, self.ids = idf, np.array(labels, np.float64), ids
-        self.blocks = -(-len(vectors) // _BLOCK)
-        lists: list[list[list[tuple[int, float]]]] = [[[] for _ in terms] for _ in range(self.blocks)]
-        self.peak = np.zeros((len(terms), self.blocks), np.float64)
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                lists[i // _BLOCK][t].append((i % _BLOCK, w))
-                self.peak[t, i // _BLOCK] = max(self.peak[t, i // _BLOCK], w)
-        self.postings = [{t: (np.array([p for p, _ in x]), np.array([w for _, w in x])) for t, x in enumerate(block) if x} for block in lists]
+        self.size = len(vectors)
         self.raw_at, self.value = np.array([0.0]), np.array([0.0])
         self.base = self.silent = 0.0
+        pairs = [v if isinstance(v, tuple) else _arrays(v) for v in vectors]
+        term = np.concatenate([np.empty(0, np.int32), *(t for t, _ in pairs)])
+        weight = np.concatenate([np.empty(0), *(w for _, w in pairs)])
+        order = np.argsort(term, kind="stable")
+        self.weight = weight[order]
+        self.example = np.repeat(np.arange(self.size, dtype=np.int32), [len(t) for t, _ in pairs])[order]
+        self.held = np.bincount(term, minlength=len(terms))
+        self._lay_out()
+
+    def _lay_out(self) -> None:
+        held, size = self.held, self.size
+        self.since = np.concatenate(([0], np.cumsum(held)))
+        common = np.flatnonzero(held > max(_BLOCK, size * _COMMON))
+        self.row = np.full(len(held), -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), size))
+        for r, t in enumerate(common):
+            part = slice(self.since[t], self.since[t + 1])
+            self.matrix[r, self.example[part]] = self.weight[part]
+
+    def __getstate__(self):
+        """Small enough to be sent: single precision, without what can be derived."""
+        out = {k: v for k, v in self.__dict__.items() if k not in ("number", "matrix", "row", "since")}
+        small = np.uint16 if self.size <= 2**16 else np.int32
+        return out | {"terms": packed_terms(list(self.number)), "example": self.example.astype(small), "weight": self.weight.astype(np.float32), "held": self.held.astype(np.int32), "idf": self.idf.astype(np.float32)}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.number = unpacked_terms(self.__dict__.pop("terms"))
+        self.example, self.weight, self.idf = self.example.astype(np.int32), self.weight.astype(np.float64), self.idf.astype(np.float64)
+        self._lay_out()
 
     def vector(self, bag: dict[bytes, int]) -> dict[int, float]:
         v = {self.number[t]: (1 + math.log(n)) for t, n in bag.items() if t in self.number}
@@ -149,32 +223,46 @@ class BlockMaxIndex:
         norm = math.sqrt(sum(w * w for w in v.values()))
         return {t: w / norm for t, w in v.items()} if norm else {}
 
+    def unit(self, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Terms, sorted, and their weights from their counts."""
+        w = (1 + np.log(n)) * self.idf[t]
+        return t, w / math.sqrt(w @ w) if len(w) else w
+
+    def cosines(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """With every example, a row a vector."""
+        q, rows = np.zeros((len(vectors), len(self.matrix))), [self.row[t] for t, _ in vectors]
+        for x, r, (_, w) in zip(q, rows, vectors, strict=True):
+            x[r[r >= 0]] = w[r >= 0]
+        out, since, example, weight = q @ self.matrix, self.since, self.example, self.weight
+        for x, r, (t, w) in zip(out, rows, vectors, strict=True):
+            rest = t[r < 0]
+            for a, b, y in zip(since[rest].tolist(), since[rest + 1].tolist(), w[r < 0].tolist(), strict=True):
+                x[example[a:b]] += y * weight[a:b]
+        return out
+
+    def all_nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = _VOTERS, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """The k best (cosine, example) of each vector, exactly, by falling cosine and then example number."""
+        out = []
+        for start in range(0, len(vectors), _BLOCK):
+            score = self.cosines(vectors[start : start + _BLOCK])
+            for i, x in enumerate(score, start):
+                if without is not None and without[i] >= 0:
+                    x[without[i]] = 0.0
+                least = np.partition(x, -k)[-k] if len(x) > k else 0.0
+                best = np.flatnonzero((x >= least) & (x > 0))
+                best = best[np.argsort(-x[best], kind="stable")[:k]]
+                out.append([(min(float(x[p]), 1.0), int(p)) for p in best])
+        return out
+
     def nearest(self, v: dict[int, float], k: int = _VOTERS, without: int = -1) -> list[tuple[float, int]]:
-        """The k best (cosine, example), exactly, by falling cosine and then example number."""
-        if not v or not self.blocks:
-            return []
-        q = np.array(list(v))
-        w = np.array(list(v.values()))
-        bound = w @ self.peak[q]
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or (len(best) == k and best[-1][0] > bound[block] + 1e-9):
-                break
-            score = np.zeros(_BLOCK)
-            postings = self.postings[block]
-            for t, x in v.items():
-                if t in postings:
-                    place, weight = postings[t]
-                    score[place] += x * weight
-            hits = [(float(score[p]), int(block) * _BLOCK + int(p)) for p in np.flatnonzero(score > 0) if int(block) * _BLOCK + int(p) != without]
-            best = sorted(best + hits, key=lambda x: (-x[0], x[1]))[:k]
-        return best
+        return self.all_nearest([_arrays(v)], k, [without])[0]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         up, down = self.base * _PRIOR_WEIGHT, _PRIOR_WEIGHT
         for s, i in near:
-            up += s * s * self.labels[i]
-            down += s * s
+            w = s * s / (1 + _NEARLY - s)
+            up += w * self.labels[i]
+            down += w
         return up / down
 
     def calibrate(self, raw: list[float], toxic: list[int]) -> None:
@@ -189,17 +277,23 @@ class BlockMaxIndex:
             self.raw_at = np.array([(p[0] + p[3]) / 2 for p in pools])
             self.value = np.array([(p[1] + self.base) / (p[2] + 1) for p in pools])
 
-    def score(self, bag: dict[bytes, int]) -> tuple[float, list[tuple[float, int]]]:
-        near = self.nearest(self.vector(bag))
-        if not near:
-            return self.silent, []
-        return float(np.clip(np.interp(self.vote(near), self.raw_at, self.value), 0, 1)), near
+    def scores(self, bags: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[tuple[float, int]]]]:
+        near = self.all_nearest([self.unit(*bag) for bag in bags])
+        return [(float(np.clip(np.interp(self.vote(x), self.raw_at, self.value), 0, 1)) if x else self.silent, x) for x in near]
+
+
+def _arrays(v: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(v.keys(), np.int32, len(v)), np.fromiter(v.values(), np.float64, len(v))
+
 
+#: Its former name, from when blocks of examples were left out by bounds.
+BlockMaxIndex = ExampleIndex
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 16_384, max_terms: int = 4_096) -> BlockMaxIndex:
+
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 16_384, max_terms: int = 4_096) -> ExampleIndex:
     """An index of at most max_examples labelled rows; document frequencies come from all of docs.
 
-    What reaches the driver is bounded by max_examples and the vocabulary's max_terms.
+    What reaches the driver is bounded by max_examples and their distinct words.
     """
     labelled = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
@@ -235,58 +329,80 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 16_384, max_term
     likely = terms_in.where("x >= 4").orderBy(F.col("x") * F.col("x") / F.col("n"), "term", ascending=False).limit(16 * max_terms)
     counts = [(bytes(r[0]), r[1], r[2]) for r in likely.collect()]
     among = [r for r in sample.where("toxic IS NOT NULL").select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")).collect() if r[0] in kept]
-    terms = choose_terms(counts, sum(r[1] for r in among), len(among), n_terms, max_terms)
-    number = {t: i for i, t in enumerate(terms)}
+    chosen = choose_terms(counts, sum(r[1] for r in among), len(among), n_terms, max_terms)
+    words = terms_in.where(~F.col("term").cast("string").rlike("[-*]")).select("term").toArrow().column(0).to_pylist()  # the examples' words
+    terms = chosen + sorted(set(words).difference(chosen))
+    sent_terms = docs.sparkSession.sparkContext.broadcast(packed_terms(terms))  # bounded by max_examples and their words
 
     def frequencies(batches):
-        df, n, bag = np.zeros(len(number), np.int64), 0, Bags(number)
+        bag = Numbered(unpacked_terms(sent_terms.value))
+        df, n = np.zeros(len(bag.number), np.int64), 0
         for b in batches:
             n += b.num_rows
-            for t in b.column(0):
-                for w in bag(t.as_py()):
-                    df[number[w]] += 1
-        yield pa.record_batch([pa.array([*range(-1, len(df))], pa.int32()), pa.array([n, *df.tolist()], pa.int64())], names=["term", "df"])
+            found = [bag(t.as_py())[0] for t in b.column(0)]
+            df += np.bincount(np.concatenate([np.empty(0, np.int32), *found]), minlength=len(df))
+        seen = np.flatnonzero(df)
+        yield pa.record_batch([pa.array(np.append(seen, -1), pa.int32()), pa.array(np.append(df[seen], n), pa.int64())], names=["term", "df"])
 
-    counted = dict(texts.select("text").mapInArrow(frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect())  # max_terms + 1 rows
-    total = counted.get(-1, 0)
-    idf = np.array([math.log((1 + total) / (1 + counted.get(i, 0))) + 1 for i in range(len(terms))])
-    probe = BlockMaxIndex(terms, idf, [], [], [])
+    counted = texts.select("text").mapInArrow(frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # a row a term
+    df = np.zeros(len(terms) + 1)  # the last is the number of documents
+    df[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+    idf[: len(chosen)] *= _BOOST
 
     def bagged(batches):
-        bag = Bags(number)
+        bag = Numbered(unpacked_terms(sent_terms.value))
         for b in batches:
             bags = [bag(t.as_py()) for t in b.column(1)]
-            yield pa.record_batch([b.column(0), pa.array([[number[t] for t in x] for x in bags], pa.list_(pa.int32())), pa.array([list(x.values()) for x in bags], pa.list_(pa.int32()))], names=["doc_id", "terms", "counts"])
+            yield pa.record_batch([b.column(0), *(pa.array([x[k].tobytes() for x in bags], pa.binary()) for k in (0, 1))], names=["doc_id", "terms", "counts"])
 
-    held = {r[0]: {terms[t]: n for t, n in zip(r[1], r[2], strict=True)} for r in sample.select("doc_id", "text").mapInArrow(bagged, "doc_id long, terms array<int>, counts array<int>").collect() if r[0] in kept}
+    rows = sample.where("toxic IS NOT NULL").select("doc_id", "text").mapInArrow(bagged, "doc_id long, terms binary, counts binary").toArrow()
+    held = {i: k for k, i in enumerate(rows.column(0).to_pylist()) if i in kept}
     among.sort()
-    ids, toxic = [r[0] for r in among], [r[1] for r in among]
-    bags = [held[i] for i in ids]
-    vectors = [probe.vector(b) for b in bags]
-    some = [i for i, v in enumerate(vectors) if v]
-    index = BlockMaxIndex(terms, idf, [vectors[i] for i in some], [toxic[i] for i in some], [ids[i] for i in some])
-    index.base = (sum(toxic) + 0.5) / (len(toxic) + 1)
-    quiet = [toxic[i] for i, v in enumerate(vectors) if not v]
+
+    def counts_of(i):
+        return tuple(np.frombuffer(rows.column(c)[held[i]].as_py(), np.int32) for c in (1, 2))
+
+    some = [(i, y) for i, y in among if len(counts_of(i)[0])]
+    probe = ExampleIndex(terms, idf, [], [], [])
+    index = ExampleIndex(terms, idf, [probe.unit(*counts_of(i)) for i, _ in some], [y for _, y in some], [i for i, _ in some])
+    index.base = (sum(y for _, y in among) + 0.5) / (len(among) + 1)
+    quiet = [y for i, y in among if not len(counts_of(i)[0])]
     index.silent = (sum(quiet) + index.base) / (len(quiet) + 1)
-    near = [index.nearest(vectors[i], without=k) for k, i in enumerate(some)]
-    index.calibrate([index.vote(x) for x in near if x], [toxic[i] for x, i in zip(near, some, strict=True) if x])
+    place = {i: k for k, i in enumerate(index.ids)}
+    sent = docs.sparkSession.sparkContext.broadcast(index)
+
+    def voted(batches):
+        """Votes on the examples, each without itself."""
+        model = sent.value
+        bag = Numbered(model.number)
+        for b in batches:
+            own = [(place[i], t.as_py()) for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) if i in place]
+            near = model.all_nearest([model.unit(*bag(t)) for _, t in own], without=[k for k, _ in own])
+            out = [(k, model.vote(x)) for (k, _), x in zip(own, near, strict=True) if x]
+            yield pa.record_batch([pa.array([k for k, _ in out], pa.int32()), pa.array([v for _, v in out], pa.float64())], names=["k", "vote"])
+
+    votes = sorted(sample.select("doc_id", "text").mapInArrow(voted, "k int, vote double").collect())  # max_examples rows
+    index.calibrate([v for _, v in votes], [int(index.labels[k]) for k, _ in votes])
+    sent.destroy()
+    sent_terms.destroy()
     return index
 
 
 def score(docs: DataFrame, index: BlockMaxIndex, threshold: float = 0.7) -> DataFrame:
     """One row per document: doc_id, score, predicted, evidence (neighbours' doc_id, cosine, toxic).
 
-    Texts without a term of the vocabulary, null and empty ones among them, get the rate of toxic
-    texts among examples without one. Repeated rows each return a row; other columns are ignored;
+    Texts without a word of the examples, null and empty ones among them, get the rate of toxic
+    texts among examples without words. Repeated rows each return a row; other columns are ignored;
     an empty table gives no rows; without labels every score is 0.5.
     """
-    held = docs.sparkSession.sparkContext.broadcast(index)  # bounded by max_examples and max_terms
+    held = docs.sparkSession.sparkContext.broadcast(index)  # bounded by max_examples and their words
 
     def run(batches):
         model = held.value
-        bag = Bags(model.number)
+        bag = Numbered(model.number)
         for b in batches:
-            p, near = zip(*(model.score(bag(t.as_py())) for t in b.column(1)), strict=True) if b.num_rows else ((), ())
+            p, near = zip(*model.scores([bag(t.as_py()) for t in b.column(1)]), strict=True) if b.num_rows else ((), ())
             told = [[{"doc_id": model.ids[i], "cosine": s, "toxic": int(model.labels[i])} for s, i in x[:3]] for x in near]
             yield pa.record_batch(
                 [b.column(0), pa.array(p, pa.float64()), pa.array([int(x >= threshold) for x in p], pa.int32()), pa.array(told, pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())])))],

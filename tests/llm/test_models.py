@@ -145,6 +145,19 @@ def test_toxicity(make, spark):
     assert all(e["toxic"] == 1 for r in held[held.predicted == 1].itertuples() for e in r.evidence[:1])
 
 
+def test_toxicity_finds_a_copy_without_common_toxic_words(make, spark):
+    """A labelled toxic text whose words stand in no other example is the neighbour of its copy."""
+    rows, labels = toxic_rows()
+    rows += [(7000, prose(7000, 60, 10**9)), (8000, prose(7000, 60, 10**9)), (8001, "quite unheard of")]
+    lab = spark.createDataFrame([*labels, (7000, 1)], "doc_id long, toxic int")
+    index = toxicity.fit(make(rows), lab)
+    assert len(index.ids) == 601
+    got = toxicity.score(make(rows), index).toPandas().set_index("doc_id")
+    best = got.evidence[8000][0]
+    assert (best["doc_id"], best["toxic"]) == (7000, 1) and best["cosine"] == pytest.approx(1.0)
+    assert got.predicted[8000] == 1 and got.predicted[8001] == 0
+
+
 def test_neighbours_are_exact():
     """Block-max search against all cosines."""
     rng = np.random.default_rng(3)
