@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples, exact under TF-IDF cosine.
 
 Fitting takes a bounded sample of labelled rows (max_examples, in hash order of the id, at the labels'
-own rate). Near copies in it count once. The terms are all words of the examples; words and beginnings
+own rate). Copies with the same label count once. The terms are all words of the examples; words and beginnings
 of words whose documents are toxic more often than chance allows (binomial tail, Bonferroni-corrected;
 max_terms of them at most) weigh _BOOST times as much. Document frequencies of all terms are counted
 over the whole corpus. Every example that holds a word is in the index.
@@ -138,19 +138,15 @@ def _log_tail(k: int, x: int, p: float) -> float:
     return -k * kl
 
 
-def distinct_examples(signatures: list[bytes]) -> list[int]:
-    """Indices of texts that aren't near copies of an earlier one, by MinHash of their words."""
-    held, kept = np.empty((_COORDINATES, len(signatures)), np.uint32), []
-    for i, sig in enumerate(np.frombuffer(x, np.uint32) for x in signatures):
-        n = len(kept)
-        same = np.zeros(n, np.uint8)
-        for k in range(_COORDINATES):
-            same += held[k, :n] == sig[k]
-        if n and same.max() >= _COORDINATES // 2:
-            continue
-        held[:, n] = sig
-        kept.append(i)
-    return kept
+def distinct_examples(signatures: list[bytes], labels: list[int]) -> list[int]:
+    """Indices of texts whose words aren't those of an earlier one with the same label, by MinHash.
+
+    All coordinates must agree, so only copies go; alike texts with different labels both stay.
+    """
+    first: dict[tuple[bytes, int], int] = {}
+    for i, x in enumerate(zip(signatures, labels, strict=True)):
+        first.setdefault(x, i)
+    return list(first.values())
 
 
 def word_signature(text: bytes | None) -> bytes:
@@ -304,8 +300,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 16_384, max_term
             yield pa.record_batch([*b.columns, pa.array([word_signature(t.as_py()) for t in b.column(2)], pa.binary())], names=["doc_id", "toxic", "text", "sig"])
 
     sample = staged(texts.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text").dropDuplicates(["doc_id"]).mapInArrow(signed, "doc_id long, toxic int, text binary, sig binary"))
-    rows = sorted(sample.select("doc_id", "sig").collect())  # max_examples rows of 64 bytes
-    kept = {rows[i][0] for i in distinct_examples([bytes(r[1]) for r in rows])}
+    rows = sorted(sample.select("doc_id", "sig", "toxic").collect())  # max_examples rows of 64 bytes
+    kept = {rows[i][0] for i in distinct_examples([bytes(r[1]) for r in rows], [int(r[2] > 0) for r in rows])}
 
     def counting(batches):
         bag, n = Bags(), {}

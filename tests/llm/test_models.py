@@ -158,6 +158,15 @@ def test_toxicity_finds_a_copy_without_common_toxic_words(make, spark):
     assert got.predicted[8000] == 1 and got.predicted[8001] == 0
 
 
+def test_only_copies_of_one_label_are_dropped(make, spark):
+    """A toxic variant of a clean text stays an example, and so does the clean one."""
+    rows, labels = toxic_rows()
+    clean = rows[1][1]
+    rows += [(7000, clean + " vile"), (7001, clean)]
+    index = toxicity.fit(make(rows), spark.createDataFrame([*labels, (7000, 1), (7001, 0)], "doc_id long, toxic int"))
+    assert {1, 7000} <= set(index.ids) and 7001 not in index.ids
+
+
 def test_neighbours_are_exact():
     """Block-max search against all cosines."""
     rng = np.random.default_rng(3)
