@@ -4,6 +4,10 @@ DataFrame functions only, row by row. A candidate is a run of 20 or more token c
 with letters and digits. A window of 20 characters slides over it; counts by character change by the one
 that enters and the one that leaves, and so does the sum of c*log2(c), which gives the entropy. The
 threshold depends on the candidate's character class. An allow-list suppresses what isn't secret.
+
+Candidates end at fixed patterns' matches. One that isn't reported as a whole is looked at by its parts
+between / and =: first by those in a row that hold no sample word, then one by one. The query
+op1_secret_scan takes joined runs, as its SQL does; the pipeline cuts them.
 """
 
 from __future__ import annotations
@@ -14,13 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, let
-from .spans import of_kind, pattern_spans, redacted, written
+from .spans import SPAN, of_kind, pattern_spans, redacted, written
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: {14,} and {16,} find what + and a filter on length would: a shorter run has no match in it.
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+PART = r"[A-Za-z0-9+_-]"
 WINDOW = 20
 #: Least bits a character, of log2(20) = 4.32 at most, by class.
 BITS = {"hex": 3.0, "alnum": 3.6, "base64": 3.8}
@@ -71,28 +76,62 @@ def _high_entropy(s: Column, allow: tuple[str, ...]) -> Column:
     return F.when(mixed & ~allowed, window_entropy(s) >= least).otherwise(F.lit(False))
 
 
-def secret_spans(text: Column, allow: tuple[str, ...] = ALLOW) -> Column:
-    """struct(base, spans, n_assign, n_access, n_hex); spans are sorted by start, then kind."""
+def _without(text: Column, spans: Column) -> Column:
+    """The text with blanks in the places of spans that are sorted by start."""
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        before = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+        blank = F.repeat(F.lit(" "), (s["end"] - F.greatest(s["start"], acc["at"])).cast("int"))
+        return F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], before, blank).alias("out")))
+
+    rest = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2147483647))))
+    return F.when(F.size(spans) > 0, rest).otherwise(text)
+
+
+def _in_parts(run: Column, allow: tuple[str, ...]) -> Column:
+    """The run if it is of high entropy, else its parts that are: spans like the run."""
+    samples = "|".join(f"(?:{p})" for p in allow if not p.startswith("^"))
+    part = rf"(?!{PART}*?(?:{samples})){PART}++" if samples else rf"{PART}++"
+    secret = lambda s: _high_entropy(s["text"], allow)
+    long = lambda found: F.filter(found, lambda s: F.when(F.char_length(s["text"]) >= WINDOW, secret(s)).otherwise(F.lit(False)))
+
+    def parts(rows: Column) -> Column:
+        single = F.filter(pattern_spans(run["text"], rf"{PART}{{{WINDOW},}}"), lambda s: ~F.exists(rows, lambda r: (r["start"] < s["end"]) & (s["start"] < r["end"])))
+        return F.concat(rows, F.filter(single, secret))
+
+    placed = F.transform(let(long(pattern_spans(run["text"], rf"(?<![^/=]){part}(?:[/=]++{part})*+")), parts), lambda s: F.struct((run["start"] + s["start"]).alias("start"), (run["start"] + s["end"]).alias("end"), s["text"].alias("text"), s["part"].alias("part")))
+    return F.when(secret(run), F.array(run)).when(run["text"].rlike("[/=]"), placed).otherwise(F.array().cast(SPAN))
+
+
+def secret_spans(text: Column, allow: tuple[str, ...] = ALLOW, joined: bool = False) -> Column:
+    """struct(base, spans, n_assign, n_access, n_hex); spans are sorted by start, then kind.
+
+    joined: runs that touch a base span are left out, and no run is looked at by its parts.
+    """
     assign = F.filter(pattern_spans(text, ASSIGN, 1), lambda s: F.char_length(s["part"]) >= 12)
     base = F.sort_array(F.concat(of_kind(assign, 0, "assign"), of_kind(pattern_spans(text, ACCESS), 1, "access"), of_kind(pattern_spans(text, HEX), 2, "hex")))
 
     def both(b: Column) -> Column:
         free = lambda s: ~F.exists(b, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"]))
-        more = F.filter(pattern_spans(text, CANDIDATE), lambda s: F.when(free(s), _high_entropy(s["text"], allow)).otherwise(F.lit(False)))
+        if joined:
+            more = F.filter(pattern_spans(text, CANDIDATE), lambda s: F.when(free(s), _high_entropy(s["text"], allow)).otherwise(F.lit(False)))
+        else:
+            more = let(_without(text, b), lambda rest: F.flatten(F.transform(pattern_spans(rest, CANDIDATE), lambda s: _in_parts(s, allow))))
         number = lambda rank: F.size(F.filter(b, lambda s: s["rank"] == rank)).cast("long")
         return F.struct(b.alias("base"), F.sort_array(F.concat(b, of_kind(more, 3, "entropy"))).alias("spans"), number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"))
 
     return let(base, both)
 
 
-def secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOW) -> DataFrame:
+def secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOW, joined: bool = False) -> DataFrame:
     """One row per document: doc_id, the counts of the base kinds, base_sha256, spans, n_entropy.
 
     Null text counts as empty and has no spans. Repeated rows each return a row; other columns
     are ignored; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = docs.select("doc_id", text.alias("text")).select("doc_id", secret_spans(F.col("text"), allow).alias("f"))
+    found = docs.select("doc_id", text.alias("text")).select("doc_id", secret_spans(F.col("text"), allow, joined).alias("f"))
     return found.select(
         "doc_id", "f.n_assign", "f.n_access", "f.n_hex", F.sha2(written(F.col("f.base")), 256).alias("base_sha256"), written(F.col("f.spans")).alias("spans"), (F.size("f.spans") - F.size("f.base")).cast("long").alias("n_entropy")
     )
@@ -108,7 +147,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets(documents(spark, sf_dir))
+    return secrets(documents(spark, sf_dir), joined=True)
 
 
 def _sql_spans(kind: str, rank: int, pattern: str, least: int = 0, group: int = 0) -> str:
