@@ -132,6 +132,13 @@ def gram_matrix(spark, sf_dir):
     return rounded(linalg.matmul(e.select(F.col("vox").alias("i"), F.col("t").alias("k"), F.col("value").alias("v")), e.select(F.col("t").alias("k"), F.col("vox").alias("j"), F.col("value").alias("v"))), "v")
 
 
+@query()
+def gram_matrix_whole(spark, sf_dir):
+    """Over all elements; the SQL of gram_matrix has the first twelve."""
+    e = embeddings(spark, sf_dir)
+    return rounded(linalg.matmul(e.select(F.col("vox").alias("i"), F.col("t").alias("k"), F.col("value").alias("v")), e.select(F.col("t").alias("k"), F.col("vox").alias("j"), F.col("value").alias("v"))), "v")
+
+
 @query(f"WITH {_CENTRED} SELECT run_id, t, vox, round(value, 6) + 0.0 AS value FROM z")
 def whiten_columns(spark, sf_dir):
     return rounded(_standardised(spark, sf_dir)[0], "value").select("run_id", "t", "vox", "value")

@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 
 from arrayloom.plans import catalog
@@ -35,6 +36,13 @@ def test_query(spark, con, name):
         assert list(got.columns)
 
 
+def test_gram_matrix_whole(spark, con):
+    x = np.stack(con.sql("SELECT embedding FROM embeddings").fetchnumpy()["embedding"]).astype(float)
+    got = catalog.QUERIES["gram_matrix_whole"](spark, SF).toPandas()
+    assert len(got) == 64 * 64
+    assert np.abs((x.T @ x)[got.i, got.j] - got.v).max() < 1e-5
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
