@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -96,6 +97,24 @@ def wavelet_haar_project(spark, sf_dir):
     return rounded(temporal.project(w, bases.basis_matrix("wavelet", 16, 16, wavelet="haar")), "value", digits=6)
 
 
+def _haar_of_series(rows):
+    """Haar coefficients of one series, zero-padded to a power of two, numbered from fine to coarse."""
+    x = rows.sort_values("t").value.to_numpy()
+    x = np.concatenate([x, np.zeros((1 << (len(x) - 1).bit_length()) - len(x))])
+    parts = []
+    while len(x) > 1:
+        parts.append((x[1::2] - x[::2]) / np.sqrt(2))
+        x = (x[::2] + x[1::2]) / np.sqrt(2)
+    c = np.concatenate([*parts, x])
+    return pd.DataFrame({"run_id": rows.run_id.iloc[0], "k": np.arange(len(c), dtype=np.int32), "vox": rows.vox.iloc[0], "value": c})
+
+
+@query()
+def wavelet_haar_project_whole(spark, sf_dir):
+    """Over whole series; the SQL of wavelet_haar_project has their first 16 points."""
+    return rounded(embeddings(spark, sf_dir).groupBy("run_id", "vox").applyInPandas(_haar_of_series, "run_id string, k int, vox int, value double"), "value", digits=6)
+
+
 #: A basis that SQL can write too: 4 cosines over the 64 elements.
 def _space_basis(spark, k: int = 4):
     grid = spark.range(64 * k).select(F.floor(F.col("id") / k).cast("int").alias("vox"), (F.col("id") % k).cast("int").alias("k"))
