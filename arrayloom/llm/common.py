@@ -59,6 +59,19 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") ->
     return left.withColumn("_tag", tag).join(right.withColumn("_tag", tag), [key, "_tag"], how).drop("_tag")
 
 
+#: A table is sent to all executors only if it takes no more bytes than this.
+BROADCAST_BYTES = 32_000_000
+
+
+def bounded_broadcast(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A staged table, marked for broadcasting if its measured size allows; else left to a shuffle join.
+
+    Only the sum of its rows' sizes comes to the driver.
+    """
+    size = table.select(F.sum(F.octet_length(F.to_json(F.struct("*"))) + 32)).first()[0] or 0
+    return F.broadcast(table) if size <= limit else table
+
+
 def worker_cache(name: str, make):
     """Something dear to build, kept for later tasks of the same Python worker."""
     kept = sys.__dict__.setdefault("_arrayloom_kept", {})

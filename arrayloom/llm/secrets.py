@@ -5,9 +5,9 @@ with letters and digits. A window of 20 characters slides over it; counts by cha
 that enters and the one that leaves, and so does the sum of c*log2(c), which gives the entropy. The
 threshold depends on the candidate's character class. An allow-list suppresses what isn't secret.
 
-Candidates end at fixed patterns' matches. One that isn't reported as a whole is looked at by its parts
-between / and =: first by those in a row that hold no sample word, then one by one. The query
-op1_secret_scan takes joined runs, as its SQL does; the pipeline cuts them.
+Candidates end at fixed patterns' matches and at words that mark a sample, as no window that
+holds one of these counts. A candidate that isn't reported as a whole is looked at by its parts
+between / and =, as paths and addresses join a secret with much else.
 """
 
 from __future__ import annotations
@@ -18,23 +18,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, let
-from .spans import SPAN, of_kind, pattern_spans, redacted, written
+from .spans import SPAN, blanked, of_kind, pattern_spans, redacted, written
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: {14,} and {16,} find what + and a filter on length would: a shorter run has no match in it.
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-PART = r"[A-Za-z0-9+_-]"
+PART = r"[A-Za-z0-9+_-]{20,}"
 WINDOW = 20
 #: Least bits a character, of log2(20) = 4.32 at most, by class.
 BITS = {"hex": 3.0, "alnum": 3.6, "base64": 3.8}
-#: Not secrets: UUIDs, lower-case words joined by marks, paths and dates, and samples marked as such.
+#: Not secrets: UUIDs, words joined by marks, paths and dates.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[A-Za-z]*(?:[-_/=+][A-Za-z]+|[-_/=+][0-9]{1,4})*[-_/=+]*$",
-    r"(?i)example|placeholder|changeme|dummy|sample|x{6,}|0{8,}|1234567890",
 )
+#: Marks of a sample: no window that holds one counts, so candidates are cut there.
+SAMPLE = r"(?i)example|placeholder|changeme|dummy|sample|x{6,}|0{8,}|1234567890"
 
 _C_LOG_C = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
@@ -67,71 +68,47 @@ def window_entropy(s: Column, window: int = WINDOW) -> Column:
     return F.when(F.char_length(s) >= window, let(F.split(s, ""), of)).otherwise(0.0)
 
 
-def _high_entropy(s: Column, allow: tuple[str, ...]) -> Column:
+def _high_entropy(s: Column) -> Column:
     mixed = s.rlike("[0-9]") & s.rlike("[A-Za-z]")
     allowed = F.lit(False)
-    for pattern in allow:
+    for pattern in ALLOW:
         allowed = allowed | s.rlike(pattern)
     least = F.when(s.rlike("^[0-9A-Fa-f]+$"), BITS["hex"]).when(s.rlike("^[A-Za-z0-9]+$"), BITS["alnum"]).otherwise(BITS["base64"])
     return F.when(mixed & ~allowed, window_entropy(s) >= least).otherwise(F.lit(False))
 
 
-def _without(text: Column, spans: Column) -> Column:
-    """The text with blanks in the places of spans that are sorted by start."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        blank = F.repeat(F.lit(" "), (s["end"] - F.greatest(s["start"], acc["at"])).cast("int"))
-        return F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], before, blank).alias("out")))
-
-    rest = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2147483647))))
-    return F.when(F.size(spans) > 0, rest).otherwise(text)
-
-
-def _in_parts(run: Column, allow: tuple[str, ...]) -> Column:
-    """The run if it is of high entropy, else its parts that are: spans like the run."""
-    samples = "|".join(f"(?:{p})" for p in allow if not p.startswith("^"))
-    part = rf"(?!{PART}*?(?:{samples})){PART}++" if samples else rf"{PART}++"
-    secret = lambda s: _high_entropy(s["text"], allow)
-    long = lambda found: F.filter(found, lambda s: F.when(F.char_length(s["text"]) >= WINDOW, secret(s)).otherwise(F.lit(False)))
-
-    def parts(rows: Column) -> Column:
-        single = F.filter(pattern_spans(run["text"], rf"{PART}{{{WINDOW},}}"), lambda s: ~F.exists(rows, lambda r: (r["start"] < s["end"]) & (s["start"] < r["end"])))
-        return F.concat(rows, F.filter(single, secret))
-
-    placed = F.transform(let(long(pattern_spans(run["text"], rf"(?<![^/=]){part}(?:[/=]++{part})*+")), parts), lambda s: F.struct((run["start"] + s["start"]).alias("start"), (run["start"] + s["end"]).alias("end"), s["text"].alias("text"), s["part"].alias("part")))
+def _in_parts(run: Column) -> Column:
+    """The run if it is of high entropy, else its parts between / and = that are: spans like the run."""
+    secret = lambda s: _high_entropy(s["text"])
+    part = F.filter(pattern_spans(run["text"], PART), secret)
+    placed = F.transform(part, lambda s: F.struct((run["start"] + s["start"]).alias("start"), (run["start"] + s["end"]).alias("end"), s["text"].alias("text"), s["part"].alias("part")))
     return F.when(secret(run), F.array(run)).when(run["text"].rlike("[/=]"), placed).otherwise(F.array().cast(SPAN))
 
 
-def secret_spans(text: Column, allow: tuple[str, ...] = ALLOW, joined: bool = False) -> Column:
-    """struct(base, spans, n_assign, n_access, n_hex); spans are sorted by start, then kind.
-
-    joined: runs that touch a base span are left out, and no run is looked at by its parts.
-    """
+def secret_spans(text: Column) -> Column:
+    """struct(base, spans, n_assign, n_access, n_hex); spans are sorted by start, then kind."""
     assign = F.filter(pattern_spans(text, ASSIGN, 1), lambda s: F.char_length(s["part"]) >= 12)
     base = F.sort_array(F.concat(of_kind(assign, 0, "assign"), of_kind(pattern_spans(text, ACCESS), 1, "access"), of_kind(pattern_spans(text, HEX), 2, "hex")))
 
     def both(b: Column) -> Column:
-        free = lambda s: ~F.exists(b, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"]))
-        if joined:
-            more = F.filter(pattern_spans(text, CANDIDATE), lambda s: F.when(free(s), _high_entropy(s["text"], allow)).otherwise(F.lit(False)))
-        else:
-            more = let(_without(text, b), lambda rest: F.flatten(F.transform(pattern_spans(rest, CANDIDATE), lambda s: _in_parts(s, allow))))
+        cut = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))
+        cuts = F.sort_array(F.concat(F.transform(b, cut), F.transform(pattern_spans(text, SAMPLE), cut)))
+        more = let(blanked(text, cuts), lambda rest: F.flatten(F.transform(pattern_spans(rest, CANDIDATE), _in_parts)))
+        more = F.when(text.rlike(CANDIDATE), more).otherwise(F.array().cast(SPAN))
         number = lambda rank: F.size(F.filter(b, lambda s: s["rank"] == rank)).cast("long")
         return F.struct(b.alias("base"), F.sort_array(F.concat(b, of_kind(more, 3, "entropy"))).alias("spans"), number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"))
 
     return let(base, both)
 
 
-def secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOW, joined: bool = False) -> DataFrame:
+def secrets(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, the counts of the base kinds, base_sha256, spans, n_entropy.
 
     Null text counts as empty and has no spans. Repeated rows each return a row; other columns
     are ignored; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = docs.select("doc_id", text.alias("text")).select("doc_id", secret_spans(F.col("text"), allow, joined).alias("f"))
+    found = docs.select("doc_id", text.alias("text")).select("doc_id", secret_spans(F.col("text")).alias("f"))
     return found.select(
         "doc_id", "f.n_assign", "f.n_access", "f.n_hex", F.sha2(written(F.col("f.base")), 256).alias("base_sha256"), written(F.col("f.spans")).alias("spans"), (F.size("f.spans") - F.size("f.base")).cast("long").alias("n_entropy")
     )
@@ -147,7 +124,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets(documents(spark, sf_dir), joined=True)
+    return secrets(documents(spark, sf_dir))
 
 
 def _sql_spans(kind: str, rank: int, pattern: str, least: int = 0, group: int = 0) -> str:
@@ -161,14 +138,24 @@ def _sql_spans(kind: str, rank: int, pattern: str, least: int = 0, group: int =
 
 _ALLOWED = " OR ".join(f"regexp_matches(m, '{p}')" for p in ALLOW)
 
+
+def _sql_islands(of: str, chars: str) -> str:
+    """Runs of WINDOW characters or more in a row: doc_id, start, m."""
+    return f"SELECT doc_id, min(pos) AS start, string_agg(ch, '' ORDER BY pos) AS m FROM (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM {of} WHERE {chars}) GROUP BY doc_id, island HAVING count(*) >= {WINDOW}"
+
+
 SQL = (
     "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), "
     f"b AS ({_sql_spans('assign', 0, ASSIGN, 12, 1)} UNION ALL {_sql_spans('access', 1, ACCESS)} UNION ALL {_sql_spans('hex', 2, HEX)}), "
-    f"c AS (SELECT * FROM ({_sql_spans('entropy', 3, CANDIDATE)}) x WHERE regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND NOT ({_ALLOWED}) "
-    "AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = x.doc_id AND b.start < x.start + length(x.m) AND x.start < b.start + length(b.m))), "
-    f"w AS (SELECT doc_id, start, m, unnest(range(1, length(m) - {WINDOW} + 2)) AS i FROM c), "
-    f"h AS (SELECT doc_id, start, i, log2({WINDOW}.0) - sum(n * log2(n)) / {WINDOW} AS bits FROM (SELECT doc_id, start, i, ch, count(*) AS n FROM (SELECT doc_id, start, i, unnest(string_split(m[i:i + {WINDOW - 1}], '')) AS ch FROM w) GROUP BY ALL) GROUP BY ALL), "
-    f"e AS (SELECT c.* FROM c JOIN (SELECT doc_id, start, max(bits) AS bits FROM h GROUP BY ALL) USING (doc_id, start) WHERE bits >= CASE WHEN regexp_matches(m, '^[0-9A-Fa-f]+$') THEN {BITS['hex']} WHEN regexp_matches(m, '^[A-Za-z0-9]+$') THEN {BITS['alnum']} ELSE {BITS['base64']} END), "
+    f"cuts AS (SELECT doc_id, start, start + length(m) AS stop FROM b UNION ALL SELECT doc_id, start, start + length(m) FROM ({_sql_spans('sample', 9, SAMPLE)})), "
+    f"chars0 AS (SELECT doc_id, unnest(range(start, start + length(m))) AS pos, unnest(string_split(m, '')) AS ch FROM ({_sql_spans('run', 9, CANDIDATE)})), "
+    "chars AS (SELECT * FROM chars0 x WHERE NOT EXISTS (SELECT 1 FROM cuts WHERE cuts.doc_id = x.doc_id AND cuts.start <= x.pos AND x.pos < cuts.stop)), "
+    f"c0 AS (SELECT *, false AS part FROM ({_sql_islands('chars', 'true')}) UNION ALL SELECT *, true FROM ({_sql_islands('chars', chr(39).join(['ch NOT IN (', '/', ', ', '=', ')']))})), "
+    f"c AS (SELECT * FROM c0 WHERE regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND NOT ({_ALLOWED})), "
+    f"w AS (SELECT doc_id, start, part, m, unnest(range(1, length(m) - {WINDOW} + 2)) AS i FROM c), "
+    f"h AS (SELECT doc_id, start, part, i, log2({WINDOW}.0) - sum(n * log2(n)) / {WINDOW} AS bits FROM (SELECT doc_id, start, part, i, ch, count(*) AS n FROM (SELECT doc_id, start, part, i, unnest(string_split(m[i:i + {WINDOW - 1}], '')) AS ch FROM w) GROUP BY ALL) GROUP BY ALL), "
+    f"e0 AS (SELECT c.* FROM c JOIN (SELECT doc_id, start, part, max(bits) AS bits FROM h GROUP BY ALL) USING (doc_id, start, part) WHERE bits >= CASE WHEN regexp_matches(m, '^[0-9A-Fa-f]+$') THEN {BITS['hex']} WHEN regexp_matches(m, '^[A-Za-z0-9]+$') THEN {BITS['alnum']} ELSE {BITS['base64']} END), "
+    "e AS (SELECT doc_id, start, 3 AS rank, m, 'entropy' AS kind FROM e0 x WHERE NOT part OR NOT EXISTS (SELECT 1 FROM e0 y WHERE NOT y.part AND y.doc_id = x.doc_id AND y.start <= x.start AND x.start < y.start + length(y.m))), "
     "s AS (SELECT *, concat(kind, ':', start, ':', start + length(m)) AS x FROM (SELECT * FROM b UNION ALL SELECT * FROM e)), "
     "a AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex, count(*) FILTER (rank = 3) AS n_entropy, "
     "coalesce(string_agg(x, ',' ORDER BY start, rank) FILTER (rank < 3), '') AS base, string_agg(x, ',' ORDER BY start, rank) AS spans FROM s GROUP BY doc_id) "

@@ -41,6 +41,19 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def blanked(text: Column, spans: Column, fill: str = " ") -> Column:
+    """The text with a filler in the places of spans that are sorted by start."""
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        before = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+        blank = F.repeat(F.lit(fill), (s["end"] - F.greatest(s["start"], acc["at"])).cast("int"))
+        return F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], before, blank).alias("out")))
+
+    rest = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2147483647))))
+    return F.when(F.size(spans) > 0, rest).otherwise(text)
+
+
 def redacted(text: Column, spans: Column) -> Column:
     """The text with every span, sorted by start, replaced by its kind in brackets; overlaps count once."""
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
