@@ -73,47 +73,82 @@ def test_packing(make, odd_rows, limits):
         assert total == most or total & (total - 1) == 0  # nothing is padded
 
 
-def kneser_ney(rows, training):
+def kneser_ney(rows, training, order):
     """The same model over dictionaries."""
-    end = "</s>"
+    end, start = "</s>", "<s>"
     tokens = {i: [*((t or "").encode().lower().split()), end] for i, t in rows}
     own = [tokens[i] for i in training]
-    c1 = collections.Counter(w for t in own for w in t)
-    c2 = collections.Counter(b for t in own for b in zip(["<s>", *t[:-1]], t, strict=True))
-    before = collections.Counter(w for _, w in c2)
-    d2, d1 = (ngram_lm._discounts([sum(v == k for v in c.values()) for k in range(1, 5)]) for c in (c2, before))
-    total, kinds = collections.Counter(), collections.defaultdict(lambda: [0, 0, 0])
-    for (v, _), n in c2.items():
-        total[v] += n
-        kinds[v][min(n, 3) - 1] += 1
-    mass = sum(d1[min(n, 3) - 1] for n in before.values()) / max(1, len(c2)) if c2 else 1.0
-
-    def p(v, w):
-        n = before.get(w, 0)
-        low = (max(n - d1[min(n, 3) - 1], 0) if n else 0) / max(1, len(c2)) + mass / (len(c1) + 1)
-        if v not in total:
-            return low
-        n = c2.get((v, w), 0)
-        return (max(n - d2[min(n, 3) - 1], 0) if n else 0) / total[v] + sum(a * b for a, b in zip(d2, kinds[v], strict=True)) / total[v] * low
-
-    scores = {i: (len(t), sum(w in c1 for w in t), sum(math.log10((c1.get(w, 0) + 1) / (sum(c1.values()) + len(c1) + 1)) for w in t), sum(math.log10(p(v, w)) for v, w in zip(["<s>", *t[:-1]], t, strict=True))) for i, t in tokens.items()}
-    return scores, sum(c1.values()), sum(p("the".encode(), w) for w in c1) + p("the".encode(), "unseen")
-
-
-def test_language_model(make, odd_rows):
-    rows = [(i, t) for i, t in dict(r for r in odd_rows if r[0] is not None).items()] + [(100 + k, "The cat and the dog saw the " + prose(k, 60, 90)) for k in range(50)]
+    words = collections.Counter(w for t in own for w in t)
+    count = {k: collections.Counter() for k in range(1, order + 1)}
+    for t in own:
+        t = [start, *t]
+        for i in range(1, len(t)):
+            for k in range(2, order + 1):
+                if i - k + 1 >= 0 and (k == order or i - k + 1 == 0):
+                    count[k][tuple(t[i - k + 1 : i + 1])] += 1
+    for k in range(order, 1, -1):
+        for g in list(count[k]):
+            count[k - 1][g[1:]] += 1
+    discounts = {k: ngram_lm._discounts([sum(v == n for v in c.values()) for n in range(1, 5)]) for k, c in count.items()}
+    after = {k: collections.defaultdict(lambda: [0, 0, 0, 0]) for k in count}
+    for k, c in count.items():
+        for g, n in c.items():
+            s = after[k][g[:-1]]
+            s[0] += n
+            s[min(n, 3)] += 1
+
+    def p(context, w):
+        out = 1 / (len(words) + 1)
+        for k in range(1, len(context) + 2):
+            c = tuple(context[len(context) - k + 1 :])
+            if c in after[k]:
+                n, s = count[k].get((*c, w), 0), after[k][c]
+                out = (max(n - discounts[k][min(n, 3) - 1], 0) if n else 0) / s[0] + sum(a * b for a, b in zip(discounts[k], s[1:], strict=True)) / s[0] * out
+        return out
+
+    total, scores = sum(words.values()), {}
+    for i, t in tokens.items():
+        padded = [start, *t]
+        model = sum(math.log10(p(padded[max(0, j - order + 1) : j], padded[j])) for j in range(1, len(padded)))
+        scores[i] = (len(t), sum(w in words for w in t), sum(math.log10((words.get(w, 0) + 1) / (total + len(words) + 1)) for w in t), model)
+    return scores, total, sum(p([b"the"], w) for w in [*words, "unseen"])
+
+
+@pytest.mark.parametrize(("order", "shard"), [(2, 2000), (3, 2000), (4, 500), (3, 10**6)])
+def test_language_model(make, odd_rows, order, shard):
+    rows = [*odd_rows, *((100 + k, "The cat and the dog saw the " + prose(k, 60, 90)) for k in range(50)), (300, prose(3, 40, 90) + " never heard of")]
+    rows = [(10**6 + k if i is None else i * 100 + k, t) for k, (i, t) in enumerate(rows)]  # repeated rows and those without an id count each
     training = [i for i, _ in rows if i % 4]
     df = make(rows)
-    model = ngram_lm.fit(df.where("doc_id % 4 != 0").repartition(3), keys_a_shard=2000)
+    model = ngram_lm.fit(df.where("doc_id % 4 != 0").repartition(3), order=order, keys_a_shard=shard)
     got = ngram_lm.score(df, model).toPandas()
-    want, total, mass = kneser_ney(rows, training)
-    assert mass == pytest.approx(1.0)
+    want, total, mass = kneser_ney(rows, training, order)
+    assert mass == pytest.approx(1.0) and len(got) == len(rows)
     for r in got.itertuples():
         n, known, base, own = want[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(own, rel=1e-9)
 
 
+def test_language_model_takes_repeated_and_missing_ids(make, odd_rows):
+    model = ngram_lm.fit(make(odd_rows))
+    got = ngram_lm.score(make(odd_rows), model).toPandas()
+    assert len(got) == len(odd_rows) and got.doc_id.isna().sum() == sum(i is None for i, _ in odd_rows)
+    assert got[got.doc_id == 5].score.nunique() == 1
+
+
+def test_tables_of_hashes(tmp_path):
+    """Every key with its counts, small and large; no other key."""
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64))
+    for columns in (1, 4):
+        values = rng.choice([1, 2, 3, 4, 254, 255, 256, 10**12], (len(keys), columns))
+        ngram_lm.write_table(str(tmp_path), f"t{columns}", keys, values)
+        table = ngram_lm.Table(str(tmp_path), f"t{columns}")
+        assert (table.look_up(keys, columns) == values).all()
+        assert not table.look_up(np.setdiff1d(rng.integers(0, 2**64, 5000, dtype=np.uint64), keys), columns).any()
+
+
 def test_language_model_without_texts(make):
     model = ngram_lm.fit(make([]))
     got = ngram_lm.score(make([(1, "a b"), (2, None)]), model).toPandas()
