@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import os
 import sys
 import tempfile
+import uuid
 
+from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +47,29 @@ def staged(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def file_system(folder: str):
+    """The pyarrow file system of a folder, and the folder's path in it."""
+    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(folder))
+
+
+def drop_folder(folder: str) -> None:
+    system, path = file_system(folder)
+    if system.get_file_info(path).type == fs.FileType.Directory:
+        system.delete_dir(path)
+
+
+def as_table(df: DataFrame) -> tuple[DataFrame, str]:
+    """A written table in the shared folder, and its path; it is deleted when the driver ends.
+
+    For loops: unlike a checkpoint it has the size of its files as statistics, not the product of
+    the sizes of all joins before it.
+    """
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    atexit.register(drop_folder, path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def let(value: Column, body) -> Column:
     """Bind an array or scalar once; a plain alias inside a lambda is evaluated for each element."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -7,11 +7,13 @@
    frequency, a pair with that many matches meets in the first 64 - min_matches + 1 tokens
    of both (prefix), and the long lists after it are skipped and probed by signature.
 3. Candidates are gathered into clusters: every posting links its members to its most central one,
-   by signature; postings that still hold several clusters are compared in blocks, which return
-   a spanning forest of their candidate pairs and not the pairs.
-4. Within a cluster, blocks of full shingle sets are intersected exactly, as a matrix product over
-   the shingles that two or more of them hold. Again a spanning forest of the links comes out. So
-   no link is left out, copies aren't expanded into pairs, and no group meets in one task.
+   by signature. In postings that still hold several clusters, all that isn't in the largest one is compared in
+   blocks with everything, which returns a spanning forest of the candidate pairs and not the pairs.
+4. Large clusters are compared with a few representatives first, exactly, a row a member and representative;
+   what hangs together by them is one part. Then all that isn't in the largest part is compared in blocks with
+   everything: full shingle sets are intersected as a matrix product over the shingles that two or more
+   of them hold. So no link is left out, copies aren't expanded into pairs, no group meets in one task,
+   and copies of one text cost rows in proportion to their number.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, ship, skew_join, staged
+from .common import as_table, documents, ship, skew_join
 from .components import connected_components
 from .shingles import WordHashes, coefficients, shingle_set, signature
 
@@ -33,6 +35,10 @@ COORDINATES = 64
 _SIGNED = "doc_id long, n long, set_hash binary, sig binary"
 
 
+def _table(df: DataFrame) -> DataFrame:
+    return as_table(df)[0]
+
+
 def _sign(width: int):
     def run(batches):
         a, b = coefficients(COORDINATES)
@@ -163,32 +169,82 @@ def _linked(shingles: int, percent: int):
     return run
 
 
-def _block_pairs(members: DataFrame, group: str, block: int) -> DataFrame:
-    """Deals members(group, m, doc, ...), m of them in the group, to pairs (p, q) of blocks.
+def _compared(width: int, percent: int):
+    """Rows (a, b, text of a, text of b): the pairs that are similar. Rows of one a follow each other."""
 
-    Any two members meet in a pair. A group of up to block members is the pair (0, 0).
-    """
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    other = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: (k != F.col("own")) | (F.col("blocks") == 1))
-    out = members.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(other))
-    rest = [c for c in members.columns if c not in (group, "m")]
-    return out.select(group, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), *rest)
+    def run(batches):
+        hashes = WordHashes()
+        last, own = None, None
+        for batch in batches:
+            a, b = [], []
+            for x, y, t, u in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if t != last:
+                    last, own = t, shingle_set(t, width, hashes)
+                other = shingle_set(u, width, hashes)
+                common = len(np.intersect1d(own, other, assume_unique=True))
+                if 100 * common >= percent * (len(own) + len(other) - common):
+                    a.append(x)
+                    b.append(y)
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
 
 
-def near_components(docs: DataFrame, width: int = 5, percent: int = 80, min_matches: int = 34, block: int = 1024) -> DataFrame:
+def _block_pairs(members: DataFrame, group: str, block: int, block_shingles: int) -> DataFrame:
+    """Deals members(group, part, doc, n, ...) to pairs (p, q) of blocks, by documents and by shingles.
+
+    Any two members of a group meet in a pair, unless both are in its largest part. A group of one block
+    is the pair (0, 0); one of a single part isn't dealt.
+    """
+    parts = members.groupBy(group, "part").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    sizes = parts.groupBy(group).agg(F.max(F.struct("m", "s", "part")).alias("top"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.count("*").alias("parts")).where("parts > 1")
+    number = lambda m, s: F.greatest(F.ceil(m / block), F.ceil(s / block_shingles), F.lit(1)).cast("int")
+    main = number(F.col("top.m"), F.col("top.s"))
+    sizes = sizes.select(group, F.col("top.part").alias("largest"), F.when(number(F.col("m"), F.col("s")) == 1, 0).otherwise(main).alias("main"), number(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s")).alias("rest"))
+    out = skew_join(members, sizes, group, "inner")
+    inside = (F.col("part") == F.col("largest")) & (F.col("main") > 0)
+    own = F.when(inside, F.pmod(F.xxhash64("doc"), F.col("main"))).otherwise(F.col("main") + F.pmod(F.xxhash64("doc"), F.col("rest"))).cast("int")
+    other = F.sequence(F.when(inside, F.col("main")).otherwise(0), F.col("main") + F.col("rest") - 1)
+    out = out.withColumn("own", own).withColumn("other", F.explode(other))
+    rest = [c for c in members.columns if c not in (group, "part", "n")]
+    return out.select(group, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "doc", "n", *(c for c in rest if c != "doc"))
+
+
+def _by_representatives(members: DataFrame, texts: DataFrame, width: int, percent: int, rounds: int = 2) -> DataFrame:
+    """Edges (a, b) between representatives of clusters (c, doc) and the members they are linked with.
+
+    A representative is drawn by hash from those that aren't linked with an earlier one. Each
+    round sends every member's text once, whatever the cluster's size.
+    """
+    edges, open_ = None, members
+    for k in range(rounds):
+        heads = _table(open_.groupBy("c").agg(F.min(F.struct(F.xxhash64("doc", F.lit(k)), "doc"))["doc"].alias("a")))
+        if heads.isEmpty():
+            break
+        of_heads = heads.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("head")), "a")
+        pairs = skew_join(members, of_heads, "c", "inner").where("a != doc").join(texts, "doc").select("a", F.col("doc").alias("b"), "head", "text")
+        found = _table(pairs.sortWithinPartitions("a").mapInArrow(_compared(width, percent), "a long, b long"))
+        edges = found if edges is None else edges.unionByName(found)
+        done = found.select(F.col("b").alias("doc")).union(heads.select("a"))
+        open_ = _table(open_.join(done.distinct(), "doc", "left_anti"))
+    return edges
+
+
+def near_components(docs: DataFrame, width: int = 5, percent: int = 80, min_matches: int = 34, block: int = 1024, block_shingles: int = 2_000_000) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Null and blank texts have an empty set and link with nothing. Rows that repeat a doc_id each
-    return a row; a null doc_id is linked with nothing (component null, kept false). Other
-    columns are ignored; an empty table gives no rows.
+    return a row, with their own n_shingles; they are one document, linked with all that any of its texts is
+    similar to. A null doc_id is linked with nothing (component null, kept false). Other
+    columns are ignored; an empty table gives no rows. Blocks hold about block documents and
+    block_shingles shingles; a longer text makes a block of its own.
 
     min_matches 34 of 64 lets a pair at similarity 0.80 through with probability above 1 - 1e-6.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
-    signed = staged(docs.mapInArrow(_sign(width), _SIGNED))
+    signed = _table(docs.mapInArrow(_sign(width), _SIGNED))
     some = signed.where("doc_id IS NOT NULL AND set_hash IS NOT NULL")
-    classes = staged(some.groupBy("set_hash").agg(F.min(F.struct("doc_id", "n", "sig")).alias("m")).select("set_hash", "m.*"))
+    classes = _table(some.groupBy("set_hash").agg(F.min(F.struct("doc_id", "n", "sig")).alias("m")).select("set_hash", "m.*"))
     known = docs.where("doc_id IS NOT NULL")
 
     tokens = classes.select("doc_id", "sig").mapInArrow(_post, "doc long, token long")
@@ -198,27 +254,34 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, min_matc
     lists = shared.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("t"))  # 64 at most
     lists = lists.withColumn("shared", F.aggregate("t", F.lit(0.0), lambda s, x: s + F.log2(x["f"].cast("double"))))
     prefix = F.slice("t", 1, F.greatest(F.lit(0), room - (COORDINATES - F.size("t"))))
-    postings = staged(lists.select("doc", "shared", F.explode(prefix).alias("x")).select("doc", "shared", "x.token"))
+    postings = _table(lists.select("doc", "shared", F.explode(prefix).alias("x")).select("doc", "shared", "x.token"))
 
     sigs = classes.select("doc_id", "n", "sig")
     heads = postings.groupBy("token").agg(F.max(F.struct("shared", (-F.col("doc")).alias("doc")))["doc"].alias("a"))
     stars = skew_join(postings, heads.select("token", (-F.col("a")).alias("a")), "token", "inner").where("a != doc").select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")).distinct()
-    stars = staged(_enough(stars, sigs, min_matches, percent))
+    stars = _table(_enough(stars, sigs, min_matches, percent))
     near = connected_components(stars)
 
     placed = skew_join(postings, near.select(F.col("v").alias("doc"), "c"), "doc").select("token", "doc", F.coalesce("c", "doc").alias("c"))
     state = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("who")).where("lo < hi")
     open_ = state.groupBy("m", "who", "lo", "hi").agg(F.min("token").alias("token")).select("token", "m")  # equal lists once
-    mixed = skew_join(skew_join(placed, open_, "token", "inner").select("token", "m", "doc"), sigs.withColumnRenamed("doc_id", "doc"), "doc", "inner").select("token", "m", "doc", "n", "sig")
-    dealt = _block_pairs(mixed, "token", block).repartition("token", "p", "q").sortWithinPartitions("token", "p", "q")
-    more = staged(dealt.mapInArrow(_agreeing(min_matches, percent), "a long, b long").distinct())
-    clusters = staged(connected_components(stars.unionByName(more)).select("c", F.col("v").alias("doc")))
+    mixed = skew_join(skew_join(placed, open_, "token", "inner").select("token", "c", "doc"), sigs.withColumnRenamed("doc_id", "doc"), "doc", "inner").select("token", F.col("c").alias("part"), "doc", "n", "sig")
+    dealt = _block_pairs(mixed, "token", block, 64 * block_shingles).repartition("token", "p", "q").sortWithinPartitions("token", "p", "q")
+    more = _table(dealt.mapInArrow(_agreeing(min_matches, percent), "a long, b long").distinct())
+    clusters = _table(connected_components(stars.unionByName(more)).select("c", F.col("v").alias("doc")))
 
-    sizes = clusters.groupBy("c").agg(F.count("*").alias("m"))
-    members = skew_join(clusters, sizes, "c", "inner").select("c", "m", "doc")
     texts = known.select(F.col("doc_id").alias("doc"), "text")
-    dealt = _block_pairs(members.join(texts, "doc"), "c", block // 2).repartition("c", "p", "q").sortWithinPartitions("c", "p", "q")
-    labels = connected_components(dealt.mapInArrow(_linked(width, percent), "a long, b long"))
+    weighed = skew_join(clusters, sigs.groupBy("doc_id").agg(F.max("n").alias("n")).withColumnRenamed("doc_id", "doc"), "doc", "inner")
+    sizes = clusters.groupBy("c").agg(F.count("*").alias("m"))
+    large = _table(skew_join(clusters, sizes.where(F.col("m") > block // 2), "c", "inner").select("c", "doc"))
+    parted, links = weighed.withColumn("part", F.col("doc")), None
+    if not large.isEmpty():
+        links = _by_representatives(large, texts, width, percent)
+        parts = connected_components(links).select(F.col("v").alias("doc"), F.col("c").alias("part"))
+        parted = skew_join(weighed, parts, "doc").select("c", "doc", "n", F.coalesce("part", "doc").alias("part"))
+    dealt = _block_pairs(_table(parted.select("c", "part", "doc", "n")), "c", block // 2, block_shingles).join(texts, "doc").select("c", "p", "q", "doc", "text")
+    edges = dealt.repartition("c", "p", "q").sortWithinPartitions("c", "p", "q").mapInArrow(_linked(width, percent), "a long, b long")
+    labels = connected_components(edges if links is None else edges.unionByName(links))
 
     named = classes.select("set_hash", F.col("doc_id").alias("v")).join(labels, "v", "left").select("set_hash", F.coalesce("c", "v").alias("c"))
     out = skew_join(signed, named, "set_hash")

@@ -37,7 +37,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, in_blocks, shared_dir, ship, worker_cache
+from .common import documents, drop_folder, file_system, in_blocks, shared_dir, ship, worker_cache
 from .shingles import mix
 
 ship(__name__)
@@ -53,13 +53,9 @@ _CONTEXTS, _WORDS, _FACTS = 1000, 0, -1
 # ---- files -----------------------------------------------------------------------------------
 
 
-def _file_system(folder: str):
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(folder))
-
-
 def _write(folder: str, name: str, *arrays: np.ndarray) -> None:
     """Arrays, each from a multiple of 8 bytes on; whole or not at all: a repeated task writes the same bytes again."""
-    system, path = _file_system(folder)
+    system, path = file_system(folder)
     system.create_dir(path, recursive=True)
     part = f"{path}/.{name}-{uuid.uuid4().hex}"
     with system.open_output_stream(part) as f:
@@ -71,7 +67,7 @@ def _write(folder: str, name: str, *arrays: np.ndarray) -> None:
 
 def _map(folder: str, name: str) -> np.ndarray:
     """The file's bytes, memory-mapped; from a store that can't be mapped, by way of a temporary file. Empty if there is none."""
-    system, path = _file_system(folder)
+    system, path = file_system(folder)
     path = f"{path}/{name}"
     if system.get_file_info(path).type != fs.FileType.File:
         return np.empty(0, np.uint8)
@@ -83,12 +79,6 @@ def _map(folder: str, name: str) -> np.ndarray:
         return np.memmap(copy, np.uint8, "r") if copy.tell() else np.empty(0, np.uint8)
 
 
-def _drop(folder: str) -> None:
-    system, path = _file_system(folder)
-    if system.get_file_info(path).type == fs.FileType.Directory:
-        system.delete_dir(path)
-
-
 def write_table(folder: str, name: str, hashes: np.ndarray, values: np.ndarray) -> None:
     """Hashes with a row of counts each. Counts take 2 bits (one column) or 8; those that don't fit are listed apart."""
     if not len(hashes):
@@ -418,7 +408,7 @@ def fit(docs: DataFrame, order: int = 3, keys_a_shard: int = 2_000_000) -> Model
         raise ValueError("order must be 2 at least")
     spark = docs.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/ngram-lm-{uuid.uuid4().hex}"
-    atexit.register(_drop, folder)
+    atexit.register(drop_folder, folder)
     texts = docs.select(F.lit(0).alias("i"), F.col("text").cast("string").cast("binary").alias("text"))
     parts = max(1, texts.rdd.getNumPartitions() // 2)
 

@@ -99,6 +99,45 @@ def test_near_odd_rows(make, odd_rows):
             assert not r.kept and r.component_id != r.component_id
 
 
+def test_near_copies_cost_rows_in_proportion(make, spark):
+    """Near copies of one text: rows that are dealt to compared blocks, and those sent to representatives."""
+    base, sent = prose(5, 60, 3000).split(), {}
+    from pyspark.sql import functions as F
+
+    for m in (600, 2400):
+        rows = [(k, " ".join(w if j != k % 60 else f"e{k}" for j, w in enumerate(base))) for k in range(m)]
+        df = make(rows)
+        got = near_dedup.near_components(df, width=2, block=64).toPandas()
+        assert (got.component_id == 0).all()
+        members = df.select(F.lit(0).alias("c"), F.col("doc_id").alias("doc"))
+        texts = df.select(F.col("doc_id").alias("doc"), F.encode("text", "utf-8").alias("text"))
+        links = near_dedup._by_representatives(members, texts, 2, 80)
+        parts = near_dedup.connected_components(links).select(F.col("v").alias("doc"), F.col("c").alias("part"))
+        dealt = near_dedup._block_pairs(members.join(parts, "doc").withColumn("n", F.lit(59)), "c", 32, 10**6)
+        sent[m] = links.count(), dealt.count()
+    assert sent[600][0] >= 599 and sent[2400][0] <= 4.2 * sent[600][0] and sent[2400][1] == 0
+
+
+def test_near_blocks_of_groups_that_stay_apart(make, spark):
+    """Pairs inside the largest part aren't dealt; every other pair meets in exactly one block pair at least."""
+    rows = [(0, k % 3 if k % 5 else 7, k, 10) for k in range(60)]
+    df = spark.createDataFrame(rows, "c long, part long, doc long, n long")
+    got = near_dedup._block_pairs(df, "c", 8, 10**6).toPandas()
+    part = {r[2]: r[1] for r in rows}
+    met = set()
+    for _, x in got.groupby(["p", "q"]):
+        docs = sorted(x.doc)
+        met |= {(a, b) for a in docs for b in docs if a < b}
+    largest = max(set(part.values()), key=lambda p: (list(part.values()).count(p), p))
+    assert {(a, b) for a in part for b in part if a < b and not part[a] == part[b] == largest} <= met
+
+
+def test_near_repeated_ids_are_one_document(make):
+    x, y = prose(1, 50, 3000), prose(2, 50, 3000)
+    got = near_dedup.near_components(make([(5, x), (5, y), (7, x + " tail"), (9, y), (11, prose(3, 50, 3000))]), width=2).toPandas()
+    assert sorted(zip(got.doc_id, got.component_id, strict=True)) == [(5, 5), (5, 5), (7, 5), (9, 5), (11, 11)]
+
+
 def test_near_stage_keeps_one_of_each(make, spark):
     rows = near_rows()
     out = near_dedup.near_dedup_stage(spark, make(rows), "")
