@@ -2,37 +2,28 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, ship, skew_join, staged
-
-ship(__name__)
+from .common import documents, skew_join, staged
 
+#: translate() with these two alphabets lower-cases A-Z only.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-def _keys(prefix_bytes: int, full: bool):
-    def run(batches):
-        for b in batches:
-            ids, n, prefix, digest = b.column(0), [], [], []
-            for t in b.column(1):
-                t = (t.as_py() or b"").lower()  # bytes.lower() changes A-Z only
-                n.append(len(t))
-                prefix.append(xxhash.xxh3_64_intdigest(t[:prefix_bytes]) - (1 << 63))
-                digest.append(hashlib.sha256(t).hexdigest() if full else None)
-            yield pa.record_batch([ids, pa.array(n, pa.int64()), pa.array(prefix, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n", "prefix_hash", "text_sha256"])
 
-    return run
+def lowered(text: Column) -> Column:
+    """A-Z in lower case; where all is ASCII, lower() does the same and is faster."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def _digests(docs: DataFrame, prefix_bytes: int, full: bool) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(_keys(prefix_bytes, full), "doc_id long, n long, prefix_hash long, text_sha256 string")
+def _digests(docs: DataFrame, prefix_chars: int, full: bool) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long"), lowered(text).alias("t"))
+    digest = F.sha2("t", 256) if full else F.lit(None).cast("string")
+    return rows.select("doc_id", F.octet_length("t").cast("long").alias("n"), F.xxhash64(F.substring("t", 1, prefix_chars)).alias("prefix_hash"), digest.alias("text_sha256"))
 
 
-def exact_dedup(docs: DataFrame, prefix_bytes: int = 256, digest_all: bool = True) -> DataFrame:
+def exact_dedup(docs: DataFrame, prefix_chars: int = 256, digest_all: bool = True) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their bytes are after lower-casing A-Z; of equal ones the row with the
@@ -45,18 +36,19 @@ def exact_dedup(docs: DataFrame, prefix_bytes: int = 256, digest_all: bool = Tru
     document); a null doc_id stays only where a group has no other id. An empty table gives
     no rows. Other columns are ignored.
     """
-    rows = staged(_digests(docs, prefix_bytes, digest_all))
+    rows = staged(_digests(docs, prefix_chars, digest_all))
     lengths = rows.groupBy("n").count().where("count > 1").select("n")
-    by_length = rows.join(lengths, "n", "left_semi")
+    by_length = skew_join(rows, lengths, "n", "left_semi")
     prefixes = by_length.groupBy("n", "prefix_hash").count().where("count > 1").select("n", "prefix_hash")
     if digest_all:
-        survivors = by_length.join(prefixes, ["n", "prefix_hash"], "left_semi")
+        pair = F.struct("n", "prefix_hash")
+        survivors = skew_join(by_length.withColumn("p", pair), prefixes.select(pair.alias("p")), "p", "left_semi").drop("p")
     else:
         keys = ["n", "prefix_hash"]
         ids = by_length.join(prefixes, keys, "left_semi").select("doc_id").distinct()
         a, b = docs.select(F.col("doc_id").cast("long"), "text").alias("a"), ids.alias("b")
         some = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "left_semi")
-        survivors = staged(_digests(some, prefix_bytes, True)).join(prefixes, keys, "left_semi")
+        survivors = staged(_digests(some, prefix_chars, True)).join(prefixes, keys, "left_semi")
         rows = rows.join(prefixes, keys, "left_anti").unionByName(survivors)
     groups = survivors.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     out = skew_join(rows, groups, "text_sha256")
@@ -68,9 +60,6 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
-#: translate() with these two alphabets lower-cases A-Z only.
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
 SQL = f"""
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{LOWER}')) AS h FROM documents),
 g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY h)

@@ -73,6 +73,23 @@ def test_packing(make, odd_rows, limits):
         assert total == most or total & (total - 1) == 0  # nothing is padded
 
 
+def test_packing_limits_all_bind(make):
+    """Of the sequences of many documents some are full, some have all their segments, some all their loss."""
+    rows = [(k, prose(k, 900)) for k in range(12)] + [(100 + k, "a b") for k in range(900)] + [(2000 + k, prose(k, 40)) for k in range(60)]
+    got = packing.pack(make(rows).coalesce(1), max_tokens=1024, max_segments=16, max_loss=800, prompt_share=1 / 8).toPandas()
+    by = got.groupby("sequence_id").agg(tokens=("length", "sum"), segments=("length", "size"), loss=("loss_tokens", "sum"))
+    assert (by.tokens <= 1024).all() and (by.segments <= 16).all() and (by.loss <= 800).all()
+    assert (by.tokens == 1024).any() and (by.segments == 16).any() and (by.loss == 800).any()
+    whole = got.groupby("doc_id").agg(loss=("loss_tokens", "sum"), tokens=("doc_tokens", "first"))
+    assert (whole.loss == whole.tokens - whole.tokens // 8).all()
+
+
+def test_packing_repeated_and_missing_ids(make, odd_rows):
+    got = packing.pack(make(odd_rows)).toPandas()
+    starts = got[got.start == 0].doc_id
+    assert len(starts) == len(odd_rows) and starts.isna().sum() == sum(i is None for i, _ in odd_rows)
+
+
 def kneser_ney(rows, training, order):
     """The same model over dictionaries."""
     end, start = "</s>", "<s>"
