@@ -10,8 +10,23 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, WORD, documents, let
 
-#: A line with one of these, once lower-cased, is boilerplate if it is short.
-BOILERPLATE = ("all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use cookies", "enable javascript", "javascript is disabled", "click here", "subscribe to our", "sign up for our", "share this", "follow us on", "read more", "lorem ipsum")
+#: Fixed phrases of footers, notices and banners, by language. A line with one of them, once lower-cased, is
+#: boilerplate if it is short.
+BOILERPLATE = (
+    # English
+    "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use cookies", "enable javascript", "javascript is disabled", "click here", "subscribe to our", "sign up for our", "share this", "follow us on", "read more", "lorem ipsum",
+    # licence notices, which are English in other languages' texts too
+    "licensed under", "released under the", "creative commons", "copyright (c)", "©",
+    # German
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "verwendet cookies", "hier klicken", "newsletter abonnieren", "mehr lesen", "folgen sie uns",
+    # French
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "conditions d'utilisation", "utilise des cookies", "cliquez ici", "lire la suite", "suivez-nous",
+    # Spanish
+    "todos los derechos reservados", "política de privacidad", "aviso legal", "condiciones de uso", "utiliza cookies", "haga clic", "leer más", "síguenos",
+)
+_PHRASES = "|".join(x.replace("(", r"\(").replace(")", r"\)") for x in BOILERPLATE)
+#: What a sentence may end with, quotation marks and brackets after it included.
+ENDS = ".!?:;…。！？\"'»”’)\\]"
 
 
 def words_of(text: Column) -> Column:
@@ -24,19 +39,21 @@ def count(text: Column, pattern: str) -> Column:
 
 
 #: A text without any of these has no failing line.
-_SUSPECT = r"[|»›·•/#*$%&<>{}\[\]\\^~=_]|::|!!|(?i:" + "|".join(BOILERPLATE) + ")"
+_SUSPECT = r"[|»›·•/#*$%&<>{}\[\]\\^~=_]|::|!!|(?iu:" + _PHRASES + r")|[^\x20\x09-\x0D" + ENDS + r"][\x20\x09-\x0D]*(?:\n|\z)"
 
 
-def line_fails(line: Column, max_symbols: float = 0.1, max_shout: float = 0.5) -> Column:
-    """Whether a line is navigation, boilerplate, symbols or shouting; blank lines don't fail."""
+def line_fails(line: Column, max_symbols: float = 0.1, max_shout: float = 0.5, min_sentence: int = 8) -> Column:
+    """Whether a line is navigation, boilerplate, symbols, shouting or, with min_sentence words or more, without
+    a sentence's end; blank lines don't fail."""
     words = count(line, WORD)
     size = F.char_length(line) - count(line, r"[\x20\x09-\x0D]")
     bars = count(line, r"(?:^|(?<=[\x20\x09]))(?:[|»›·•/]|::|>>)(?=[\x20\x09]|$)")
     navigation = (bars >= 3) & (bars * 4 >= words)
     symbols = count(line, r"[#*$%&|<>{}\[\]\\^~=_]") > size * max_symbols
     shouting = let(count(line, r"!!+"), lambda n: (n >= 3) & (n >= words * max_shout))
-    boilerplate = (words <= 20) & line.rlike("(?i)" + "|".join(BOILERPLATE))
-    return line.rlike(_SUSPECT) & (navigation | symbols | shouting | boilerplate)
+    boilerplate = (words <= 20) & line.rlike("(?iu)" + _PHRASES)
+    unended = (words >= min_sentence) & ~line.rlike(f"[{ENDS}]" + r"[\x20\x09-\x0D]*\z")
+    return line.rlike(_SUSPECT) & (navigation | symbols | shouting | boilerplate | unended)
 
 
 def _repeat_words(words: Column, window: int = 3) -> Column:
@@ -107,6 +124,8 @@ def quality(docs: DataFrame, **limits) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others lose their failing lines. Columns stay as they are.
 
+    Null and empty texts go. Repeated rows are judged each; an empty table gives no rows.
+
     The verdict is taken inside a generator: as a filter it would be pushed down and computed twice.
     """
     names = docs.columns
@@ -129,8 +148,9 @@ SQL = (
     "l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d), "
     r"f AS (SELECT doc_id, x, len(" + _WORDS.format("x") + r") AS w, length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) AS size, "
     r"len(list_filter(regexp_split_to_array(x, '[\x20\x09]'), lambda y: y IN ('|', '»', '›', '·', '•', '/', '::', '>>'))) AS bars, "
-    r"length(regexp_replace(x, '[^#*$%&|<>{}\[\]\\^~=_]', '', 'g')) AS symbols, len(regexp_extract_all(x, '!!+')) AS shouts, regexp_matches(x, '(?i)" + "|".join(BOILERPLATE) + "') AS boiler FROM l), "
-    "v AS (SELECT doc_id, x, w, (bars >= 3 AND bars * 4 >= w) OR symbols > size * 0.1 OR (shouts >= 3 AND shouts >= w * 0.5) OR (w <= 20 AND boiler) AS fails FROM f), "
+    r"length(regexp_replace(x, '[^#*$%&|<>{}\[\]\\^~=_]', '', 'g')) AS symbols, len(regexp_extract_all(x, '!!+')) AS shouts, regexp_matches(x, '(?i)" + _PHRASES.replace("'", "''") + "') AS boiler, "
+    "regexp_matches(x, '[" + ENDS.replace("'", "''") + r"][\x20\x09-\x0D]*$') AS ended FROM l), "
+    "v AS (SELECT doc_id, x, w, (bars >= 3 AND bars * 4 >= w) OR symbols > size * 0.1 OR (shouts >= 3 AND shouts >= w * 0.5) OR (w <= 20 AND boiler) OR (w >= 8 AND NOT ended) AS fails FROM f), "
     "k AS (SELECT doc_id, coalesce(sum(w) FILTER (NOT fails), 0) AS left_words, count(*) FILTER (w > 0) - count(DISTINCT x) FILTER (w > 0) AS dup FROM v GROUP BY doc_id), "
     r"b AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, k.dup::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, k.left_words FROM d JOIN k USING (doc_id) LEFT JOIN r USING (doc_id)), "
     "c AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b) "

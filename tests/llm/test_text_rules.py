@@ -44,6 +44,14 @@ def test_quality_figures(make, odd_rows):
     assert got[got.doc_id == 101].cleaned.iloc[0] == CLEAN
 
 
+def test_quality_lines(make):
+    """Footers of four languages, licence notices and long lines that no sentence ends go; other lines stay."""
+    bad = ["Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "Alle Rechte vorbehalten.", "TOUS DROITS RÉSERVÉS", "Todos los derechos reservados.", "Copyright (C) 2020 me", "one two three four five six seven eight"]
+    good = ["A heading", 'He said "no, that is not what was agreed upon here."', "one two three four five six seven eight. \t", "Wie es war, so soll es wieder einmal sein…"]
+    got = quality.quality(make([(1, "\n".join([CLEAN, *bad, *good]))])).first()
+    assert got.cleaned == "\n".join([CLEAN, *good]) and got.kept
+
+
 def test_quality_stage(make, spark):
     rows = [(100, CLEAN), (101, CLEAN + "\nHome | About | News | Shop"), *JUNK.items(), (1, None)]
     out = quality.quality_stage(spark, make(rows), "")
