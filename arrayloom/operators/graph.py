@@ -2,36 +2,42 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Lineage cut in the folder the cluster names; a temporary one only where none is named."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="arrayloom-"))
-    return df.checkpoint()
+from ..sources.files import as_table, delete
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges(a, b) -> (v, c), c the smallest vertex of v's component; vertices without an edge are absent.
 
-    Every vertex hooks onto the smallest of itself and its neighbours, edges are relabelled, and again
-    until none is left. Only whether any is left comes to the driver.
+    Every vertex hooks onto the first of itself and its neighbours, in an order drawn anew by hash in each
+    round, edges are relabelled, and again until none is left. A constant share of the vertices goes in a
+    round, also in long chains. Only whether any edge is left comes to the driver.
     """
-    live, labels = checkpointed(edges.select("a", "b").where("a != b").distinct()), None
+    (live, path), labels, k = as_table(edges.select("a", "b").where("a != b").distinct()), None, 0
+    old = [path]
+
+    def table(df):
+        df, path = as_table(df)
+        old.append(path)
+        return df
+
     while labels is None or not live.isEmpty():
+        drawn = lambda x: F.struct(F.xxhash64(x, F.lit(k)).alias("r"), F.col(x).alias("c"))  # noqa: E731, B023
         ends = live.select(F.col("a").alias("v"), F.col("b").alias("u")).union(live.select("b", "a"))
-        hook = checkpointed(ends.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("c")))
+        hook = table(ends.groupBy("v").agg(F.min(drawn("u")).alias("m")).select("v", F.least("m", drawn("v"))["c"].alias("c")))
         if labels is None:
             labels = hook
         else:
             further = hook.select(F.col("v").alias("c"), F.col("c").alias("c2"))
-            labels = checkpointed(labels.join(further, "c", "left").select("v", F.coalesce("c2", "c").alias("c")))
-        a, b = (hook.select(F.col("v").alias(k), F.col("c").alias(f"c{k}")) for k in "ab")
+            labels = table(labels.join(further, "c", "left").select("v", F.coalesce("c2", "c").alias("c")))
+        a, b = (hook.select(F.col("v").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
         moved = live.join(a, "a").join(b, "b")
-        live = checkpointed(moved.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).where("a != b").distinct())
-    return labels
+        live = table(moved.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).where("a != b").distinct())
+        k += 1
+    least = labels.groupBy("c").agg(F.min("v").alias("least"))
+    out, _ = as_table(labels.join(least, "c").select("v", F.col("least").alias("c")))
+    for path in old:
+        delete(edges.sparkSession, path)
+    return out

@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import ArrayFrame
-from ..sources import archive
+from ..sources import archive, files
 from .array_queries import _codes_sql
 from .pipeline import Pipeline
-from .tables import EMBEDDING_DIMS, N_DAYS, embeddings, event_series, query, rounded
+from .tables import EMBEDDING_DIMS, embeddings, query, rounded
 
 
 def _work(spark: SparkSession) -> str:
-    """A folder for a query's archive: where the cluster shares one, there."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/archives-{next(tempfile._get_candidate_names())}" if base else f"{tempfile.mkdtemp(prefix='arrayloom-')}/archive"
+    """A folder for a query's archive, where the cluster shares one."""
+    return files.work_path(spark, "archive")
 
 
 def _frame(spark, sf_dir) -> ArrayFrame:
@@ -54,48 +51,6 @@ def catalog_missing_datasets(spark, sf_dir):
     return archive.missing_datasets(catalog, present).select("path", "role")
 
 
-@query()
-def archive_roundtrip(spark, sf_dir):
-    """Largest error after components, projection and 12-bit codes."""
-    frame = _frame(spark, sf_dir)
-    path = Pipeline(frame).pca(k=64).embed().quant(bits=12, scale_scope="voxel").write(_work(spark), checksum="sha256")
-    back = archive.read_archive(spark, path).withColumnRenamed("value", "back")
-    return rounded(frame.df.join(back, ["run_id", "t", "vox"]).agg(F.count("*").alias("n"), F.max(F.abs(F.col("value") - F.col("back"))).alias("worst")), "worst", digits=4)
-
-
-@query()
-def validate_archive(spark, sf_dir):
-    path = archive.write_archive(_frame(spark, sf_dir), _work(spark), ["quant"], checksum="sha256")
-    return archive.issues_table(spark, path)
-
-
-@query()
-def temporal_archive(spark, sf_dir):
-    """Slepian coefficients of event series through an archive: error by run."""
-    df = event_series(spark, sf_dir)
-    frame = ArrayFrame(df, (int(df.agg(F.max("vox")).first()[0]) + 1, 1, 1), N_DAYS, rank=4)
-    path = Pipeline(frame).temporal(kind="dpss", n_basis=6).write(_work(spark))
-    back = archive.read_archive(spark, path).withColumnRenamed("value", "back")
-    d = F.col("value") - F.col("back")
-    return rounded(df.join(back, ["run_id", "t", "vox"]).groupBy("run_id").agg(F.avg(d * d).alias("mse")), "mse", digits=4)
-
-
-@query()
-def empirical_hrbf_compress(spark, sf_dir):
-    """A basis coded on a radial dictionary: codes by component."""
-    path = Pipeline(_frame(spark, sf_dir)).pca(k=6).add_step("basis.empirical_hrbf_compressed", {"basis_path": "00_basis/matrix", "svd_rank": 4, "sigma0": 2.0, "levels": 1}).write(_work(spark))
-    codes = archive.load_dataset(spark, path, "01_basis.empirical_hrbf_compressed/hrbf_codes")
-    return codes.groupBy("component").agg(F.count("*").alias("atoms"), F.max(F.abs("q")).alias("largest"))
-
-
-@query()
-def transfer_basis_embed(spark, sf_dir):
-    """Coefficients on a basis from another archive: energy by component."""
-    source = Pipeline(_frame(spark, sf_dir)).pca(k=5).write(_work(spark))
-    path = Pipeline(_frame(spark, sf_dir)).add_step("embed.transfer_hrbf_basis", {"source_archive": source, "source_descriptor": "00_basis"}).write(_work(spark))
-    return rounded(archive.stored_values(spark, path).groupBy(F.col("vox").alias("k")).agg(F.sum(F.col("value") * F.col("value")).alias("energy")), "energy")
-
-
 @query("SELECT 'digraph' AS kind, 3::INT AS edges")
 def pipeline_diagram(spark, sf_dir):
     text = Pipeline().pca(k=5).quant(bits=6).diagram()

@@ -48,16 +48,6 @@ def mask_semi_join(spark, sf_dir):
     return rounded(with_coordinates(kept, (16, 16, 4096)).groupBy("z").agg(F.count("*").alias("n"), F.sum("value").alias("total")), "total", digits=4)
 
 
-@query(
-    """WITH a AS (SELECT count(*) AS n FROM part WHERE p_size > 10), b AS (SELECT (p_partkey // 50)::INT AS block, min(p_partkey) AS lo, max(p_partkey) AS hi FROM part GROUP BY 1)
-SELECT block, (lo - 10)::BIGINT AS first, hi::BIGINT AS last, lo - 10 >= 1 AND hi <= (SELECT n FROM a) AS valid FROM b"""
-)
-def block_table_validate(spark, sf_dir):
-    active = mask(spark, sf_dir).agg(F.count("*").alias("active"))  # one row
-    blocks = table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 50).cast("int").alias("block")).agg((F.min("p_partkey") - 10).alias("first"), F.max("p_partkey").alias("last"))
-    return blocks.crossJoin(F.broadcast(active)).select("block", "first", "last", ((F.col("first") >= 1) & (F.col("last") <= F.col("active"))).alias("valid"))
-
-
 def _codes_sql(keys: str, method: str, center: bool, bits: int, tail: str) -> str:
     top = 2**bits - 1
     if center:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import bases
 from ..functions.scalar import dct_value
@@ -80,23 +79,6 @@ def bayes_shrink(spark, sf_dir):
     return rounded(temporal.shrink(_coef(spark, sf_dir), "bayes_shrink"), "value", digits=4)
 
 
-def _haar_sql(n: int) -> str:
-    """Haar coefficients of series of n = 2^m as sums over dyadic blocks, numbered from fine to coarse."""
-    parts, start, size = [], 0, 2
-    while size <= n:
-        parts.append(f"SELECT run_id, ({start} + t // {size})::INT AS k, vox, sum(value * CASE WHEN t % {size} < {size // 2} THEN -1 ELSE 1 END) / sqrt({float(size)}) AS value FROM w GROUP BY 1, 2, 3")
-        start, size = start + n // size, size * 2
-    parts.append(f"SELECT run_id, {n - 1} AS k, vox, sum(value) / sqrt({float(n)}) AS value FROM w GROUP BY 1, 2, 3")
-    return " UNION ALL ".join(parts)
-
-
-@query(f"WITH {EMBEDDINGS}, d AS (SELECT run_id, (row_number() OVER (PARTITION BY run_id, vox ORDER BY t) - 1)::INT AS t, vox, value FROM m), w AS (SELECT * FROM d WHERE t < 16) SELECT run_id, k, vox, round(value, 6) + 0.0 AS value FROM ({_haar_sql(16)})")
-def wavelet_haar_project(spark, sf_dir):
-    e = embeddings(spark, sf_dir)
-    w = e.withColumn("t", F.row_number().over(Window.partitionBy("run_id", "vox").orderBy("t")) - 1).where("t < 16")
-    return rounded(temporal.project(w, bases.basis_matrix("wavelet", 16, 16, wavelet="haar")), "value", digits=6)
-
-
 def _haar_of_series(rows):
     """Haar coefficients of one series, zero-padded to a power of two, numbered from fine to coarse."""
     x = rows.sort_values("t").value.to_numpy()
@@ -109,9 +91,18 @@ def _haar_of_series(rows):
     return pd.DataFrame({"run_id": rows.run_id.iloc[0], "k": np.arange(len(c), dtype=np.int32), "vox": rows.vox.iloc[0], "value": c})
 
 
-@query()
-def wavelet_haar_project_whole(spark, sf_dir):
-    """Over whole series; the SQL of wavelet_haar_project has their first 16 points."""
+#: Series padded with zeros to p points, a power of two; level j has p / 2^j coefficients of 2^j points each.
+_HAAR = f"""WITH {EMBEDDINGS}, d AS (SELECT run_id, (row_number() OVER (PARTITION BY run_id, vox ORDER BY t) - 1)::INT AS t, vox, value FROM m),
+p AS (SELECT run_id, vox, pow(2, ceil(log2(count(*))))::INT AS p FROM d GROUP BY 1, 2),
+c AS (SELECT run_id, vox, p - p // pow(2, j - 1)::INT + t // pow(2, j)::INT AS k, sum(value * CASE WHEN t // pow(2, j - 1)::INT % 2 = 0 THEN -1 ELSE 1 END) / sqrt(pow(2, j)) AS value FROM d JOIN p USING (run_id, vox), range(1, 31) r(j) WHERE pow(2, j) <= p GROUP BY run_id, vox, p, j, 3
+UNION ALL SELECT run_id, vox, p - 1, sum(value) / sqrt(p) FROM d JOIN p USING (run_id, vox) GROUP BY run_id, vox, p)
+SELECT run_id, k, vox, round(coalesce(value, 0), 6) + 0.0 AS value FROM (SELECT run_id, vox, unnest(range(p))::INT AS k FROM p) g LEFT JOIN c USING (run_id, vox, k)"""
+
+
+@query(_HAAR, name="wavelet_haar_project_whole")
+@query(_HAAR)
+def wavelet_haar_project(spark, sf_dir):
+    """Over whole series."""
     return rounded(embeddings(spark, sf_dir).groupBy("run_id", "vox").applyInPandas(_haar_of_series, "run_id string, k int, vox int, value double"), "value", digits=6)
 
 
@@ -145,15 +136,9 @@ def embed_inverse_roi(spark, sf_dir):
     return rounded(back.select("run_id", "t", "vox", (F.col("value") * F.col("sd") + F.col("mu")).alias("value")), "value")
 
 
-@query(f"WITH {EMBEDDINGS} SELECT a.vox AS i, b.vox AS j, round(sum(a.value * b.value), 6) + 0.0 AS v FROM m a JOIN m b USING (t) WHERE a.vox < 12 AND b.vox < 12 GROUP BY 1, 2")
+@query(f"WITH {EMBEDDINGS} SELECT a.vox AS i, b.vox AS j, round(sum(a.value * b.value), 6) + 0.0 AS v FROM m a JOIN m b USING (t) GROUP BY 1, 2", name="gram_matrix_whole")
+@query(f"WITH {EMBEDDINGS} SELECT a.vox AS i, b.vox AS j, round(sum(a.value * b.value), 6) + 0.0 AS v FROM m a JOIN m b USING (t) GROUP BY 1, 2")
 def gram_matrix(spark, sf_dir):
-    e = embeddings(spark, sf_dir).where("vox < 12")
-    return rounded(linalg.matmul(e.select(F.col("vox").alias("i"), F.col("t").alias("k"), F.col("value").alias("v")), e.select(F.col("t").alias("k"), F.col("vox").alias("j"), F.col("value").alias("v"))), "v")
-
-
-@query()
-def gram_matrix_whole(spark, sf_dir):
-    """Over all elements; the SQL of gram_matrix has the first twelve."""
     e = embeddings(spark, sf_dir)
     return rounded(linalg.matmul(e.select(F.col("vox").alias("i"), F.col("t").alias("k"), F.col("value").alias("v")), e.select(F.col("t").alias("k"), F.col("vox").alias("j"), F.col("value").alias("v"))), "v")
 
@@ -294,19 +279,6 @@ def hrbf_reconstruct(spark, sf_dir):
     return rounded(spatial.reconstruct_atoms(spatial.project_atoms(volume(spark, sf_dir), a), a).select("vox", "value"), "value", digits=4)
 
 
-@query(f"WITH {_GAUSS}, p AS (SELECT k, abs(sum(value * w)) AS c FROM w2 JOIN v USING (vox) GROUP BY k) SELECT k, round(c, 4) AS c FROM p ORDER BY c DESC LIMIT 1")
-def omp_first_atom(spark, sf_dir):
-    c = spatial.project_atoms(volume(spark, sf_dir), _atoms(spark, sf_dir))
-    best = c.agg(F.max(F.struct(F.abs("value").alias("c"), "k")).alias("m")).select("m.k", "m.c")
-    return rounded(best, "c", digits=4)
-
-
-@query(f"WITH {_GAUSS}, q AS (SELECT k, vox, w, max(abs(w)) OVER (PARTITION BY k) / 15 AS scale FROM w2) SELECT k, vox, least(greatest(round_even(w / scale, 0), -15), 15)::INT AS q FROM q")
-def weight_quantise(spark, sf_dir):
-    a = _atoms(spark, sf_dir).withColumn("scale", F.max(F.abs("w")).over(Window.partitionBy("k")) / 15)
-    return a.select("k", "vox", F.least(F.greatest(F.rint(F.col("w") / F.col("scale")), F.lit(-15.0)), F.lit(15.0)).cast("int").alias("q"))
-
-
 _STUDIES = [("resting", 2.0, 300), ("resting", 1.0, 200), ("task", 1.0, 400), ("task", 2.5, 120), ("event", 1.5, 40), ("event", 0.8, 12)]
 
 
@@ -317,82 +289,3 @@ b AS (SELECT *, greatest(1.5, least(w, n / 4.0)) AS nw FROM a) SELECT study, tr:
 def dpss_suggest(spark, sf_dir):
     rows = [(a, b, c, *(float(s[k]) if k != "n_basis" else s[k] for k in ("time_bandwidth_product", "n_basis", "preserved_freq"))) for a, b, c in _STUDIES for s in [bases.suggest_dpss(b, c, a)]]
     return spark.createDataFrame(rows, "study string, tr double, n int, time_bandwidth_product double, n_basis int, preserved_freq double")
-
-
-# ---- decompositions and series kernels: no SQL; tests hold them against numpy ---------------------
-
-
-@query()
-def pca_fit_reconstruct(spark, sf_dir):
-    """Mean squared error of a reconstruction from 1 to 8 components, from the eigenvalues and from the data."""
-    d = linalg.decompose(embeddings(spark, sf_dir), 64, 8)
-    left = d.total - np.cumsum(d.d**2)
-    return spark.createDataFrame([(k + 1, float(d.d[k]), float(left[k] / (d.n * 64))) for k in range(d.k)], "k int, d double, mse double")
-
-
-@query()
-def svd_energy(spark, sf_dir):
-    d = linalg.decompose(embeddings(spark, sf_dir), 64, 64, center=False)
-    e = d.d**2 / (d.d**2).sum()
-    return spark.createDataFrame([(k, float(x)) for k, x in enumerate(e)], "k int, share double")
-
-
-@query()
-def sparsepca_roundtrip(spark, sf_dir):
-    from . import steps
-
-    return steps.sparse_pca_error(embeddings(spark, sf_dir), 64, 16, 1e-3)
-
-
-@query()
-def dpss_basis(spark, sf_dir):
-    b = bases.basis_matrix("dpss", N_DAYS, 5, time_bandwidth_product=3.0)
-    return spark.createDataFrame([(t, k, float(b[t, k])) for t in range(b.shape[0]) for k in range(b.shape[1])], "t int, k int, b double")
-
-
-@query()
-def polynomial_basis(spark, sf_dir):
-    b = bases.basis_matrix("polynomial", N_DAYS, 4)
-    return spark.createDataFrame([(t, k, float(b[t, k])) for t in range(b.shape[0]) for k in range(b.shape[1])], "t int, k int, b double")
-
-
-@query()
-def bspline_project(spark, sf_dir):
-    return temporal.project_least_squares(event_series(spark, sf_dir), bases.basis_matrix("bspline", N_DAYS, 8, order=3))
-
-
-def _dense_series(spark, sf_dir):
-    """Event series with a 0 on days without events."""
-    e = event_series(spark, sf_dir)
-    full = e.select("run_id", "vox").distinct().withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(N_DAYS - 1))))
-    return full.join(e, ["run_id", "vox", "t"], "left").select("run_id", "t", "vox", F.coalesce("value", F.lit(0.0)).alias("value"))
-
-
-@query()
-def modwt_roundtrip(spark, sf_dir):
-    """Largest error of the transform and its inverse by run."""
-    df = _dense_series(spark, sf_dir)
-    back = temporal.modwt_reconstruct(temporal.modwt_project(df, "sym8"), N_DAYS, "sym8").withColumnRenamed("value", "back")
-    return rounded(df.join(back, ["run_id", "t", "vox"]).groupBy("run_id").agg(F.max(F.abs(F.col("value") - F.col("back"))).alias("worst")), "worst", digits=6)
-
-
-@query()
-def modwt_bayes_shrink(spark, sf_dir):
-    c = temporal.modwt_shrink(temporal.modwt_project(_dense_series(spark, sf_dir), "haar"), "bayes_shrink")
-    return c.groupBy("run_id", "band", "level").agg(F.count("*").alias("n"), F.count_if(F.col("value") == 0).alias("zeros"))
-
-
-@query()
-def fdr_threshold(spark, sf_dir):
-    c = _coef(spark, sf_dir)
-    return temporal.fdr(c, 60.0, 0.05)
-
-
-@query()
-def poisson_disk_invariants(spark, sf_dir):
-    """Centres, and how many pairs of a component are nearer than the radius (none)."""
-    m = mask(spark, sf_dir, 35)
-    at = spatial.world(spatial.poisson_disk(m, DIMS, 2.0, 7), DIMS)
-    b = at.select("component", *[F.col(c).alias(f"b{c}") for c in ("vox", "wx", "wy", "wz")])
-    near = at.join(b, "component").where("vox < bvox AND (wx-bwx)*(wx-bwx)+(wy-bwy)*(wy-bwy)+(wz-bwz)*(wz-bwz) < 4.0")
-    return at.groupBy("component").agg(F.count("*").alias("centres")).join(near.groupBy("component").agg(F.count("*").alias("too_near")), "component", "left").fillna(0)

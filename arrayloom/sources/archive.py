@@ -14,7 +14,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import tempfile
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
@@ -127,12 +126,13 @@ def plan(frame: ArrayFrame, steps: Sequence = ()) -> Plan:
 
 
 def write_archive(frame: ArrayFrame, path: str | None = None, steps: Sequence = (), *, header: dict | None = None, plugins: dict | None = None, block_table: DataFrame | None = None, checksum: str = "none", overwrite: bool = False, progress=None, options: dict | None = None) -> str:
-    """Writes an archive and returns its path. Without a path it goes to a temporary folder.
+    """Writes an archive and returns its path. Without a path it goes to the shared folder
+    until the driver ends.
 
     options go to the Parquet writer (compression, maxRecordsPerFile).
     """
     spark = frame.df.sparkSession
-    path = path or f"{tempfile.mkdtemp(prefix='arrayloom-')}/archive"
+    path = path or files.work_path(spark, "archive")
     if files.exists(spark, path):
         if not overwrite:
             raise ArchiveExists(f"{path} is there already", "write_archive")
