@@ -1,17 +1,22 @@
-"""Repeated runs of lines by prefix doubling over line-ID sequences; later copies are deleted.
+"""Repeated runs of lines by a suffix array over line-ID sequences; later copies are deleted.
 
 The lines of all documents, blank ones left out, are sequences of line IDs. Lines that stand only
 once in the corpus end every repeated run, so only repeated lines enter the suffixes. Prefix doubling
-names the 2^k lines from each position by the names of its two halves (names take the place of ranks:
-suffixes are compared for equality only). A run of any length d is named by the two
-overlapping blocks of 2^floor(log2 d) lines in it. The suffixes that share their first d lines
-are the LCP interval of depth d. For each position, d is the least depth that has min_words words, once
-reading on from there and once back to there; the union of these intervals' runs is that of
-all maximal repeated runs of min_words words or more. Each interval's first occurrence, by doc_id and
+over the whole corpus: the distinct line IDs are sorted and numbered, which ranks the suffixes by their
+first line; in each round the pairs of the ranks at a position and 2^k lines on are sorted and numbered,
+which ranks them by their first 2^(k+1) lines. Pairs that stand only once drop out: no
+other suffix shares so many lines with theirs.
+
+Suffixes that share their first d lines lie side by side in that order: they are an LCP interval of depth d. It is
+told by the ranks of the two overlapping blocks of 2^floor(log2 d) lines that make up d lines. For each position, d is
+the least depth that has min_words words, once reading on from there and once back to there; the union
+of these intervals' runs is that of all maximal repeated runs of min_words words or more. So no more than
+log2(min_words) rounds are asked for. Each interval's first occurrence, by doc_id and
 line, stays; the lines of the others go.
 
-DataFrame functions only. Arrays hold the lines of one document; the corpus-wide steps are grouped
-sums with partial aggregation, and joins that adaptive execution can split.
+DataFrame functions only. Line IDs are 128 bits of hash. Arrays hold the lines of one document; the corpus-wide
+steps are grouped sums with partial aggregation, range-partitioned sorts, and joins that adaptive execution
+can split.
 """
 
 from __future__ import annotations
@@ -22,51 +27,65 @@ from pyspark.sql import functions as F
 from .common import WORD, documents, let, skew_join, staged
 
 
+def _ranked(distinct: DataFrame, column: str) -> DataFrame:
+    """Numbers distinct rows in the order of a column, over all partitions of a global sort; numbers have gaps."""
+    return staged(distinct.orderBy(column).withColumn("r", F.monotonically_increasing_id()))
+
+
+def block_ranks(positions: DataFrame, min_words: int) -> DataFrame:
+    """Ranks of repeated blocks of 2^k lines, 2^k up to min_words: (doc, i, k, r) from those of lines, (doc, i, r)."""
+    out, k = positions.withColumn("k", F.lit(0)), 0
+    while 2 << k <= min_words:
+        on = positions.select("doc", (F.col("i") - (1 << k)).alias("i"), F.col("r").alias("s"))
+        pairs = staged(positions.join(on, ["doc", "i"]).select("doc", "i", F.struct("r", "s").alias("pair")))
+        again = pairs.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1").select("pair")
+        positions = staged(skew_join(pairs, _ranked(again, "pair"), "pair", "inner").select("doc", "i", "r"))
+        k += 1
+        out = out.unionByName(positions.withColumn("k", F.lit(k)))
+        if positions.isEmpty():
+            break
+    return out
+
+
 def _windows(lines: Column, min_words: int) -> Column:
-    """Runs array<struct<at, to, name>> of the sorted array<struct<i, pos, h, w>> of repeated lines.
+    """The shortest runs of min_words words from and to each of a document's repeated lines: array<struct<i, j, d, k, pos>>.
 
-    at and to are indices in the array; a run's lines follow each other in the document.
+    lines is a sorted array<struct<i, pos, w>>; a run's lines follow each other in the document. i is its first line,
+    j that of the second of the two blocks of 2^k lines that make up its d lines, pos are its lines' numbers in the text.
     """
-    levels = max(1, min_words.bit_length())
-
-    def named(a: Column) -> Column:
-        def doubled(names: Column, k: int) -> Column:
-            """One more level: each name of the last level with the one 2^k lines on."""
-            level = lambda last: F.transform(last, lambda h, i: F.xxhash64(h, F.get(last, i + (1 << k))))
-            return let(names, lambda all_: F.concat(all_, F.array(let(F.get(all_, F.lit(k)), level))))
 
-        names = F.array(F.transform(a, lambda x: x["h"]))
-        for k in range(levels - 1):
-            names = doubled(names, k)
-        upto = let(F.transform(a, lambda x: x["w"]), lambda ws: F.aggregate(ws, F.array(F.lit(0).cast("bigint")), lambda s, w: F.concat(s, F.array(F.element_at(s, -1) + w))))
+    def runs(a: Column, sums: Column) -> Column:
+        n = F.size(a)
+        index = F.sequence(F.lit(0), n - 1)
 
-        def runs(ls: Column, sums: Column) -> Column:
-            n = F.size(a)
-            index = F.sequence(F.lit(0), n - 1)
-            # sums is increasing: the ends and starts of the shortest runs, at most min_words lines away
-            def ahead(i: Column) -> Column:
-                rest = let(F.get(sums, i) + min_words, lambda goal: F.size(F.filter(F.slice(sums, i + 2, min_words), lambda x: x < goal)))
-                return F.struct(i.alias("at"), (i + rest).alias("to"))
+        # sums is increasing: the ends and starts of the shortest runs, at most min_words lines away
+        def ahead(i: Column) -> Column:
+            rest = let(F.get(sums, i) + min_words, lambda goal: F.size(F.filter(F.slice(sums, i + 2, min_words), lambda x: x < goal)))
+            return F.struct(i.alias("at"), (i + rest).alias("to"))
 
-            def back(i: Column) -> Column:
-                before = F.slice(sums, F.greatest(i - min_words + 2, F.lit(1)), F.least(i + 1, F.lit(min_words)))
-                rest = let(F.get(sums, i + 1) - min_words, lambda goal: F.size(F.filter(before, lambda x: x > goal)))
-                return F.struct((i - rest).alias("at"), i.alias("to"))
+        def back(i: Column) -> Column:
+            before = F.slice(sums, F.greatest(i - min_words + 2, F.lit(1)), F.least(i + 1, F.lit(min_words)))
+            rest = let(F.get(sums, i + 1) - min_words, lambda goal: F.size(F.filter(before, lambda x: x > goal)))
+            return F.struct((i - rest).alias("at"), i.alias("to"))
 
-            pairs = F.array_distinct(F.concat(F.transform(index, ahead), F.transform(index, back)))
-            whole = F.filter(pairs, lambda p: (p["at"] >= 0) & (p["to"] < n) & (F.get(a, p["to"])["i"] - F.get(a, p["at"])["i"] == p["to"] - p["at"]))
+        pairs = F.array_distinct(F.concat(F.transform(index, ahead), F.transform(index, back)))
+        whole = F.filter(pairs, lambda p: (p["at"] >= 0) & (p["to"] < n) & (F.get(a, p["to"])["i"] - F.get(a, p["at"])["i"] == p["to"] - p["at"]))
 
-            def name(p: Column) -> Column:
-                d = p["to"] - p["at"] + 1
-                k = (F.char_length(F.bin(d)) - 1)
-                level = F.get(ls, k)
-                return F.struct(p["at"].alias("at"), p["to"].alias("to"), F.xxhash64(d, F.get(level, p["at"]), F.get(level, p["to"] - F.pow(F.lit(2.0), k).cast("int") + 1)).alias("name"))
+        def told(p: Column) -> Column:
+            d = p["to"] - p["at"] + 1
+            k = F.char_length(F.bin(d)) - 1
+            first = F.get(a, p["at"])["i"]
+            pos = F.transform(F.slice(a, p["at"] + 1, d), lambda x: x["pos"])
+            return F.struct(first.alias("i"), (first + d - F.pow(F.lit(2.0), k).cast("int")).alias("j"), d.alias("d"), k.alias("k"), pos.alias("pos"))
 
-            return F.transform(whole, name)
+        return F.transform(whole, told)
 
-        return let(names, lambda ls: let(upto, lambda sums: runs(ls, sums)))
+    def summed(a: Column) -> Column:
+        upto = F.transform(a, lambda x: x["w"])
+        totals = let(upto, lambda ws: F.aggregate(ws, F.array(F.lit(0).cast("bigint")), lambda s, w: F.concat(s, F.array(F.element_at(s, -1) + w))))
+        return let(totals, lambda sums: runs(a, sums))
 
-    return let(lines, named)
+    return let(lines, summed)
 
 
 def without_lines(text: Column, removed: Column) -> Column:
@@ -80,19 +99,22 @@ def later_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
     if min_words < 1:
         raise ValueError("min_words must be positive")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn("key", F.xxhash64("text"))
-    split = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("pos"), F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("w"))), lambda x: x["w"] > 0)
-    lines = staged(rows.select("doc_id", "key", F.posexplode(split).alias("i", "x")).select("doc_id", "key", "i", "x.pos", "x.h", "x.w"))
-    often = lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    again = skew_join(lines, often, "h", "inner")
-    packed = again.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("i", "pos", "h", "w"))).alias("lines"))
-    runs = packed.select("doc_id", "key", "lines", F.explode(_windows(F.col("lines"), min_words)).alias("r"))
-    place = F.struct("doc_id", "key", F.get("lines", F.col("r.at"))["i"].alias("i"))
-    covered = F.transform(F.slice("lines", F.col("r.at") + 1, F.col("r.to") - F.col("r.at") + 1), lambda x: x["pos"])
-    runs = staged(runs.select("doc_id", "key", place.alias("place"), covered.alias("pos"), F.col("r.name").alias("name")))
-    first = runs.groupBy("name").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = skew_join(runs, first, "name", "inner").where("place > first")
-    return later.groupBy("doc_id", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("pos")))).alias("removed"), F.array_sort(F.collect_set("first.doc_id")).alias("copied_from"))
+    rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key")).alias("doc"), text.alias("text"))
+    line = lambda x, i: F.struct(i.alias("pos"), F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(7), x).alias("h2")).alias("id"), F.regexp_count(x, F.lit(WORD)).alias("w"))
+    split = F.filter(F.transform(F.split("text", "\n", -1), line), lambda x: x["w"] > 0)
+    lines = staged(rows.select("doc", F.posexplode(split).alias("i", "x")).select("doc", "i", "x.pos", "x.id", "x.w"))
+    often = lines.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    again = staged(skew_join(lines, _ranked(often, "id"), "id", "inner").select("doc", "i", "pos", "w", "r").distinct())
+    ranks = block_ranks(again.select("doc", "i", "r"), min_words)
+    packed = again.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("i", "pos", "w"))).alias("lines"))
+    runs = packed.select("doc", F.explode(_windows(F.col("lines"), min_words)).alias("x")).select("doc", "x.*")
+    block = lambda at, name: ranks.select("doc", F.col("i").alias(at), "k", F.col("r").alias(name))
+    named = runs.join(block("i", "a"), ["doc", "i", "k"]).join(block("j", "b"), ["doc", "j", "k"])
+    intervals = staged(named.select(F.struct("d", "a", "b").alias("interval"), F.struct("doc", "i").alias("place"), "pos"))
+    first = intervals.groupBy("interval").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = skew_join(intervals, first, "interval", "inner").where("place > first")
+    gone = later.groupBy("place.doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("pos")))).alias("removed"), F.array_sort(F.collect_set("first.doc.doc_id")).alias("copied_from"))
+    return gone.select("doc.doc_id", "doc.key", "removed", "copied_from")
 
 
 def line_dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
@@ -125,7 +147,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the lines of later copies. A document whose every line with words is such a copy goes;
-    the columns stay as they are."""
+    the columns stay as they are. Repeated rows of one doc_id and text are one document, each returned;
+    an empty table gives no rows."""
     names = docs.columns
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     gone = later_copies(docs)
