@@ -11,9 +11,9 @@ from .common import as_table, drop_folder, skew_join
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges(a, b) -> (v, c): c is the smallest vertex reachable from v; only vertices with an edge.
 
-    In each round every vertex hooks onto the first vertex of its closed neighbourhood, in an order drawn
-    anew by hash, and the edges are relabelled. The last of each neighbourhood vanish, so a constant share
-    of the vertices goes in a round, also in long chains. Only whether edges are left comes to the driver.
+    In each round every vertex hooks onto the first vertex of its closed neighbourhood, and the edges are
+    relabelled. First is by turns the smallest, which takes in stars at once, and by an order drawn anew by hash, in
+    which a constant share of the vertices goes in a round, also in long chains. Only whether edges are left comes to the driver.
     """
     live, path = as_table(edges.select("a", "b").where("a != b").distinct())
     labels, k, old = None, 0, [path]
@@ -25,7 +25,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     while labels is None or not live.isEmpty():
         both = live.select(F.col("a").alias("v"), F.col("b").alias("u")).union(live.select(F.col("b"), F.col("a")))
-        rank = lambda x: F.struct(F.xxhash64(x, F.lit(k)).alias("r"), F.col(x).alias("c"))  # noqa: E731, B023
+        rank = lambda x: F.struct((F.xxhash64(x, F.lit(k)) if k % 2 else F.lit(0)).cast("long").alias("r"), F.col(x).alias("c"))  # noqa: E731, B023
         hook = table(both.groupBy("v").agg(F.min(rank("u")).alias("m")).select("v", F.least("m", rank("v"))["c"].alias("c")))
         if labels is None:
             labels = hook
