@@ -33,10 +33,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one only where none is named (tests)."""
+    """The folder that the cluster shares; a temporary one only in local mode, where none is named (tests)."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="arrayloom-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 

@@ -136,6 +136,13 @@ def test_near_repeated_ids_are_one_document(make):
     assert sorted(zip(got.doc_id, got.component_id, strict=True)) == [(5, 5), (5, 5), (7, 5), (9, 5), (11, 11)]
 
 
+def test_components_of_a_chain_and_a_star(spark):
+    """A chain of rising ids, whose vertices all hook onto their neighbours, and a star around its largest."""
+    edges = [(k, k + 1) for k in range(40)] + [(100 + k, 999) for k in range(30)]
+    got = near_dedup.connected_components(spark.createDataFrame(edges, "a long, b long"))
+    assert {(r.v, r.c) for r in got.collect()} == {(k, 0) for k in range(41)} | {(100 + k, 100) for k in range(30)} | {(999, 100)}
+
+
 def test_near_stage_keeps_one_of_each(make, spark):
     rows = near_rows()
     out = near_dedup.near_dedup_stage(spark, make(rows), "")
