@@ -268,9 +268,11 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, min_matc
     mixed = skew_join(skew_join(placed, open_, "token", "inner").select("token", "c", "doc"), sigs.withColumnRenamed("doc_id", "doc"), "doc", "inner").select("token", F.col("c").alias("part"), "doc", "n", "sig")
     dealt = _block_pairs(mixed, "token", block, 64 * block_shingles).repartition("token", "p", "q").sortWithinPartitions("token", "p", "q")
     more = _table(dealt.mapInArrow(_agreeing(min_matches, percent), "a long, b long").distinct())
-    clusters = _table(connected_components(stars.unionByName(more)).select("c", F.col("v").alias("doc")))
+    if not more.isEmpty():
+        near = connected_components(near.select(F.col("c").alias("a"), F.col("v").alias("b")).unionByName(more))
+    clusters = near.select("c", F.col("v").alias("doc"))
 
-    texts = known.select(F.col("doc_id").alias("doc"), "text")
+    texts = _table(known.select(F.col("doc_id").alias("doc"), "text").join(clusters.select("doc"), "doc", "left_semi"))
     weighed = skew_join(clusters, sigs.groupBy("doc_id").agg(F.max("n").alias("n")).withColumnRenamed("doc_id", "doc"), "doc", "inner")
     sizes = clusters.groupBy("c").agg(F.count("*").alias("m"))
     large = _table(skew_join(clusters, sizes.where(F.col("m") > block // 2), "c", "inner").select("c", "doc"))
@@ -278,6 +280,7 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, min_matc
     if not large.isEmpty():
         links = _by_representatives(large, texts, width, percent)
         parts = connected_components(links).select(F.col("v").alias("doc"), F.col("c").alias("part"))
+        links = parts.select(F.col("part").alias("a"), F.col("doc").alias("b"))
         parted = skew_join(weighed, parts, "doc").select("c", "doc", "n", F.coalesce("part", "doc").alias("part"))
     dealt = _block_pairs(_table(parted.select("c", "part", "doc", "n")), "c", block // 2, block_shingles).join(texts, "doc").select("c", "p", "q", "doc", "text")
     edges = dealt.repartition("c", "p", "q").sortWithinPartitions("c", "p", "q").mapInArrow(_linked(width, percent), "a long, b long")
