@@ -38,22 +38,24 @@ def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-#: A text without any of these has no failing line.
-_SUSPECT = r"[|»›·•/#*$%&<>{}\[\]\\^~=_]|::|!!|(?iu:" + _PHRASES + r")|[^\x20\x09-\x0D" + ENDS + r"][\x20\x09-\x0D]*(?:\n|\z)"
+#: A line without any of these has no navigation bars, symbols or shouts.
+_ODD = r"[|»›·•/#*$%&<>{}\[\]\\^~=_]|::|!!"
 
 
 def line_fails(line: Column, max_symbols: float = 0.1, max_shout: float = 0.5, min_sentence: int = 8) -> Column:
     """Whether a line is navigation, boilerplate, symbols, shouting or, with min_sentence words or more, without
-    a sentence's end; blank lines don't fail."""
-    words = count(line, WORD)
-    size = F.char_length(line) - count(line, r"[\x20\x09-\x0D]")
-    bars = count(line, r"(?:^|(?<=[\x20\x09]))(?:[|»›·•/]|::|>>)(?=[\x20\x09]|$)")
-    navigation = (bars >= 3) & (bars * 4 >= words)
-    symbols = count(line, r"[#*$%&|<>{}\[\]\\^~=_]") > size * max_symbols
-    shouting = let(count(line, r"!!+"), lambda n: (n >= 3) & (n >= words * max_shout))
-    boilerplate = (words <= 20) & line.rlike("(?iu)" + _PHRASES)
-    unended = (words >= min_sentence) & ~line.rlike(f"[{ENDS}]" + r"[\x20\x09-\x0D]*\z")
-    return line.rlike(_SUSPECT) & (navigation | symbols | shouting | boilerplate | unended)
+    a sentence's end; blank lines don't fail. The dear looks at a line come last."""
+
+    def judged(words: Column) -> Column:
+        size = F.char_length(line) - count(line, r"[\x20\x09-\x0D]")
+        symbols = count(line, r"[#*$%&|<>{}\[\]\\^~=_]") > size * max_symbols
+        navigation = let(count(line, r"(?:^|(?<=[\x20\x09]))(?:[|»›·•/]|::|>>)(?=[\x20\x09]|$)"), lambda bars: (bars >= 3) & (bars * 4 >= words))
+        shouting = let(count(line, r"!!+"), lambda n: (n >= 3) & (n >= words * max_shout))
+        unended = (words >= min_sentence) & ~line.rlike(f"[{ENDS}]" + r"[\x20\x09-\x0D]*\z")
+        boilerplate = (words > 0) & (words <= 20) & line.rlike("(?iu)" + _PHRASES)
+        return unended | (line.rlike(_ODD) & (symbols | navigation | shouting)) | boilerplate
+
+    return let(count(line, WORD), judged)
 
 
 def _repeat_words(words: Column, window: int = 3) -> Column:
@@ -84,28 +86,27 @@ def _repeat_words(words: Column, window: int = 3) -> Column:
 
 def assessed(text: Column, min_words: int = 50, max_repeat_percent: int = 50, min_kept: float = 0.5) -> Column:
     """A struct of the figures and verdicts on one text and the text without its failing lines."""
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
-    dup = let(lines, lambda a: (F.size(a) - F.size(F.array_distinct(a))).cast("long"))
-    kept_lines = F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~line_fails(x)), "\n")
-    cleaned = F.when(text.rlike(_SUSPECT), kept_lines).otherwise(text)
+    dup = lambda parts: let(F.filter(parts, lambda x: x.rlike(WORD)), lambda a: (F.size(a) - F.size(F.array_distinct(a))).cast("long"))
+    cleaned = lambda parts: F.array_join(F.filter(parts, lambda x: ~line_fails(x)), "\n")
+    by_line = let(F.split(text, "\n", -1), lambda parts: F.struct(dup(parts).alias("dup"), cleaned(parts).alias("cleaned")))
     figures = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).alias("repeat")))
 
     def verdict(x: Column) -> Column:
-        n, repeat, rest = x["f"]["n"], x["f"]["repeat"], x["cleaned"]
+        n, repeat, rest = x["f"]["n"], x["f"]["repeat"], x["l"]["cleaned"]
         failed = (n < min_words) | (100 * repeat > max_repeat_percent * n)
         left = F.when(rest == text, n).otherwise(count(rest, WORD))
         return F.struct(
             n.alias("n_words"),
             (F.char_length(text) - count(text, r"[\x20\x09-\x0D]")).cast("long").alias("word_chars"),
             count(text, r"[#*$%&|<>]").cast("long").alias("n_symbols"),
-            dup.alias("n_dup_lines"),
+            x["l"]["dup"].alias("n_dup_lines"),
             repeat.alias("n_repeat_words"),
             failed.alias("base_failed"),
             (~failed & (left >= n * min_kept)).alias("kept"),
             rest.alias("cleaned"),
         )
 
-    return let(F.struct(figures.alias("f"), cleaned.alias("cleaned")), verdict)
+    return let(F.struct(figures.alias("f"), by_line.alias("l")), verdict)
 
 
 def quality(docs: DataFrame, **limits) -> DataFrame:
