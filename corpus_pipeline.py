@@ -25,8 +25,8 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Line rules, repeated runs of lines and tokenizers aren't expressible in SQL; tests compare the
-#: stages with brute-force versions.
+#: Repeated runs of lines and tokenizers aren't expressible in SQL. The operators have tests of their own; no test
+#: compares the whole pipeline with a brute-force version yet.
 ORACLE_SQL = None
 
 
