@@ -29,10 +29,11 @@ PART = r"[A-Za-z0-9+_-]{20,}"
 WINDOW = 20
 #: Least bits a character, of log2(20) = 4.32 at most, by class.
 BITS = {"hex": 3.0, "alnum": 3.6, "base64": 3.8}
-#: Not secrets: UUIDs, words joined by marks, paths and dates.
+#: Not secrets: UUIDs, words joined by marks, paths and dates. Every part begins with a mark, so nothing is lost by
+#: never giving one back (*+); a group that may give back recurses once a part, and long paths overflow the stack.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^[A-Za-z]*(?:[-_/=+][A-Za-z]+|[-_/=+][0-9]{1,4})*[-_/=+]*$",
+    r"^[A-Za-z]*(?:[-_/=+][A-Za-z]+|[-_/=+][0-9]{1,4})*+[-_/=+]*$",
 )
 #: Marks of a sample: no window that holds one counts, so candidates are cut there.
 SAMPLE = r"(?i)example|placeholder|changeme|dummy|sample|x{6,}|0{8,}|1234567890"
@@ -136,7 +137,8 @@ def _sql_spans(kind: str, rank: int, pattern: str, least: int = 0, group: int =
     )
 
 
-_ALLOWED = " OR ".join(f"regexp_matches(m, '{p}')" for p in ALLOW)
+#: The SQL engine's patterns never give back by themselves and don't know *+.
+_ALLOWED = " OR ".join(f"regexp_matches(m, '{p.replace('*+', '*')}')" for p in ALLOW)
 
 
 def _sql_islands(of: str, chars: str) -> str:

@@ -253,3 +253,12 @@ def test_disclosing_terms_against_brute_force(make):
 @pytest.mark.parametrize("f", [quality.quality, secrets.secrets, pii.pii])
 def test_empty_table(make, f):
     assert f(make([])).count() == 0
+
+
+@pytest.mark.parametrize("part", ["/ab-1", "-word", "/a", "=12"])
+def test_many_marked_parts(make, spark, part):
+    """A path of 100,000 marked parts isn't a secret, and no pattern recurses once a part."""
+    text = "see " + part * 100_000 + " end"
+    df = make([(1, text)])
+    assert secrets.secrets(df).first().n_entropy == 0
+    assert secrets.secrets_stage(spark, df, "").first().text == text
