@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, line_dedup, near_dedup, ngram_lm, packing, pii, quality, secrets, toxicity
+from . import byte_bpe, collocations, exact_dedup, line_dedup, near_dedup, ngram_lm, packing, pii, quality, secrets, spelling, toxicity, url_filter
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_minhash": near_dedup.op9_minhash,
     "op10_pii": pii.op10_pii,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_url_filter": url_filter.op12_url_filter,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 ORACLES = {
@@ -23,4 +26,6 @@ ORACLES = {
     "op7_quality_rules": quality.SQL,
     "op9_minhash": near_dedup.SQL,
     "op10_pii": pii.SQL,
+    "op11_spelling_variants": spelling.SQL,
+    "op13_collocations": collocations.SQL,
 }
