@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import morton_bits
+from .ranks import numbered
 from .spatial import morton_codes
 
 
@@ -52,10 +53,11 @@ def valid_blocks(voxels: DataFrame, dims) -> DataFrame:
     return morton_codes(voxels.select("vox"), dims).select(F.shiftright("morton", 3).alias("block")).distinct()
 
 
-def synthesise(root: DataFrame, detail: DataFrame, voxels: DataFrame, dims, levels: int) -> DataFrame:
-    """The values again; details that aren't there count as 0."""
+def synthesise(root: DataFrame, detail: DataFrame, voxels: DataFrame, dims, levels: int, roi: DataFrame | None = None) -> DataFrame:
+    """The values again, of the voxels of a region if there is one; details that aren't there count as 0."""
     sizes = block_sizes(voxels, dims, levels)
-    codes = morton_codes(voxels.select("vox"), dims).select("vox", F.col("morton").alias("code"))
+    wanted = voxels.select("vox") if roi is None else voxels.join(roi.select("vox"), "vox", "left_semi").select("vox")
+    codes = morton_codes(wanted, dims).select("vox", F.col("morton").alias("code"))
     low = root
     for level in range(levels, 0, -1):
         n = sizes.where(F.col("level") == level).select("block", "n")
@@ -88,14 +90,21 @@ def needed_details(roi: DataFrame, voxels: DataFrame, dims, levels: int) -> Data
     out = None
     for level in range(1, levels + 1):
         child = F.shiftright("morton", 3 * (level - 1))
-        placed = all_.select(child.alias("code")).distinct()
-        placed = placed.select("code", F.row_number().over(Window.orderBy("code")).alias("pos"))  # a row a block
+        placed = numbered(all_.select(child.alias("code")).distinct(), "code", name="pos", start=1)
         blocks = wanted.select(F.shiftright("morton", 3 * level).alias("block")).distinct()
         part = placed.withColumn("block", F.shiftright("code", 3)).join(blocks, "block", "left_semi").select(F.lit(level).alias("level"), "pos", "code")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def needed_coefficients(roi: DataFrame, voxels: DataFrame, dims, levels: int) -> DataFrame:
+    """(level, code) of the details, and at level 0 of the roots, that a region's values need."""
+    codes = morton_codes(voxels.join(roi.select("vox"), "vox", "left_semi").select("vox"), dims).select("morton")
+    up = F.explode(F.sequence(F.lit(1), F.lit(levels))).alias("level")
+    details = codes.select("morton", up).select("level", F.expr("shiftright(morton, 3 * (level - 1))").alias("code"))
+    return details.unionByName(codes.select(F.lit(0).alias("level"), F.shiftright("morton", 3 * levels).alias("code"))).distinct()
+
+
 def most_levels(dims) -> int:
     """Levels after which one block is left."""
     return max(1, math.ceil(morton_bits(dims)))

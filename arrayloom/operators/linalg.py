@@ -95,7 +95,7 @@ def rows_of(df: DataFrame, n_vox: int) -> DataFrame:
 def moments(rows: DataFrame, n_vox: int) -> tuple[int, np.ndarray, np.ndarray]:
     """Number of rows, their sum and their Gram matrix. Tasks send one partial each; n_vox is limited."""
     if n_vox > option("kernel.max_features"):
-        raise DimensionMismatch(f"{n_vox} features are more than kernel.max_features", "moments")
+        raise DimensionMismatch(f"{n_vox} features are more than kernel.max_features: see blocks.components", "moments")
 
     def run(batches):
         n, total, gram = 0, np.zeros(n_vox), np.zeros((n_vox, n_vox))
@@ -136,7 +136,7 @@ class Decomposition:
 
 
 def decompose(df: DataFrame, n_vox: int, k: int, center: bool = True, scale: bool = False) -> Decomposition:
-    """Principal components of the rows over t, from one pass that sums the Gram matrix."""
+    """Principal components of the rows over t, from one pass that sums the Gram matrix; for few voxels (blocks.components takes any number)."""
     n, total, gram = moments(rows_of(df, n_vox), n_vox)
     mean = total / max(n, 1) if center else np.zeros(n_vox)
     cov = gram - n * np.outer(mean, mean)
@@ -152,22 +152,6 @@ def decompose(df: DataFrame, n_vox: int, k: int, center: bool = True, scale: boo
     return Decomposition(signed(vector[:, order]), np.sqrt(np.maximum(value[order], 0)), mean, sd, n, float(np.trace(cov)))
 
 
-def omp(target: np.ndarray, dictionary: np.ndarray, tol: float, limit: int) -> tuple[list[int], np.ndarray]:
-    """Orthogonal matching pursuit: atoms (rows of the dictionary) and their least-squares weights."""
-    rest, active, weights = target.copy(), [], np.zeros(0)
-    while len(active) < limit and rest @ rest > tol * tol:
-        c = np.abs(dictionary @ rest)
-        c[active] = -1
-        j = int(c.argmax())
-        if c[j] <= 1e-12:
-            break
-        active.append(j)
-        d = dictionary[active].T
-        weights = np.linalg.lstsq(d, target, rcond=None)[0]
-        rest = target - d @ weights
-    return active, weights
-
-
 def quantise_weights(w: np.ndarray, bits: int) -> tuple[np.ndarray, float]:
     """Signed codes up to 2^(bits-1) - 1 and their scale."""
     top = 2 ** (bits - 1) - 1

@@ -10,12 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..errors import DimensionMismatch, InvalidInput, warn
+from ..errors import InvalidInput, warn
 from ..functions.kernels import sobel_magnitude
 from ..functions.scalar import kernel, morton, morton_bits
+from ..functions.shipping import ship
 from ..model import with_coordinates
 from ..options import option
+from ..sources.files import as_table
 from .graph import connected_components
+from .ranks import medians, numbered
+
+ship(__name__)
 
 # ---- order and hashes ----------------------------------------------------------------------------
 
@@ -41,15 +46,18 @@ def octree_counts(voxels: DataFrame, dims, levels: int) -> DataFrame:
 def morton_hash(voxels: DataFrame, dims) -> str:
     """sha1 of the voxels' 1-based numbers as 32-bit little-endian integers in Z-order.
 
-    One string for the whole mask: meant for masks of up to kernel.max_series voxels.
+    Numbers are put in order by Spark and come to the driver one partition after the other; it holds no more than one.
     """
     import hashlib
 
-    codes = morton_codes(voxels, dims)
-    if codes.count() > option("kernel.max_series"):
-        raise DimensionMismatch("the mask has more voxels than kernel.max_series", "morton_hash")
-    at = np.array([r.vox + 1 for r in codes.orderBy("morton").select("vox").collect()], "<i4")
-    return "sha1:" + hashlib.sha1(at.tobytes()).hexdigest()
+    def packed(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([(b.column(0).to_numpy() + 1).astype("<i4").tobytes()], pa.binary())], names=["data"])
+
+    out = hashlib.sha1()
+    for row in morton_codes(voxels, dims).orderBy("morton").select("vox").mapInArrow(packed, "data binary").toLocalIterator():
+        out.update(row.data)
+    return "sha1:" + out.hexdigest()
 
 
 def mask_hash(voxels: DataFrame) -> str:
@@ -83,8 +91,7 @@ def label_components(voxels: DataFrame, dims) -> DataFrame:
     found = connected_components(neighbour_pairs(voxels, dims))
     rooted = voxels.select("vox").join(found.withColumnRenamed("v", "vox"), "vox", "left").select("vox", F.coalesce("c", "vox").alias("root"))
     roots = rooted.select("root").distinct()
-    numbered = roots.select("root", F.row_number().over(Window.orderBy("root")).alias("label"))  # a row a component
-    return rooted.join(numbered, "root").select("vox", "label")
+    return rooted.join(numbered(roots, "root", name="label", start=1), "root").select("vox", F.col("label").cast("int").alias("label"))
 
 
 def _labelled(batches, dims):
@@ -165,7 +172,7 @@ def sobel_by_windows(df: DataFrame, dims) -> DataFrame:
 def edge_map(gradient: DataFrame, voxels: DataFrame | None = None, k: float = 3.0) -> DataFrame:
     """(run_id, t, vox, edge): gradients above k times their median over the voxels of the mask."""
     inside = gradient if voxels is None else gradient.join(voxels.select("vox"), "vox", "left_semi")
-    mid = inside.groupBy("run_id", "t").agg(F.median(F.abs("value")).alias("mid"))
+    mid = medians(inside, ["run_id", "t"], F.abs("value"), "mid")
     return gradient.join(mid, ["run_id", "t"]).select("run_id", "t", "vox", (F.col("value") > k * F.col("mid")).alias("edge"))
 
 
@@ -191,31 +198,61 @@ def poisson_disk(voxels: DataFrame, dims, radius: float, seed: int, edges: DataF
     """(vox, component): centres no closer than radius voxels to each other within a component of the mask.
 
     Voxels come in the order of a hash of seed, component and voxel; each is taken unless a taken one is
-    nearer than the radius (on edge voxels radius / density). A component always gets a centre. Components are
-    worked on one by one by the tasks; one may have kernel.max_series voxels.
+    nearer than the radius (on edge voxels radius / density). A component always gets a centre.
+
+    A voxel waits for those before it that are near, for no others. So space is cut into blocks, each with a margin as wide as the
+    radius, and a round decides in each block all voxels that wait for none outside it; few rounds are left to do, as the order is random.
     """
     labels = label_components(voxels, dims)
     rows = with_coordinates(labels, dims).withColumn("order", F.xxhash64(F.lit(seed), "label", "vox"))
     rows = rows.withColumn("edge", F.lit(False)) if edges is None else rows.join(edges.select("vox", "edge"), "vox", "left").withColumn("edge", F.coalesce("edge", F.lit(False)))
-    most = option("kernel.max_series")
-
-    def pick(pdf):
-        if len(pdf) > most:
-            raise ValueError("a component has more voxels than kernel.max_series")
-        pdf = pdf.sort_values(["order", "vox"])
-        xyz, reach = pdf[["x", "y", "z"]].to_numpy(float), np.where(pdf["edge"], radius / density, radius)
-        cell = max(radius, 1.0)
-        taken: dict[tuple, list[int]] = {}
-        out = []
-        for i, p in enumerate(xyz):
-            c = tuple((p // cell).astype(int))
-            near = [j for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1) for j in taken.get((c[0] + dx, c[1] + dy, c[2] + dz), ())]
-            if not near or ((xyz[near] - p) ** 2).sum(axis=1).min() >= reach[i] ** 2:
-                taken.setdefault(c, []).append(i)
-                out.append(i)
-        return pdf.iloc[out][["vox", "label"]].rename(columns={"label": "component"}).astype("int32")
-
-    return rows.groupBy("label").applyInPandas(pick, "vox int, component int")
+    margin = math.ceil(max(radius, radius / density))
+    size = max(32, min(4 * margin, 128))
+    near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - margin) / size), F.floor((F.col(c) + margin) / size)).cast("array<int>"))
+    schema = "vox int, label int, x int, y int, z int, order long, edge boolean, taken boolean"
+
+    def decide(key, pdf):
+        return _decided(pdf, np.array(key), size, margin, radius, density)
+
+    live, _ = as_table(rows.select("vox", "label", "x", "y", "z", "order", "edge", F.lit(False).alias("taken")))
+    while not live.where("NOT taken").isEmpty():
+        dealt = live.select("*", near("x").alias("bx")).select("*", near("y").alias("by")).select("*", near("z").alias("bz"))
+        new = dealt.groupBy("bx", "by", "bz").applyInPandas(decide, schema)
+        live, _ = as_table(live.where("taken").unionByName(new))
+    return live.select("vox", F.col("label").alias("component"))
+
+
+def _decided(pdf, block: np.ndarray, size: int, margin: int, radius: float, density: float):
+    """The block's own undecided voxels that are taken now, or wait for one that another block decides."""
+    names = ["vox", "label", "x", "y", "z", "order", "edge", "taken"]
+    xyz = pdf[["x", "y", "z"]].to_numpy()
+    mine = (xyz // size == block).all(axis=1) & ~pdf["taken"].to_numpy()
+    if not mine.any():
+        return pdf.iloc[:0][names]
+    order = np.lexsort((pdf["vox"].to_numpy(), pdf["order"].to_numpy()))
+    pdf, xyz, mine = pdf.iloc[order], xyz[order], mine[order]
+    at = xyz - xyz.min(axis=0) + margin
+    shape = tuple(at.max(axis=0) + margin + 1)
+    place = tuple(at.T)
+    label, reach = np.zeros(shape, np.int32), np.zeros(shape)
+    label[place] = pdf["label"]
+    reach[place] = np.where(pdf["edge"], radius / density, radius) ** 2
+    covered, waiting = np.zeros(shape, bool), np.zeros(shape, bool)
+    d = np.arange(-margin, margin + 1) ** 2
+    distance = d[:, None, None] + d[:, None] + d
+    stays, taken = [], pdf["taken"].to_numpy().copy()
+    for i, (p, own, done) in enumerate(zip(map(tuple, at.tolist()), mine.tolist(), taken.tolist(), strict=True)):
+        if covered[p] and not done:
+            continue
+        around = tuple(slice(c - margin, c + margin + 1) for c in p)
+        if own:
+            stays.append(i)
+            taken[i] = done = not (waiting[around] & (label[around] == label[p]) & (distance < reach[p])).any()
+        if done:
+            covered[around] |= (label[around] == label[p]) & (distance < reach[around])
+        else:
+            waiting[p] = True
+    return pdf.assign(taken=taken).iloc[stays][names]
 
 
 def level_scales(sigma0: float, levels: int, radius_factor: float, extra: int = 0) -> list[tuple[int, float, float]]:
@@ -235,8 +272,8 @@ def hrbf_centres(voxels: DataFrame, dims, sigma0: float = 6.0, levels: int = 3,
     for level, sigma, radius in level_scales(sigma0, levels, radius_factor, num_extra_fine_levels):
         at = poisson_disk(voxels, dims, radius / (sum(spacing) / 3), seed + level, edges, density).select(F.lit(level).alias("level"), "vox", F.lit(sigma).alias("sigma"))
         out = at if out is None else out.unionByName(at)
-    placed = world(out, dims, spacing, origin).select(F.row_number().over(Window.orderBy("level", "vox")).alias("n"), "level", "vox", F.col("wx").alias("cx"), F.col("wy").alias("cy"), F.col("wz").alias("cz"), "sigma")
-    return placed.select((F.col("n") - 1).alias("k"), "level", "vox", "cx", "cy", "cz", "sigma")
+    placed = numbered(out, "level", "vox", name="k")
+    return world(placed, dims, spacing, origin).select(F.col("k").cast("int").alias("k"), "level", "vox", F.col("wx").alias("cx"), F.col("wy").alias("cy"), F.col("wz").alias("cz"), "sigma")
 
 
 def atoms(voxels: DataFrame, dims, centres: DataFrame, kernel_type: str = "gaussian", spacing=(1.0, 1.0, 1.0), origin=(0.0, 0.0, 0.0), fine_kernel: str = "wendland_c4", alt_from: int | None = None, least: float = 1e-8, normalise: bool = True) -> DataFrame:

@@ -11,7 +11,10 @@ from pyspark.sql.window import Window
 from ..errors import InvalidInput, warn
 from ..functions import bases
 from ..functions.scalar import bayes_threshold, below_to_zero, dct_value, hard, noise_sigma, normal_tail, soft, universal_threshold
+from ..sources.files import as_table
 from . import linalg
+from .ranks import medians
+from .subset import small
 
 
 def dct_project(df: DataFrame, n_time: int, n_basis: int) -> DataFrame:
@@ -60,11 +63,16 @@ def energy_threshold(coef: DataFrame, keep: float = 0.99) -> DataFrame:
     return coef.join(kept, ["run_id", "k"], "left").select("run_id", "k", "vox", F.when(F.col("stays"), F.col("value")).otherwise(0.0).alias("value"))
 
 
+def _deviation(x: DataFrame) -> DataFrame:
+    """(run_id, mad): the median absolute deviation from the run's median; a run may have any number of values."""
+    mid = medians(x, ["run_id"], name="mid")
+    return medians(x.join(small(mid, 2 * mid.count()), "run_id"), ["run_id"], F.abs(F.col("value") - F.col("mid")), "mad")
+
+
 def noise_by_run(coef: DataFrame, finest: DataFrame | None = None) -> DataFrame:
     """(run_id, sigma, n): noise from the median absolute deviation of the finest coefficients, and their number."""
     x = finest if finest is not None else coef
-    mid = x.groupBy("run_id").agg(F.median("value").alias("mid"))
-    mad = x.join(mid, "run_id").groupBy("run_id").agg(F.median(F.abs(F.col("value") - F.col("mid"))).alias("mad"))
+    mad = _deviation(x)
     n = coef.groupBy("run_id").agg(F.count("*").alias("n"), F.avg(F.col("value") * F.col("value")).alias("mean_square"))
     return mad.join(n, "run_id").select("run_id", noise_sigma(F.col("mad")).alias("sigma"), "n", "mean_square")
 
@@ -88,11 +96,11 @@ def shrink(coef: DataFrame, kind: str, value: float | None = None, finest: DataF
     return rows.select(*[c for c in coef.columns if c != "value"], F.when(F.col("sigma") > 0, new).otherwise(F.col("value")).alias("value"))
 
 
-def fdr_cut(coef: DataFrame, sigma: float, alpha: float = 0.05) -> float | None:
-    """Benjamini-Hochberg over all coefficients: the smallest |value| / sigma that is significant.
+def fdr_cuts(coef: DataFrame, sigma: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Benjamini-Hochberg over the coefficients of each run: (run_id, cut), the smallest |value| / sigma that is significant; sigma: (run_id, sigma).
 
-    p-values fall as |value| rises, so the rank test needs, for each distinct |value|, only the number of values
-    at least as large; the answer is one number.
+    p-values fall as |value| rises, so the rank test needs, for each distinct |value|, only the number of the run's values
+    at least as large: a sum within the range that it was dealt to, and the sums of the ranges before. Runs without noise or without anything significant are absent.
     """
     from pyspark.sql.functions import pandas_udf
 
@@ -100,25 +108,32 @@ def fdr_cut(coef: DataFrame, sigma: float, alpha: float = 0.05) -> float | None:
     def p_value(z):
         return z.map(normal_tail)
 
-    distinct = coef.groupBy((F.abs("value") / sigma).alias("z")).agg(F.count("*").alias("m"))
-    ranked = distinct.repartitionByRange(F.desc("z")).sortWithinPartitions(F.desc("z")).withColumn("part", F.spark_partition_id())
-    before = Window.partitionBy("part").orderBy(F.desc("z")).rowsBetween(Window.unboundedPreceding, 0)
-    sizes = {r.part: r.m for r in ranked.groupBy("part").agg(F.sum("m").alias("m")).collect()}  # a row a partition
-    offset, total = {}, 0
-    for part in sorted(sizes):
-        offset[part], total = total, total + sizes[part]
-    base = F.lit(0)
-    for part, n in offset.items():
-        base = F.when(F.col("part") == part, n).otherwise(base)
-    row = ranked.withColumn("rank", F.sum("m").over(before) + base).withColumn("p", p_value("z")).where(F.col("p") <= alpha * F.col("rank") / total).agg(F.min("z")).first()
-    return row[0] if row else None
+    rows = coef.join(small(sigma.select("run_id", "sigma"), 2 * sigma.count()), "run_id").where("sigma > 0")
+    distinct = rows.groupBy("run_id", (F.abs("value") / F.col("sigma")).alias("z")).agg(F.count("*").alias("m"))
+    dealt, _ = as_table(distinct.repartitionByRange(F.col("run_id"), F.desc("z")).withColumn("part", F.spark_partition_id()))
+    # a row a run and range
+    sizes = dealt.groupBy("run_id", "part").agg(F.sum("m").alias("size"))
+    run = Window.partitionBy("run_id")
+    sizes = sizes.select("run_id", "part", (F.sum("size").over(run.orderBy("part")) - F.col("size")).alias("before"), F.sum("size").over(run).alias("total"))
+    within = Window.partitionBy("run_id", "part").orderBy(F.desc("z")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = dealt.join(sizes, ["run_id", "part"]).withColumn("rank", F.sum("m").over(within) + F.col("before"))
+    return ranked.where(p_value("z") <= alpha * F.col("rank") / F.col("total")).groupBy("run_id").agg(F.min("z").alias("cut"))
+
+
+def fdr_by_run(coef: DataFrame, sigma: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Zeroes what isn't significant among its run's coefficients, at the run's own noise; runs without noise stay as they are."""
+    known, _ = as_table(sigma.select("run_id", "sigma"))
+    cuts = known.join(fdr_cuts(coef, known, alpha), "run_id", "left")
+    rows = coef.join(small(cuts, 3 * known.count()), "run_id", "left")
+    stays = F.coalesce(F.col("sigma") <= 0, F.lit(True)) | F.coalesce(F.abs("value") / F.col("sigma") >= F.col("cut"), F.lit(False))
+    return rows.select(*[c for c in coef.columns if c != "value"], F.when(stays, F.col("value")).otherwise(0.0).alias("value"))
 
 
 def fdr(coef: DataFrame, sigma: float, alpha: float = 0.05) -> DataFrame:
-    """Zeroes what isn't significant; if nothing is, everything."""
-    cut = fdr_cut(coef, sigma, alpha)
-    keep = F.lit(False) if cut is None else F.abs("value") / sigma >= cut
-    return coef.withColumn("value", F.when(keep, F.col("value")).otherwise(0.0))
+    """As fdr_by_run with one noise level, over the coefficients of all runs together."""
+    pooled = coef.withColumn("own", F.col("run_id")).withColumn("run_id", F.lit(""))
+    level = coef.sparkSession.createDataFrame([("", float(sigma))], "run_id string, sigma double")
+    return fdr_by_run(pooled, level, alpha).withColumn("run_id", F.col("own")).select(*coef.columns)
 
 
 def _series_kernel(df: DataFrame, schema: str, kernel) -> DataFrame:
@@ -179,19 +194,17 @@ def modwt_reconstruct(coef: DataFrame, n_time: int, wavelet: str = "sym8", bound
     return packed.mapInArrow(run, "run_id string, t int, vox int, value double")
 
 
-def modwt_shrink(coef: DataFrame, kind: str, alpha: float = 0.05, voxels: int = 10) -> DataFrame:
-    """Shrinks every detail level of every series; one noise level from the finest details of the first voxels."""
+def modwt_shrink(coef: DataFrame, kind: str, alpha: float = 0.05, voxels: int = 10, value: float | None = None) -> DataFrame:
+    """Shrinks every detail level of every series; one noise level from the finest details of the first voxels. soft and hard may have a value instead."""
+    if kind in ("soft", "hard") and value is not None:
+        new = below_to_zero(F.col("value"), value) if kind == "hard" else soft(F.col("value"), F.lit(float(value)))
+        return coef.withColumn("value", F.when(F.col("band") == "W", new).otherwise(F.col("value")))
     finest = coef.where((F.col("band") == "W") & (F.col("level") == 1) & (F.col("vox") < voxels))
-    mid = finest.groupBy("run_id").agg(F.median("value").alias("mid"))
-    sigma = finest.join(mid, "run_id").groupBy("run_id").agg(noise_sigma(F.median(F.abs(F.col("value") - F.col("mid")))).alias("sigma"))
     if kind == "none":
         return coef
+    sigma = _deviation(finest).select("run_id", noise_sigma(F.col("mad")).alias("sigma"))
     if kind == "fdr":
-        out = coef
-        for r in sigma.collect():  # a row a run
-            part = fdr(coef.where((F.col("run_id") == r.run_id) & (F.col("band") == "W")), r.sigma, alpha)
-            out = part if out is coef else out.unionByName(part)
-        return out.unionByName(coef.where("band = 'V'"))
+        return fdr_by_run(coef.where("band = 'W'"), sigma, alpha).unionByName(coef.where("band = 'V'"))
     by = Window.partitionBy("run_id", "vox", "band", "level")
     rows = coef.join(F.broadcast(sigma), "run_id").withColumn("n", F.count("*").over(by)).withColumn("ms", F.avg(F.col("value") * F.col("value")).over(by))
     thr = bayes_threshold(F.col("sigma"), F.col("ms")) if kind == "bayes_shrink" else universal_threshold(F.col("sigma"), F.col("n"))

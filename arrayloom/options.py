@@ -43,8 +43,11 @@ DEFAULTS: dict[str, Any] = {
     "defaults.origin_label": "global",
     # limits of this engine: what may be broadcast or held by one task
     "broadcast.max_cells": 4_000_000,
-    "kernel.max_features": 4_096,
+    "kernel.max_features": 256,
     "kernel.max_series": 4_000_000,
+    # singular values: largest change, in units of the largest value, that ends the rounds, and their number at most
+    "svd.tolerance": 1e-10,
+    "svd.max_rounds": 40,
 }
 
 _options: dict[str, Any] = copy.deepcopy(DEFAULTS)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import ValidationError
 from ..functions import bases
 from ..model import ArrayFrame, from_numpy, matrix, to_numpy
-from ..operators import linalg, spatial, subset, temporal
+from ..operators import linalg, pursuit, sparse_pca, spatial, subset, temporal
 from ..sources import archive, layout
 from . import pipeline as forms
 from .archive_queries import _frame, _work
@@ -79,10 +79,10 @@ def temporal_archive(spark, sf_dir):
 
 @query("SELECT k::INT AS component, true AS within FROM range(4) r(k)")
 def empirical_hrbf_compress(spark, sf_dir):
-    """A basis coded on a radial dictionary: every component has atoms, with codes of 8 bits at most."""
+    """A basis coded on a radial dictionary: every component has atoms, with codes of 5 bits at most."""
     path = Pipeline(_frame(spark, sf_dir)).pca(k=6).add_step("basis.empirical_hrbf_compressed", {"basis_path": "00_basis/matrix", "svd_rank": 4, "sigma0": 2.0, "levels": 1}).write(_work(spark))
     codes = archive.load_dataset(spark, path, "01_basis.empirical_hrbf_compressed/hrbf_codes")
-    return codes.groupBy(F.col("component").cast("int").alias("component")).agg((F.max(F.abs("q")).between(1, 127)).alias("within"))
+    return codes.groupBy(F.col("component").cast("int").alias("component")).agg((F.max(F.abs("q")).between(1, 15)).alias("within"))
 
 
 @query("SELECT k::INT AS k, true AS within FROM range(5) r(k)")
@@ -150,11 +150,10 @@ def svd_energy(spark, sf_dir):
 @query(f"WITH {EMBEDDINGS} SELECT run_id, true AS within FROM m GROUP BY run_id")
 def sparsepca_roundtrip(spark, sf_dir):
     """Sparse components of the full rank give the data back to 1 percent of their variance."""
-    from . import steps
-
     e = embeddings(spark, sf_dir)
     var = e.groupBy("run_id").agg(F.avg(F.col("value") * F.col("value")).alias("power"))
-    return steps.sparse_pca_error(e, 64, 64, 1e-3).join(var, "run_id").select("run_id", (F.col("mse") <= 0.01 * F.col("power")).alias("within"))
+    fit = sparse_pca.reconstruction_error(e, 64, sparse_pca.sparse_components(e, 64, 64, 1e-3))
+    return fit.join(var, "run_id").select("run_id", (F.col("mse") <= 0.01 * F.col("power")).alias("within"))
 
 
 # ---- temporal bases --------------------------------------------------------------------------------
@@ -234,6 +233,15 @@ def fdr_threshold(spark, sf_dir):
     return c.groupBy("run_id").agg(F.count("*").alias("n"), F.count_if(F.col("value") != 0).alias("kept"))
 
 
+@query(f"""WITH {_COEF}, z AS (SELECT *, abs(value) / 60.0 AS z, 1 / (1 + 0.3275911 * abs(value) / 60.0 / sqrt(2.0)) AS q FROM c), p AS (SELECT *, {_TAIL} AS p, count(*) OVER (PARTITION BY run_id) AS total, count(*) OVER (PARTITION BY run_id ORDER BY z DESC) AS rank FROM z),
+cut AS (SELECT run_id, min(z) AS cut FROM p WHERE p <= 0.05 * rank / total GROUP BY run_id) SELECT p.run_id, count(*) AS n, count(*) FILTER (z >= cut) AS kept FROM p LEFT JOIN cut USING (run_id) GROUP BY p.run_id""")
+def fdr_threshold_by_run(spark, sf_dir):
+    """Coefficients that are significant among those of their own run."""
+    coef = _coef(spark, sf_dir)
+    c = temporal.fdr_by_run(coef, coef.select("run_id").distinct().withColumn("sigma", F.lit(60.0)), 0.05)
+    return c.groupBy("run_id").agg(F.count("*").alias("n"), F.count_if(F.col("value") != 0).alias("kept"))
+
+
 @query(f"WITH {_DENSE} SELECT run_id, t, vox, round(value, 5) + 0.0 AS value FROM f")
 def denoise_full_basis(spark, sf_dir):
     """With all cosines and no threshold, denoising changes nothing."""
@@ -272,10 +280,8 @@ def poisson_disk_invariants(spark, sf_dir):
 @query(f"WITH {_GAUSS}, p AS (SELECT k, sum(value * w) AS c FROM w2 JOIN v USING (vox) GROUP BY k) SELECT k, round(c, 4) AS c FROM p ORDER BY abs(c) DESC LIMIT 1")
 def omp_first_atom(spark, sf_dir):
     """Matching pursuit with one atom takes the one of the largest product, with that weight."""
-    d = _atoms(spark, sf_dir).toPandas().pivot(index="k", columns="vox", values="w").fillna(0.0)  # six atoms
-    v = volume(spark, sf_dir).toPandas().set_index("vox").value.reindex(d.columns).to_numpy()
-    active, weights = linalg.omp(v, d.to_numpy(), 1e-9, 1)
-    return rounded(spark.createDataFrame([(int(d.index[active[0]]), float(weights[0]))], "k int, c double"), "c", digits=4)
+    target = volume(spark, sf_dir).select(F.lit(0).alias("component"), "vox", "value")
+    return rounded(pursuit.pursue(target, _atoms(spark, sf_dir), 1e-9, 1).select("k", F.col("weight").alias("c")), "c", digits=4)
 
 
 @query(f"WITH {_GAUSS}, q AS (SELECT k, vox, w, max(abs(w)) OVER (PARTITION BY k) / 15 AS scale FROM w2) SELECT k, vox, least(greatest(round_even(w / scale, 0), -15), 15)::INT AS q FROM q")

@@ -299,7 +299,7 @@ def dequantize_data(codes: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def sparse_pca(frame: ArrayFrame, k: int = 50, alpha: float = 1e-3, whiten: bool = False):
-    from .steps import sparse_components
+    from ..operators.sparse_pca import sparse_components
 
     return sparse_components(frame.df, frame.n_vox, k, alpha, whiten)
 

@@ -6,6 +6,7 @@ import datetime
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from importlib.metadata import entry_points
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,35 @@ class Transform:
 
 _types: dict[str, Transform] = {}
 
+#: Entry points of this group are functions without arguments that register a package's step types.
+GROUP = "arrayloom.steps"
+_loaded: set[tuple[str, str]] = set()
+
+
+def load_packages(group: str = GROUP) -> dict[str, list[str]]:
+    """Calls the installed packages' functions that haven't been called yet: the step types that each brought, by entry point.
+
+    A type that is registered already stays as it is, with a warning, also if the package forces its own; a package that fails is warned of and left out.
+    """
+    out = {}
+    for point in sorted(entry_points(group=group), key=lambda e: (e.name, e.value)):
+        if (point.name, point.value) in _loaded:
+            continue
+        _loaded.add((point.name, point.value))
+        before = dict(_types)
+        try:
+            point.load()()
+        except Exception as e:  # whatever a package does wrong, the others work
+            _types.clear()
+            _types.update(before)
+            warn(f"package {point.name} ({point.value}) can't be used: {e}")
+            continue
+        if taken := [t for t in before if _types.get(t) is not before[t]]:
+            warn(f"package {point.name} brings step types that are registered already: {', '.join(taken)}")
+            _types.update({t: before[t] for t in taken})
+        out[point.name] = sorted(set(_types) - set(before))
+    return out
+
 
 def register_transform(type: str, forward: Callable | None = None, inverse: Callable | None = None, *, parameters: dict[str, Parameter] | None = None, force: bool = False, **facts: Any) -> Transform:
     if not type or not isinstance(type, str):
@@ -44,6 +74,8 @@ def register_transform(type: str, forward: Callable | None = None, inverse: Call
 
 
 def get_transform(type: str, direction: str | None = None) -> Transform:
+    if type not in _types:
+        load_packages()
     t = _types.get(type)
     if t is None or (direction and getattr(t, direction) is None):
         raise NoMethod(f"no {direction or 'transform'} for step type {type!r}", "get_transform", type=type)
@@ -94,6 +126,8 @@ def missing_types(types: list[str], policy: str = "installed") -> list[str]:
     """Types without an inverse. Policy none raises; the others warn, and such steps are skipped."""
     if policy not in ("installed", "none", "prompt"):
         raise ValidationError(f"unknown policy {policy!r}", "missing_types")
+    if any(t not in _types for t in types):
+        load_packages()
     out = [t for t in types if not (t in _types and _types[t].inverse)]
     if out and policy == "none":
         raise NoMethod(f"no inverse for {', '.join(out)}", "missing_types")

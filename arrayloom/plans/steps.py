@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..errors import ContractError, DataQuality, DimensionMismatch, DuplicateKey, InvalidInput, MaskMismatch, NotSupported, StepError, StepReturnError, ValidationError, warn
+from ..errors import ContractError, DataQuality, DuplicateKey, InvalidInput, MaskMismatch, NotSupported, StepError, StepReturnError, ValidationError, warn
 from ..functions import bases
 from ..model import ArrayFrame
-from ..operators import codecs, haar, linalg, quant, runs, spatial, temporal
+from ..operators import blocks, codecs, haar, linalg, pursuit, quant, ranks, runs, spatial, temporal
+from ..operators.sparse_pca import sparse_components
 from ..options import STEPS, Parameter, option
+from ..sources.files import as_table
 from .registry import get_transform, register_transform
 
 
@@ -57,6 +59,7 @@ class Context:
     load: Callable[[str], DataFrame]
     roi: DataFrame | None = None
     times: tuple[int, ...] | None = None
+    statistics: DataFrame | None = None
 
     def path(self, *parts: str) -> str:
         return "/".join([self.name, *parts])
@@ -123,7 +126,8 @@ def _quant_forward(c: Context, df: DataFrame) -> Result:
     if p["scale_scope"] == "voxel" and c.frame.rank < 4:
         warn("a voxel scope needs time and space; the scope is global", DataQuality)
         p["scale_scope"] = "global"
-    params = quant.quant_params(quant.quant_stats(df, p["scale_scope"]), p["bits"], p["method"], p["center"])
+    stats = quant.quant_stats(df, p["scale_scope"]) if c.statistics is None else c.statistics
+    params = quant.quant_params(stats, p["bits"], p["method"], p["center"])
     if p["scale_scope"] == "global":
         params = quant.local(params)
     codes = quant.quantise(df, params, p["bits"])
@@ -174,7 +178,7 @@ def _delta_inverse(c: Context, df: DataFrame) -> DataFrame:
     p, n = c.parameters, c.parameters["n"]
     if p["coding_method"] == "rle":
         stream = codecs.rle_decode(df.select("run_id", F.col("vox").alias("pos"), F.col("t").alias("length"), "value"))
-        order = c.load(c.path("voxels")).select("vox", (F.row_number().over(Window.orderBy("vox")) - 1).alias("place"))
+        order = ranks.numbered(c.load(c.path("voxels")).select("vox"), "vox", name="place")
         d = codecs.stream_to_series(stream, max(1, n - 1)).withColumnRenamed("vox", "place")
         deltas = d.join(order, "place").select("run_id", "t", "vox", "delta")
     else:
@@ -187,12 +191,6 @@ def _delta_inverse(c: Context, df: DataFrame) -> DataFrame:
 # ---- bases and embeddings ----------------------------------------------------------------------------
 
 
-def _basis_table(spark: SparkSession, loadings: np.ndarray) -> DataFrame:
-    """(k, vox, w) of loadings (vox x k)."""
-    v, k = np.nonzero(loadings)
-    return spark.createDataFrame(list(zip(k.tolist(), v.tolist(), loadings[v, k].tolist(), strict=True)), "k int, vox int, w double")
-
-
 def _vector(spark: SparkSession, x: np.ndarray) -> DataFrame:
     return spark.createDataFrame(list(enumerate(map(float, x))), "vox int, value double")
 
@@ -201,12 +199,12 @@ def _basis_forward(c: Context, df: DataFrame) -> Result:
     p = c.parameters
     if p["method"] != "pca":
         raise NotSupported(f"basis method {p['method']} isn't implemented", "basis:method")
-    d = linalg.decompose(df, c.n_vox, p["k"], p["center"], p["scale"])
-    sets = {c.path("matrix"): Dataset(_basis_table(c.spark, d.loadings), "basis_matrix")}
+    d = blocks.components(df, c.n_vox, p["k"], p["center"], p["scale"])
+    sets = {c.path("matrix"): Dataset(d.basis, "basis_matrix")}
     if p["center"]:
-        sets[c.path("center")] = Dataset(_vector(c.spark, d.mean), "center")
+        sets[c.path("center")] = Dataset(d.mean, "center")
     if p["scale"]:
-        sets[c.path("scale")] = Dataset(_vector(c.spark, d.scale), "scale")
+        sets[c.path("scale")] = Dataset(d.scale, "scale")
     return Result(df, sets, {"k": d.k})
 
 
@@ -256,37 +254,16 @@ def _embed_inverse(c: Context, df: DataFrame) -> DataFrame:
 # ---- sparse PCA --------------------------------------------------------------------------------------
 
 
-def sparse_components(df: DataFrame, n_vox: int, k: int, alpha: float, whiten: bool = False) -> linalg.Decomposition:
-    """Singular vectors with loadings under alpha of the largest set to zero, and unit norm again."""
-    d = linalg.decompose(df, n_vox, k, center=whiten, scale=whiten)
-    v = d.loadings
-    cut = alpha * np.abs(v).max(axis=0)
-    v = np.sign(v) * np.maximum(np.abs(v) - cut, 0)
-    norm = np.linalg.norm(v, axis=0)
-    d.loadings = v / np.where(norm > 0, norm, 1)
-    return d
-
-
-def sparse_pca_error(df: DataFrame, n_vox: int, k: int, alpha: float) -> DataFrame:
-    """(run_id, mse, sparsity): error of a reconstruction from sparse components."""
-    d = sparse_components(df, n_vox, k, alpha)
-    basis = linalg.packed_basis(df.sparkSession, d.loadings, "vox")
-    back = linalg.reconstruct(linalg.project(df, basis, "vox", d.k), basis, "vox", n_vox).withColumnRenamed("value", "fit")
-    e = F.col("value") - F.col("fit")
-    return df.join(back, ["run_id", "t", "vox"]).groupBy("run_id").agg(F.avg(e * e).alias("mse"), F.lit(float((d.loadings == 0).mean())).alias("sparsity"))
-
-
 def _sparsepca_forward(c: Context, df: DataFrame) -> Result:
     p = c.parameters
     d = sparse_components(df, c.n_vox, p["k"], p["alpha"], p["whiten"])
-    basis = _basis_table(c.spark, d.loadings)
-    sets = {c.path("basis"): Dataset(basis, "basis_matrix"), c.path("d"): Dataset(_vector(c.spark, d.d), "singular_values")}
-    own = {"k": d.k, "n_vox": c.n_vox, "backend": "gram"}
+    sets = {c.path("basis"): Dataset(d.basis, "basis_matrix"), c.path("d"): Dataset(_vector(c.spark, d.d), "singular_values")}
+    own = {"k": d.k, "n_vox": c.n_vox, "backend": "variable_projection"}
     if p["whiten"]:
-        sets |= {c.path("center"): Dataset(_vector(c.spark, d.mean), "center"), c.path("scale"): Dataset(_vector(c.spark, d.scale), "scale")}
+        sets |= {c.path("center"): Dataset(d.mean, "center"), c.path("scale"): Dataset(d.scale, "scale")}
         own |= {"center_data_with": c.path("center"), "scale_data_with": c.path("scale")}
     inner = replace(c, parameters=p | own, load=lambda path: sets[path].df if path in sets else c.load(path))
-    return Result(_embed(inner, df, basis, d.k), sets, own)
+    return Result(_embed(inner, df, d.projector, d.k), sets, own)
 
 
 def _sparsepca_inverse(c: Context, df: DataFrame) -> DataFrame:
@@ -307,8 +284,10 @@ def _temporal_forward(c: Context, df: DataFrame) -> Result:
         name = {"modwt": "sym8"}.get(p["kind"], p["kind"].removeprefix("modwt_"))
         levels = bases.modwt_levels(c.n_time, name, p.get("levels"))
         coef = temporal.modwt_project(df, name, levels)
-        if p["threshold_type"] in ("bayes_shrink", "sure", "fdr", "soft", "hard"):
-            coef = temporal.modwt_shrink(coef, p["threshold_type"], p["fdr_alpha"])
+        if p["threshold_type"] in ("energy", "adaptive"):
+            raise NotSupported(f"threshold {p['threshold_type']} isn't defined for wavelet levels", "temporal:threshold_type")
+        if p["threshold_type"] != "none":
+            coef = temporal.modwt_shrink(coef, p["threshold_type"], p["fdr_alpha"], value=p.get("threshold_value"))
         place = (F.when(F.col("band") == "W", 0).otherwise(levels) + F.col("level") - 1) * c.n_time + F.col("t")
         return Result(coef.select("run_id", place.cast("int").alias("t"), "vox", "value"), {}, {"levels": levels, "wavelet": name, "n_time": c.n_time})
     b = _temporal_basis(p, c.n_time)
@@ -317,8 +296,7 @@ def _temporal_forward(c: Context, df: DataFrame) -> Result:
     if kind == "energy":
         coef = temporal.energy_threshold(coef, p["keep_energy"])
     elif kind == "fdr":
-        sigma = temporal.noise_by_run(coef).agg(F.max("sigma")).first()[0]
-        coef = temporal.fdr(coef, sigma, p["fdr_alpha"]) if sigma else coef
+        coef = temporal.fdr_by_run(coef, temporal.noise_by_run(coef), p["fdr_alpha"])
     else:
         coef = temporal.shrink(coef, kind, p.get("threshold_value"))
     rows = [(t, [float(x) for x in r]) for t, r in enumerate(b)]
@@ -417,64 +395,52 @@ def _haar_forward(c: Context, df: DataFrame) -> Result:
     detail = haar.sparsify(root, detail, p["levels"], p["detail_threshold_type"], p["detail_threshold_value"])
     rows = root.select("run_id", "t", F.lit(0).alias("level"), "code", "value").unionByName(detail)
     places = rows.select("level", "code").distinct()
-    places = places.select("level", "code", (F.row_number().over(Window.orderBy("level", "code")) - 1).alias("vox"))
+    places = ranks.numbered(places, "level", "code", name="vox").withColumn("vox", F.col("vox").cast("int"))
     out = rows.join(places, ["level", "code"]).select("run_id", "t", "vox", "value")
+    out = out.repartitionByRange("run_id", "vox").sortWithinPartitions("run_id", "vox", "t")
     return Result(out, {c.path("places"): Dataset(places, "coefficient_places"), c.path("valid_blocks"): Dataset(haar.valid_blocks(c.mask(), c.frame.dims), "valid_blocks", "int64")}, {"morton_hash": spatial.morton_hash(c.mask(), c.frame.dims)})
 
 
 def _haar_inverse(c: Context, df: DataFrame) -> DataFrame:
-    levels, dims, mask = c.parameters["levels"], c.frame.dims, c.mask()
-    rows = df.join(c.load(c.path("places")), "vox")
+    levels, dims, mask, places = c.parameters["levels"], c.frame.dims, c.mask(), c.load(c.path("places"))
+    if c.roi is not None:
+        places, _ = as_table(places.join(haar.needed_coefficients(c.roi, mask, dims, levels), ["level", "code"], "left_semi"))
+        # places are in Z-order, and so are the files: what a region needs is in few ranges, one a level, which the scan can skip the rest by
+        spans = places.groupBy("level").agg(F.min("vox").alias("first"), F.max("vox").alias("last")).collect()
+        inside = F.lit(False)
+        for r in spans:
+            inside = inside | F.col("vox").between(r["first"], r["last"])
+        df = df.where(inside)
+    rows = df.join(places, "vox")
     root = rows.where("level = 0").select("run_id", "t", "code", "value")
     detail = rows.where("level > 0").select("run_id", "t", "level", "code", "value")
-    if c.roi is not None:
-        needed = haar.needed_details(c.roi, mask, dims, levels).select("level", "code")
-        detail = detail.join(needed, ["level", "code"], "left_semi")
-    out = haar.synthesise(root, detail, mask, dims, levels)
-    return out if c.roi is None else out.join(c.roi.select("vox"), "vox", "left_semi").select("run_id", "t", "vox", "value")
+    return haar.synthesise(root, detail, mask, dims, levels, c.roi)
 
 
 # ---- compressed and transferred bases -------------------------------------------------------------------
 
 
 def _empirical_forward(c: Context, df: DataFrame) -> Result:
-    """Codes the rows of a stored basis on an analytic dictionary; the data pass through."""
+    """Codes the rows of a stored basis on an analytic dictionary; the data pass through.
+
+    The basis is left vectors times singular values times right vectors; values times right vectors are coded by matching pursuit.
+    """
     p = c.parameters
     basis = c.load(p["basis_path"])
     k = _components(basis)
-    if k * c.n_vox > option("broadcast.max_cells"):
-        raise DimensionMismatch("the basis is larger than broadcast.max_cells", "empirical")
-    b = np.zeros((k, c.n_vox))
-    for r in basis.collect():
-        b[r.k, r.vox] = r.w
-    u, s, vt = np.linalg.svd(b, full_matrices=False)
-    m = min(p["svd_rank"], int((s > 1e-12).sum()) or 1)
-    sign = np.sign(np.take_along_axis(u, np.abs(u).argmax(axis=0)[None], 0))[0]
-    u, vt = u * sign, vt * sign[:, None]
+    rows = basis.select(F.lit("basis").alias("run_id"), F.col("k").alias("t"), "vox", F.col("w").alias("value"))
+    tiles, n, row_blocks, _, _, _ = blocks.prepared(rows, c.n_vox, False, False)
+    s = blocks.singular(tiles, c.n_vox, n, min(p["svd_rank"], k, c.n_vox), row_blocks)
+    m = max(1, int((s.d > 1e-12).sum()))
+    left = blocks.left_cells(tiles, s, c.n_vox, row_blocks).where(F.col("component") < m)
+    scaled = blocks.cells_of(blocks.times_small(s.right, np.diag(s.d)[:, :m]), c.n_vox)
+    targets = scaled.select(F.col("k").alias("component"), "vox", F.col("w").alias("value"))
     atoms, centres = _hrbf(c)
-    n_atoms = centres.count()
-    if n_atoms * c.n_vox > option("broadcast.max_cells"):
-        raise DimensionMismatch("the dictionary is larger than broadcast.max_cells", "empirical")
-    d = np.zeros((n_atoms, c.n_vox))
-    for r in atoms.collect():
-        d[r.k, r.vox] = r.w
-    held = c.spark.sparkContext.broadcast(d)
-    tol, limit, bits = p["omp_tol"], p["omp_sparsity_limit"], p["omp_quant_bits"]
-
-    def code(pdf):
-        out = []
-        for j, target in zip(pdf["component"], pdf["row"], strict=True):
-            x = np.array(target)
-            active, w = linalg.omp(x, held.value, tol * max(np.linalg.norm(x), 1e-300), limit)
-            q, scale = linalg.quantise_weights(w, bits)
-            out += [(int(j), int(a), int(v), float(scale)) for a, v in zip(active, q, strict=True)]
-        import pandas as pd
-
-        return pd.DataFrame(out, columns=["component", "k", "q", "scale"])
-
-    rows = c.spark.createDataFrame([(j, (s[j] * vt[j]).tolist()) for j in range(m)], "component int, row array<double>")
-    codes = rows.groupBy("component").applyInPandas(code, "component int, k int, q int, scale double")
-    left = c.spark.createDataFrame([(i, j, float(u[i, j])) for i in range(k) for j in range(m)], "k int, component int, u double")
+    found = pursuit.pursue(targets, atoms, p["omp_tol"], p["omp_sparsity_limit"])
+    top = 2 ** (p["omp_quant_bits"] - 1) - 1
+    peak = F.max(F.abs("weight")).over(Window.partitionBy("component"))  # at most omp_sparsity_limit rows
+    scale = F.when(F.col("peak") > 0, F.col("peak") / top).otherwise(1.0)
+    codes = found.withColumn("peak", peak).withColumn("scale", scale).select("component", "k", F.rint(F.col("weight") / F.col("scale")).cast("int").alias("q"), "scale")
     return Result(df, {c.path("hrbf_codes"): Dataset(codes, "hrbf_codes", "int8"), c.path("left"): Dataset(left, "left_vectors"), c.path("centres"): Dataset(centres, "hrbf_centres")}, {"svd_rank": m})
 
 

@@ -83,8 +83,8 @@ class Plan:
         return spark.createDataFrame(rows, CATALOG)
 
 
-def plan(frame: ArrayFrame, steps: Sequence = ()) -> Plan:
-    """Runs the steps forward. Frames stay lazy; a step that fits something runs its own small jobs."""
+def plan(frame: ArrayFrame, steps: Sequence = (), statistics: DataFrame | None = None) -> Plan:
+    """Runs the steps forward. Frames stay lazy; a step that fits something runs its own small jobs. statistics of the frame's values spare the first step its own."""
     steps = as_steps(steps)
     if steps and frame.rank < (need := min_rank(steps[0].type, frame.mask is not None)):
         raise InvalidInput(f"{steps[0].type} needs {need} dimensions, not {frame.rank}", "plan")
@@ -104,7 +104,7 @@ def plan(frame: ArrayFrame, steps: Sequence = ()) -> Plan:
     for index, s in enumerate(steps):
         p = resolve_parameters(s.type, s.parameters, strict=False)
         name = step_name(index, s.type)
-        context = Context(spark, name, index, p, frame, n_time, n_vox, load)
+        context = Context(spark, name, index, p, frame, n_time, n_vox, load, statistics=statistics if index == 0 else None)
         result = run_step("forward", s.type, context, df)
         p = p | result.parameters
         for path, d in result.datasets.items():
@@ -125,11 +125,11 @@ def plan(frame: ArrayFrame, steps: Sequence = ()) -> Plan:
     return out
 
 
-def write_archive(frame: ArrayFrame, path: str | None = None, steps: Sequence = (), *, header: dict | None = None, plugins: dict | None = None, block_table: DataFrame | None = None, checksum: str = "none", overwrite: bool = False, progress=None, options: dict | None = None) -> str:
+def write_archive(frame: ArrayFrame, path: str | None = None, steps: Sequence = (), *, header: dict | None = None, plugins: dict | None = None, block_table: DataFrame | None = None, checksum: str = "none", overwrite: bool = False, progress=None, options: dict | None = None, statistics: DataFrame | None = None) -> str:
     """Writes an archive and returns its path. Without a path it goes to the shared folder
     until the driver ends.
 
-    options go to the Parquet writer (compression, maxRecordsPerFile).
+    options go to the Parquet writer (compression, maxRecordsPerFile). With statistics, which micro-batches left, the catalog's mode is stream.
     """
     spark = frame.df.sparkSession
     path = path or files.work_path(spark, "archive")
@@ -140,7 +140,7 @@ def write_archive(frame: ArrayFrame, path: str | None = None, steps: Sequence =
     for name in plugins or {}:
         if "/" in name or not name:
             raise ValidationError(f"plugin name {name!r} has a slash or is empty", "write_archive:plugins")
-    p = plan(frame, steps)
+    p = plan(frame, steps, statistics)
     if frame.mask is not None:
         p.datasets["masks/voxels"] = (Dataset(frame.mask.select("vox"), "mask", "int32"), "core", -1)
     if block_table is not None:
@@ -153,7 +153,7 @@ def write_archive(frame: ArrayFrame, path: str | None = None, steps: Sequence =
             writer.parquet(f"{temporary}/{dataset_folder(name)}")
             if progress:
                 progress(k + 1, len(p.datasets), name)
-        p.catalog(spark).coalesce(1).write.parquet(f"{temporary}/catalog")
+        p.catalog(spark, "eager" if statistics is None else "stream").coalesce(1).write.parquet(f"{temporary}/catalog")
         for index, d in enumerate(p.descriptors):
             files.write_text(spark, f"{temporary}/transforms/{step_name(index, d['type'])}.json", json.dumps(d, indent=1))
         for name, text in p.reports.items():

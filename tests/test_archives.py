@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arrayloom import errors, model, options
+from arrayloom.operators import haar
 from arrayloom.plans import pipeline, registry
 from arrayloom.plans.steps import Result
 from arrayloom.sources import archive, files, layout
@@ -318,3 +319,50 @@ def test_kernels_can_be_switched_off():
     assert perf.gradient_form((2, 2, 2)) == "windows"
     perf.use_kernels(True)
     assert perf.time_kernel(16, 1) > 0
+
+
+def test_packages_bring_steps(tmp_path, monkeypatch):
+    """Installed packages are found by their entry points; one that fails or takes a type that is there is warned of."""
+    (tmp_path / "toysteps.py").write_text(
+        "from arrayloom.plans.registry import register_transform\n"
+        "same = lambda c, df: df\n"
+        "def good():\n    register_transform('toy.same', same, same, parameters={})\n"
+        "def clash():\n    register_transform('quant', same, same, parameters=None, force=True)\n    register_transform('toy.other', same, same, parameters={})\n"
+        "def bad():\n    register_transform('toy.half', same, same, parameters={})\n    raise ImportError('no such thing')\n"
+    )
+    info = tmp_path / "toysteps-1.0.dist-info"
+    info.mkdir()
+    (info / "METADATA").write_text("Metadata-Version: 2.1\nName: toysteps\nVersion: 1.0\n")
+    (info / "entry_points.txt").write_text("[arrayloom.steps]\na = toysteps:good\nb = toysteps:clash\nc = toysteps:bad\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    quant = registry.get_transform("quant")
+    with pytest.warns(UserWarning) as told:
+        assert registry.is_registered("toy.same") is False
+        assert registry.get_transform("toy.same").forward is not None
+    text = " ".join(str(w.message) for w in told)
+    assert "registered already: quant" in text and "no such thing" in text
+    assert registry.get_transform("quant") is quant and registry.is_registered("toy.other") and not registry.is_registered("toy.half")
+    assert registry.load_packages() == {}
+    for t in ("toy.same", "toy.other"):
+        registry.remove_transform(t)
+
+
+def test_regions_of_pyramids_skip_most_of_the_files(spark, tmp_path):
+    """A small region of a Haar archive gives its values from a small share of the stored rows."""
+    dims = (32, 32, 32)
+    x = np.random.default_rng(21).normal(size=(*dims, 2))
+    frame = model.from_numpy(spark, x)
+    path = pipeline.Pipeline(frame).add_step("spat.haar_octwave", {"levels": 3}).write(str(tmp_path / "p"), options={"parquet.block.size": 4096, "parquet.page.size": 1024, "parquet.block.size.row.check.min": 10, "maxRecordsPerFile": 2000})
+    roi = [0, 1, 32, 33]
+    got = archive.read_archive(spark, path, roi=roi)
+    assert {(r.t, r.vox): pytest.approx(r.value) for r in got.collect()} == {(t, v): x[v % 32, v // 32 % 32, v // 1024, t] for t in (0, 1) for v in roi}
+
+    stored = archive.stored_values(spark, path)
+    part = stored.where("vox BETWEEN 64 AND 80")
+    assert part.count() and "PushedFilters: [IsNotNull(vox), GreaterThanOrEqual(vox,64), LessThanOrEqual(vox,80)]" in part._jdf.queryExecution().executedPlan().toString()
+    files = {r.f for r in stored.withColumn("f", F.input_file_name()).select("f").distinct().collect()}
+    # the files that hold any of a region's coefficients are few, as places are in Z-order
+    places = archive.load_dataset(spark, path, "00_spat.haar_octwave/places")
+    some = places.join(haar.needed_coefficients(spark.createDataFrame([(v,) for v in roi], "vox int"), frame.voxels().select("vox"), dims, 3), ["level", "code"], "left_semi")
+    hit = {r.f for r in stored.withColumn("f", F.input_file_name()).join(some.select("vox"), "vox", "left_semi").select("f").distinct().collect()}
+    assert len(files) > 20 and len(hit) * 4 <= len(files)
