@@ -29,7 +29,7 @@ from .shingles import mix
 ship(__name__)
 
 #: Bytes of text whose words are in a task's memory at a time.
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 5_000_000
 #: Buckets of a range: their numbers within it fit 16 bits.
 RANGE = 1 << 16
 #: Bytes that end a piece of text become a word of their own, which no text can hold otherwise.
@@ -235,6 +235,12 @@ def _looked_up(rows: DataFrame, counts: DataFrame, phrase: str, name: str) -> Da
 _EXACT = "decimal(14,0)"
 
 
+def score() -> Column:
+    """floor(10^6 a^2 / (l r)) of the columns a, l and r, exactly."""
+    a, l, r = (f"CAST({c} AS {_EXACT})" for c in "alr")
+    return F.expr(f"(CAST(1000000 AS DECIMAL(7,0)) * ({a} * {a})) DIV ({l} * {r})")
+
+
 def collocations(docs: DataFrame, longest: int = 3, least: int = 10, top: int = 2000, inside_percent: int = 50, bits: int = 26) -> DataFrame:
     """The first top phrases of 2 to longest words of each language: lang, rank, phrase, a, l, r, n, score.
 
@@ -248,9 +254,7 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, top: int =
     cut = F.explode(F.sequence(F.lit(1), F.col("k") - 1))
     cuts = words.withColumn("cut", cut).select("lang", "phrase", "k", "a", "cut", _part(F.col("w"), 1, F.col("cut")).alias("first"), _part(F.col("w"), F.col("cut") + 1, F.col("k")).alias("rest"))
     cuts = _looked_up(_looked_up(cuts, counts, "first", "l"), counts, "rest", "r")
-    exact = {c: f"CAST({c} AS {_EXACT})" for c in "alr"}
-    score = F.expr(f"(CAST(1000000 AS DECIMAL(7,0)) * ({exact['a']} * {exact['a']})) DIV ({exact['l']} * {exact['r']})")
-    least_cut = F.min(F.struct(score.alias("score"), "cut", "l", "r")).alias("m")
+    least_cut = F.min(F.struct(score().alias("score"), "cut", "l", "r")).alias("m")
     scored = cuts.groupBy("lang", "phrase", "k", "a").agg(least_cut).select("lang", "phrase", "k", "a", "m.score", "m.l", "m.r")
     # every shorter phrase that a candidate holds, with the largest count of a longer candidate around it
     size, start = F.explode(F.sequence(F.lit(2), F.col("k") - 1)), F.explode(F.sequence(F.lit(1), F.col("k") - F.col("size") + 1))

@@ -1,6 +1,7 @@
 """The queries that have SQL, against it, over the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from arrayloom.llm import registry
@@ -16,6 +17,10 @@ def test_query_and_sql(spark, name):
     got = registry.QUERIES[name](spark, SF).toPandas()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
+    if "doc_id" not in columns:
+        a, b = (sorted(tuple(None if pd.isna(v) else v for v in row) for row in x[columns].astype(object).itertuples(index=False)) if len(x) else [] for x in (got.fillna(-1), want.fillna(-1)))
+        assert a == b
+        return
     a, b = (x.sort_values("doc_id")[columns].reset_index(drop=True).astype(str) for x in (got, want))
     assert (a == b).all().all()
 
