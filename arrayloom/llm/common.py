@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -109,6 +111,14 @@ def worker_cache(name: str, make):
     return kept[name]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system at the end of a task: workers wait for the next one, beside the JVM that has to share with them."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def tokenizer_path(name: str) -> str:
     """Where a vocabulary file of the installed collection is, on this machine."""
     import public_tokenizers

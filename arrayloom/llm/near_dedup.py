@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_table, documents, ship, skew_join
+from .common import as_table, documents, give_back, ship, skew_join
 from .components import connected_components
 from .shingles import WordHashes, coefficients, shingle_set, signature
 
@@ -51,6 +51,8 @@ def _sign(width: int):
                 key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sig.append(signature(s, a, b).tobytes() if len(s) else None)
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n", "set_hash", "sig"])
+        hashes.clear()
+        give_back()
 
     return run
 
@@ -165,6 +167,8 @@ def _linked(shingles: int, percent: int):
             return _forest(_similar([shingle_set(t, shingles, hashes) for t in table.column(4).to_pylist()], percent), doc)
 
         yield from _edges(one(t) for _, t in _groups(batches, 3))
+        hashes.clear()
+        give_back()
 
     return run
 

@@ -9,7 +9,7 @@ from .common import ship
 
 ship(__name__)
 
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 100_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
