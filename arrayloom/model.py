@@ -171,8 +171,8 @@ def to_numpy(frame: DataFrame, dims, n_time: int, run_id: str | None = None) ->
     """A small array back on the driver: dims + (n_time,); absent cells are NaN."""
     df = frame.where(F.col("run_id") == run_id) if run_id else frame
     out = np.full((int(np.prod(dims)), n_time), np.nan)
-    for r in df.select("vox", "t", "value").collect():
-        out[r.vox, r.t] = r.value
+    cells = df.select("vox", "t", "value").toArrow()
+    out[cells["vox"].to_numpy(), cells["t"].to_numpy()] = cells["value"].to_numpy()
     return out.reshape((*dims, n_time), order="F")
 
 

@@ -77,15 +77,15 @@ def omp_two_atoms(spark, sf_dir):
     return rounded(pursuit.pursue(target, _atoms(spark, sf_dir), 1e-9, 2).select("k", "place", "weight"), "weight", digits=4)
 
 
-@query("SELECT k::INT AS k, true AS within FROM range(3) r(k)")
+@query("SELECT k::INT AS k, true AS within FROM range(2) r(k)")
 def compressed_basis_decodes(spark, sf_dir):
-    """Components of data that a radial dictionary holds, coded on it with 12 bits: what is decoded differs by 5 percent of it at most."""
-    frame, dictionary = _frame(spark, sf_dir), {"sigma0": 2.0, "levels": 0}
+    """Two components of data that a radial dictionary holds, coded on it with 12 bits: what is decoded differs by 1 percent of it at most."""
+    frame, dictionary = _frame(spark, sf_dir), {"sigma0": 1.0, "levels": 0}
     coef, atoms = forms.space_embed(frame, **dictionary)
     smooth = ArrayFrame(spatial.reconstruct_atoms(coef, atoms), frame.dims, frame.n_time, rank=4)
-    step = {"basis_path": "00_basis/matrix", "svd_rank": 3, "omp_quant_bits": 12, "omp_tol": 1e-4} | dictionary
-    path = Pipeline(smooth).pca(k=3).add_step("basis.empirical_hrbf_compressed", step).write(_work(spark))
+    step = {"basis_path": "00_basis/matrix", "svd_rank": 2, "omp_quant_bits": 12, "omp_tol": 1e-4} | dictionary
+    path = Pipeline(smooth).pca(k=2).add_step("basis.empirical_hrbf_compressed", step).write(_work(spark))
     coded, real = archive.load_basis(spark, path, "01_basis.empirical_hrbf_compressed").withColumnRenamed("w", "c"), archive.load_basis(spark, path, "00_basis")
     both = real.join(coded, ["k", "vox"], "full").select("k", F.coalesce("w", F.lit(0.0)).alias("w"), F.coalesce("c", F.lit(0.0)).alias("c"))
-    left = F.sum((F.col("w") - F.col("c")) ** 2) <= 0.0025 * F.sum(F.col("w") ** 2)
+    left = F.sum((F.col("w") - F.col("c")) ** 2) <= 1e-4 * F.sum(F.col("w") ** 2)
     return both.groupBy("k").agg(left.alias("within"))
