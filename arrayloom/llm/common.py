@@ -34,6 +34,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares; a temporary one only in local mode, where none is named (tests)."""
     sc = spark.sparkContext

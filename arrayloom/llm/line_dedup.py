@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, let, skew_join, staged
+from .common import WORD, documents, let, skew_join, staged, unused
 
 
 def _ranked(distinct: DataFrame, column: str) -> DataFrame:
@@ -152,10 +152,11 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     names = docs.columns
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     gone = later_copies(docs)
-    rows = docs.withColumn("_key", F.xxhash64(text))
+    key, cut = unused(docs, "text_key"), unused(docs, "is_cut")
+    rows = docs.withColumn(key, F.xxhash64(text))
     a, b = rows.alias("a"), gone.alias("b")
-    out = a.join(b, F.col("a.doc_id").cast("long").eqNullSafe(F.col("b.doc_id")) & (F.col("a._key") == F.col("b.key")), "left")
+    out = a.join(b, F.col("a.doc_id").cast("long").eqNullSafe(F.col("b.doc_id")) & (F.col(f"a.{key}") == F.col("b.key")), "left")
     new = F.when(F.col("b.removed").isNotNull(), without_lines(F.col("a.text").cast("string"), F.col("b.removed"))).otherwise(F.col("a.text"))
-    out = out.select(*[F.col(f"a.`{c}`") for c in names if c != "text"], new.alias("text"), F.col("b.removed").isNotNull().alias("_cut"))
-    out = out.where(~F.col("_cut") | (F.col("text") != ""))
-    return out.select(*[F.when(F.col("_cut"), F.char_length("text").cast("long")).otherwise(F.col("n_chars")).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in names])
+    out = out.select(*[F.col(f"a.`{c}`") for c in names if c != "text"], new.alias("text"), F.col("b.removed").isNotNull().alias(cut))
+    out = out.where(~F.col(cut) | (F.col("text") != ""))
+    return out.select(*[F.when(F.col(cut), F.char_length("text").cast("long")).otherwise(F.col("n_chars")).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in names])

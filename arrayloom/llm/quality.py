@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, documents, let
+from .common import SPACE, WORD, documents, let, unused
 
 #: Fixed phrases of footers, notices and banners, by language. A line with one of them, once lower-cased, is
 #: boilerplate if it is short.
@@ -131,8 +131,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     names = docs.columns
     rows = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = rows.select("*", F.explode(F.filter(F.array(assessed(F.col("text"))), lambda q: q["kept"])).alias("_q"))
-    new = {"text": F.col("_q.cleaned"), "n_chars": F.char_length("_q.cleaned").cast("long")}
+    verdict = unused(docs, "verdict_")
+    rows = rows.select("*", F.explode(F.filter(F.array(assessed(F.col("text"))), lambda q: q["kept"])).alias(verdict))
+    new = {"text": F.col(f"{verdict}.cleaned"), "n_chars": F.char_length(F.col(f"{verdict}.cleaned")).cast("long")}
     return rows.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in names])
 
 

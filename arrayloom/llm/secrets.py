@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, let
+from .common import documents, let, unused
 from .spans import SPAN, blanked, of_kind, pattern_spans, redacted, written
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -116,11 +116,13 @@ def secrets(docs: DataFrame) -> DataFrame:
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; its secrets are replaced by their kind in brackets."""
+    """Every document stays; its secrets are replaced by their kind in brackets. Null text becomes empty; repeated rows
+    are redacted each; other columns stay, whatever their names; an empty table gives no rows."""
     names = docs.columns
     rows = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = rows.withColumn("_s", secret_spans(F.col("text"))["spans"]).withColumn("_t", redacted(F.col("text"), F.col("_s")))
-    new = {"text": F.col("_t"), "n_chars": F.char_length("_t").cast("long")}
+    spans, new_text = unused(docs, "found_spans"), unused(docs, "new_text")
+    rows = rows.withColumn(spans, secret_spans(F.col("text"))["spans"]).withColumn(new_text, redacted(F.col("text"), F.col(spans)))
+    new = {"text": F.col(new_text), "n_chars": F.char_length(new_text).cast("long")}
     return rows.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in names])
 
 

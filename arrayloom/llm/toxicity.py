@@ -282,10 +282,6 @@ def _arrays(v: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(v.keys(), np.int32, len(v)), np.fromiter(v.values(), np.float64, len(v))
 
 
-#: Its former name, from when blocks of examples were left out by bounds.
-BlockMaxIndex = ExampleIndex
-
-
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 16_384, max_terms: int = 4_096) -> ExampleIndex:
     """An index of at most max_examples labelled rows; document frequencies come from all of docs.
 
@@ -385,7 +381,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 16_384, max_term
     return index
 
 
-def score(docs: DataFrame, index: BlockMaxIndex, threshold: float = 0.7) -> DataFrame:
+def score(docs: DataFrame, index: ExampleIndex, threshold: float = 0.7) -> DataFrame:
     """One row per document: doc_id, score, predicted, evidence (neighbours' doc_id, cosine, toxic).
 
     Texts without a word of the examples, null and empty ones among them, get the rate of toxic

@@ -220,13 +220,13 @@ def test_only_copies_of_one_label_are_dropped(make, spark):
 
 
 def test_neighbours_are_exact():
-    """Block-max search against all cosines."""
+    """The index against all cosines."""
     rng = np.random.default_rng(3)
     terms = [b"t%d" % k for k in range(40)]
-    probe = toxicity.BlockMaxIndex(terms, np.linspace(1, 3, 40), [], [], [])
+    probe = toxicity.ExampleIndex(terms, np.linspace(1, 3, 40), [], [], [])
     bags = [{terms[t]: int(rng.integers(1, 4)) for t in rng.choice(40, rng.integers(1, 8), replace=False)} for _ in range(500)]
     vectors = [probe.vector(b) for b in bags]
-    index = toxicity.BlockMaxIndex(terms, probe.idf, vectors, [0] * 500, list(range(500)))
+    index = toxicity.ExampleIndex(terms, probe.idf, vectors, [0] * 500, list(range(500)))
     for bag in bags[:60]:
         v = index.vector(bag)
         every = sorted(((sum(w * x.get(t, 0.0) for t, w in v.items()), -k) for k, x in enumerate(vectors)), reverse=True)

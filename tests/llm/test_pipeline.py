@@ -6,7 +6,7 @@ def test_registered():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in names}
+    assert "pipeline" in names and {f"op{n}" for n in range(1, 14)} <= {k.split("_")[0] for k in names}
     assert set(entry.oracle_sql()) <= set(names)
 
 
@@ -36,3 +36,19 @@ def test_run(spark):
 def test_run_without_rows(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_named_like_the_stages_own(make, spark):
+    """Columns come back as they went in, whatever they are called."""
+    names = ["_s", "_t", "_q", "_key", "_cut", "text_key", "is_cut", "verdict_", "found_spans", "new_text", "Text_Key", "removed", "b", "a"]
+    text = "\n".join(f"This is sentence {k} of a text that no rule of any stage should reject at all." for k in range(9))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = make([(1, text), (2, "password = abcdefghijklmnop1234\n" + text.replace("sentence", "line"))])
+        for c in names:
+            if c.lower() not in {x.lower() for x in docs.columns}:
+                docs = docs.withColumn(c, F.lit(f"own {c}"))
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns, name
+        assert got.count() == 2, name
+        for r in got.collect():
+            assert all(r[c] == f"own {c}" for c in docs.columns if c.startswith("_") or c in ("is_cut", "verdict_", "new_text")), name
