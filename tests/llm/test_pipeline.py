@@ -1,5 +1,6 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
+from tests_llm_tools import prose
 
 
 def test_registered():
@@ -41,9 +42,9 @@ def test_run_without_rows(spark, tmp_path):
 def test_columns_named_like_the_stages_own(make, spark):
     """Columns come back as they went in, whatever they are called."""
     names = ["_s", "_t", "_q", "_key", "_cut", "text_key", "is_cut", "verdict_", "found_spans", "new_text", "Text_Key", "removed", "b", "a"]
-    text = "\n".join(f"This is sentence {k} of a text that no rule of any stage should reject at all." for k in range(9))
+    text, other = ("\n".join(f"{prose(seed + k, 14, 5000).capitalize()}." for k in range(9)) for seed in (300, 400))
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = make([(1, text), (2, "password = abcdefghijklmnop1234\n" + text.replace("sentence", "line"))])
+        docs = make([(1, text), (2, other)])
         for c in names:
             if c.lower() not in {x.lower() for x in docs.columns}:
                 docs = docs.withColumn(c, F.lit(f"own {c}"))
