@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_table, documents, drop_folder, in_blocks, ship, skew_join
+from .common import as_table, documents, drop_folder, give_back, in_blocks, ship, skew_join
 from .shingles import mix
 
 ship(__name__)
@@ -148,6 +148,8 @@ def _count(docs: DataFrame, k: int, longest: int, least: int, bits: int, frequen
         if later:
             for r, data in later.ranges():
                 yield pa.record_batch([pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([r], pa.int32()), pa.array([data], pa.binary())], names=["lang", "phrase", "n", "range", "counts"])
+        del later
+        give_back()
 
     return docs.select("lang", "text").mapInArrow(run, _COUNTED)
 
