@@ -46,11 +46,11 @@ def medians(df: DataFrame, keys: list[str], value="value", name: str = "median",
     value = F.col(value) if isinstance(value, str) else value
     rows = df.select(*keys, value.cast("double").alias("v")).where("v IS NOT NULL")
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("inside"), F.min("v").alias("low"), F.max("v").alias("high"))
-    large, _ = as_table(sizes.where(F.col("inside") > held))
-    groups = large.count()
     plain = lambda x: x.groupBy(*keys).agg(F.median("v").alias(name))
-    if not groups:
+    if sizes.where(F.col("inside") > held).isEmpty():
         return plain(rows)
+    large, _ = as_table(sizes.where(F.col("inside") > held))
+    groups = large.count()
     few = plain(rows.join(small(large.select(*keys), groups * len(keys)), keys, "left_anti"))
     ranks = F.array_distinct(F.array(F.floor((F.col("inside") - 1) / 2), F.floor(F.col("inside") / 2)))
     live = large.select(*keys, F.posexplode(ranks).alias("which", "rank"), "low", "high", "inside")

@@ -66,7 +66,8 @@ def energy_threshold(coef: DataFrame, keep: float = 0.99) -> DataFrame:
 def _deviation(x: DataFrame) -> DataFrame:
     """(run_id, mad): the median absolute deviation from the run's median; a run may have any number of values."""
     mid = medians(x, ["run_id"], name="mid")
-    return medians(x.join(small(mid, 2 * mid.count()), "run_id"), ["run_id"], F.abs(F.col("value") - F.col("mid")), "mad")
+    # run ids are run-NN: at most 100 rows
+    return medians(x.join(small(mid, 200), "run_id"), ["run_id"], F.abs(F.col("value") - F.col("mid")), "mad")
 
 
 def noise_by_run(coef: DataFrame, finest: DataFrame | None = None) -> DataFrame:
