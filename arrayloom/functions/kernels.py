@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 
+from .shipping import ship
+
+ship(__name__)
+
 
 def sobel_magnitude(v: np.ndarray) -> np.ndarray:
     """Gradient magnitude of the 3-D Sobel filters; 0 on the border and where a neighbour is absent (NaN)."""

@@ -171,6 +171,8 @@ def sobel_by_windows(df: DataFrame, dims) -> DataFrame:
 
 def edge_map(gradient: DataFrame, voxels: DataFrame | None = None, k: float = 3.0) -> DataFrame:
     """(run_id, t, vox, edge): gradients above k times their median over the voxels of the mask."""
+    # read again in every round of the medians
+    gradient, _ = as_table(gradient)
     inside = gradient if voxels is None else gradient.join(voxels.select("vox"), "vox", "left_semi")
     mid = medians(inside, ["run_id", "t"], F.abs("value"), "mid")
     return gradient.join(mid, ["run_id", "t"]).select("run_id", "t", "vox", (F.col("value") > k * F.col("mid")).alias("edge"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import bases
 from ..functions.scalar import dct_value
 from ..operators import haar, linalg, spatial, subset, temporal
-from .tables import DIMS, EMBEDDINGS, EVENTS, N_DAYS, VOLUME, embeddings, event_series, mask, query, rounded, volume
+from .tables import DIMS, EMBEDDINGS, EVENTS, N_DAYS, VOLUME, embeddings, event_series, mask, query, rounded, space, volume
 
 K = 6
 _PI = "pi()"
@@ -180,8 +180,8 @@ a2 AS (SELECT code >> 3 AS code, avg(value) * sqrt(count(*)) AS value FROM a1 GR
 det AS (SELECT 1 AS level, code, (value - mean) * sqrt(n / 8.0) AS value FROM b1 UNION ALL SELECT 2, code, (value - mean) * sqrt(n / 8.0) FROM b2), root AS (SELECT code >> 3 AS code, avg(value) * sqrt(count(*)) AS value FROM a2 GROUP BY 1)"""
 
 
-def _lifted(spark, sf_dir):
-    return haar.analyse(volume(spark, sf_dir), mask(spark, sf_dir), DIMS, 2)
+def _lifted(spark, sf_dir, dims=DIMS):
+    return haar.analyse(volume(spark, sf_dir), mask(spark, sf_dir), dims, 2)
 
 
 @query(f"WITH {_LIFT} SELECT level::INT AS level, code::BIGINT AS code, round(value, 5) + 0.0 AS value FROM det UNION ALL SELECT 0, code, round(value, 5) + 0.0 FROM root")
@@ -192,8 +192,9 @@ def haar_forward(spark, sf_dir):
 
 @query(f"WITH {VOLUME} SELECT vox, round(value, 5) AS value FROM v WHERE p_size > 10")
 def haar_inverse(spark, sf_dir):
-    root, detail = _lifted(spark, sf_dir)
-    return rounded(haar.synthesise(root, detail, mask(spark, sf_dir), DIMS, 2).select("vox", "value"), "value", digits=5)
+    dims = space(spark, sf_dir)
+    root, detail = _lifted(spark, sf_dir, dims)
+    return rounded(haar.synthesise(root, detail, mask(spark, sf_dir), dims, 2).select("vox", "value"), "value", digits=5)
 
 
 @query(f"WITH {_LIFT}, sd AS (SELECT 0.1 * stddev_samp(value) AS cut FROM (SELECT value FROM root UNION ALL SELECT value FROM det WHERE level = 2)) SELECT level::INT AS level, count(*) AS n, count(*) FILTER (abs(value) < cut OR value = 0) AS zeros FROM det, sd GROUP BY level")
@@ -219,12 +220,12 @@ g AS (SELECT vox, CASE WHEN c = 27 THEN sqrt(gx * gx + gy * gy + gz * gz) ELSE 0
 
 @query(f"WITH {_SOBEL} SELECT vox, round(value, 5) AS value FROM g")
 def sobel_magnitude(spark, sf_dir):
-    return rounded(spatial.sobel(volume(spark, sf_dir), DIMS).select("vox", "value"), "value", digits=5)
+    return rounded(spatial.sobel(volume(spark, sf_dir), space(spark, sf_dir)).select("vox", "value"), "value", digits=5)
 
 
 @query(f"WITH {_SOBEL}, t AS (SELECT 1.2 * median(abs(g.value)) AS cut FROM g JOIN v USING (vox) WHERE p_size > 10) SELECT vox, g.value > cut AS edge FROM g, t")
 def edge_map(spark, sf_dir):
-    g = spatial.sobel(volume(spark, sf_dir), DIMS)
+    g = spatial.sobel(volume(spark, sf_dir), space(spark, sf_dir))
     return spatial.edge_map(g, mask(spark, sf_dir), 1.2).select("vox", "edge")
 
 
@@ -234,7 +235,7 @@ r(vox, root) AS (SELECT vox, vox FROM u UNION SELECT e.b, r.root FROM r JOIN e O
 SELECT vox, (dense_rank() OVER (ORDER BY root))::INT AS label FROM f"""
 )
 def connected_components_6n(spark, sf_dir):
-    return spatial.label_components(mask(spark, sf_dir, 35), DIMS)
+    return spatial.label_components(mask(spark, sf_dir, 35), space(spark, sf_dir))
 
 
 _CENTRES = [(k, 0, 5.0 * (k % 3), 4.0 * (k % 4), 1.5 * k, 2.0 if k % 2 else 3.5) for k in range(6)]

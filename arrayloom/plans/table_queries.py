@@ -17,7 +17,7 @@ from .checked_queries import _DENSE, _RUNS, _agreement, _dense_series
 from .kernel_queries import _SOBEL
 from .pipeline import Pipeline
 from .steps import Result
-from .tables import DIMS, EMBEDDINGS, EVENTS, N_DAYS, ORACLES, embeddings, event_series, mask, query, rounded, table, volume
+from .tables import EMBEDDINGS, EVENTS, N_DAYS, ORACLES, embeddings, event_series, mask, query, rounded, space, table, volume
 
 # ---- temporal bases --------------------------------------------------------------------------------
 
@@ -138,7 +138,7 @@ def promoted_series(spark, sf_dir):
 @query(f"WITH {_SOBEL} SELECT vox, round(value, 5) AS value FROM g")
 def sobel_by_windows(spark, sf_dir):
     """The gradient's form for volumes that no task can hold."""
-    return rounded(spatial.sobel_by_windows(volume(spark, sf_dir), DIMS).select("vox", "value"), "value", digits=5)
+    return rounded(spatial.sobel_by_windows(volume(spark, sf_dir), space(spark, sf_dir)).select("vox", "value"), "value", digits=5)
 
 
 @query(ORACLES["connected_components_6n"])
@@ -147,7 +147,7 @@ def connected_components_by_rounds(spark, sf_dir):
     held = option("kernel.max_series")
     set_options({"kernel.max_series": 0})
     try:
-        return spatial.label_components(mask(spark, sf_dir, 35), DIMS)
+        return spatial.label_components(mask(spark, sf_dir, 35), space(spark, sf_dir))
     finally:
         set_options({"kernel.max_series": held})
 
