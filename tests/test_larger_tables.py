@@ -37,3 +37,10 @@ def test_space_holds_all_parts(spark, deep):
 @pytest.mark.parametrize("name", ["edge_map", "sobel_magnitude", "sobel_by_windows", "haar_inverse", "roi_detail_indices", "haar_forward", "connected_components_by_rounds"])
 def test_parts_beyond_the_least_space(spark, deep, name):
     same_rows(spark, deep, name)
+
+
+@pytest.mark.parametrize("name", ["modwt_bayes_shrink", "modwt_roundtrip"])
+def test_coefficients_are_not_broadcast(spark, name):
+    """What tasks make of few packed rows has no size that the optimiser knows."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "vox" in line]
