@@ -6,6 +6,8 @@ table of blocks of its rows, keyed by vb or by (run_id, tb). data holds doubles,
 Columns are made orthonormal without a Gram matrix: tasks reduce their blocks to one triangle each, triangles are
 stacked and reduced in a tree, and the columns are multiplied by the inverse of the last one (twice, which is as good as
 Householder reflections on all rows). Only matrices of l x l numbers come to the driver.
+
+Few rows (FEW_ROWS) need no range finder: the transposed matrix is a tall one of as many columns, and its triangle has all singular values.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ HELD_BYTES = 64_000_000
 #: Triangles that one task stacks.
 FAN = 16
 OVERSAMPLE = 10
+#: Up to so many rows, all of a voxel are in one block.
+FEW_ROWS = 256
 #: A Krylov space has up to so many times the columns it starts with.
 SPACE = 12
 
@@ -238,9 +242,39 @@ def cells_of(blocks: DataFrame, n_vox: int) -> DataFrame:
     return blocks.select("vb", "data").mapInArrow(run, "k int, vox int, w double")
 
 
+def packed(blocks: DataFrame, n_vox: int, l: int) -> DataFrame:
+    """Blocks keyed by vb as rows (vox, w array), without those that are zero."""
+    width = tile_width(n_vox)
+
+    def run(batches):
+        for b in batches:
+            for vb, data in zip(b.column("vb").to_pylist(), b.column("data"), strict=True):
+                x = np.frombuffer(data.as_buffer()).reshape(-1, l)
+                v = np.flatnonzero(x.any(axis=1))
+                w = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * l), pa.array(x[v].ravel()))
+                yield pa.record_batch([pa.array(v + vb * width, pa.int32()), w], names=["vox", "w"])
+
+    return blocks.select("vb", "data").mapInArrow(run, "vox int, w array<double>")
+
+
 def column_signs(blocks: DataFrame, n_vox: int, l: int) -> np.ndarray:
     """-1 for columns whose largest entry is negative (ties: the first voxel), else 1."""
-    largest = cells_of(blocks, n_vox).groupBy("k").agg(F.max(F.struct(F.abs("w").alias("a"), (-F.col("vox")).alias("v"), "w")).alias("m"))
+    width = tile_width(n_vox)
+
+    def run(batches):
+        vox, w = np.zeros(l, np.int64), np.zeros(l)
+        for b in batches:
+            for vb, data in zip(b.column("vb").to_pylist(), b.column("data"), strict=True):
+                x = np.frombuffer(data.as_buffer()).reshape(-1, l)
+                at = np.abs(x).argmax(axis=0)
+                v, at = x[at, np.arange(l)], at + vb * width
+                better = (np.abs(v) > np.abs(w)) | ((np.abs(v) == np.abs(w)) & (at < vox))
+                vox, w = np.where(better, at, vox), np.where(better, v, w)
+        some = np.flatnonzero(w)
+        yield pa.record_batch([pa.array(some, pa.int32()), pa.array(vox[some], pa.int32()), pa.array(w[some])], names=["k", "vox", "w"])
+
+    found = blocks.select("vb", "data").mapInArrow(run, "k int, vox int, w double")  # l rows a task
+    largest = found.groupBy("k").agg(F.max(F.struct(F.abs("w").alias("a"), (-F.col("vox")).alias("v"), "w")).alias("m"))
     out = np.ones(l)
     for r in largest.select("k", "m.w").collect():  # a row a column
         out[r.k] = -1.0 if r.w < 0 else 1.0
@@ -420,6 +454,68 @@ def prepared(df: DataFrame, n_vox: int, center: bool, scale: bool):
     return a, n, max(blocks, 1), of("mean") if center else None, of("scale") if scale else None, float(total)
 
 
+def _of_few_rows(df: DataFrame, n_vox: int, rows: list[tuple[str, int]], center: bool, scale: bool) -> tuple[DataFrame, DataFrame]:
+    """The transposed matrix, standardised if asked for, as staged blocks keyed by vb of a column a row; and (vox, mean, scale) of the voxels there are, with its share of the sum of squares."""
+    n, width = len(rows), tile_width(n_vox)
+
+    def block(key, table):
+        at = table["at"].to_numpy()
+        x = np.zeros((width, n))
+        x[at, table["row"].to_numpy()] = table["value"].to_numpy()
+        mean = x.mean(axis=1, keepdims=True)
+        m2 = ((x - mean) ** 2).sum(axis=1, keepdims=True)
+        sd = np.sqrt(m2 / max(n - 1, 1)) if scale else np.ones((width, 1))
+        sd[sd == 0] = 1.0
+        squares = (m2 + (0.0 if center else n * mean**2)) / sd**2
+        if center:
+            x -= mean
+        columns = np.hstack([mean, sd, squares])
+        there = np.unique(at)
+        cells = [there.astype("<i4").tobytes(), columns[there].tobytes()]
+        return pa.table([[key[0].as_py()], [(x / sd if scale else x).tobytes()], *([c] for c in cells)], schema=pa.schema([("vb", pa.int32()), *((c, pa.binary()) for c in ("data", "there", "columns"))]))
+
+    def spread(batches):
+        for b in batches:
+            for vb, there, columns in zip(b.column("vb").to_pylist(), b.column("there"), b.column("columns"), strict=True):
+                c = np.frombuffer(columns.as_buffer()).reshape(-1, 3).T
+                vox = np.frombuffer(there.as_buffer(), "<i4") + vb * width
+                yield pa.record_batch([pa.array(vox, pa.int32()), *map(pa.array, c)], names=["vox", "mean", "scale", "squares"])
+
+    place = df.sparkSession.createDataFrame([(r, t, i) for i, (r, t) in enumerate(rows)], "run_id string, t int, row int")
+    cells = df.join(F.broadcast(place), ["run_id", "t"])  # FEW_ROWS rows
+    cells = cells.select(F.floor(F.col("vox") / width).cast("int").alias("vb"), (F.col("vox") % width).cast("int").alias("at"), "row", F.col("value").cast("double").alias("value"))
+    staged, _ = as_table(cells.groupBy("vb").applyInArrow(block, "vb int, data binary, there binary, columns binary"))
+    return staged.select("vb", "data"), staged.select("vb", "there", "columns").mapInArrow(spread, "vox int, mean double, scale double, squares double")
+
+
+def decomposed(df: DataFrame, n_vox: int, k: int, center: bool = False, scale: bool = False, extra: bool = False, vectors: bool = True):
+    """(singular values and vectors, rows, mean, scale, sum of squares) of the rows over t, standardised if asked for; extra as in singular.
+
+    Few rows are decomposed at once by the triangle of the transposed matrix, more by the range finder; without vectors, right is None for few rows. df is
+    read a few times: it should be a table.
+    """
+    some = df.select("run_id", "t").distinct().limit(FEW_ROWS + 1).collect()
+    if not 0 < len(some) <= min(FEW_ROWS, n_vox):
+        a, n, row_blocks, mean, sd, total = prepared(df, n_vox, center, scale)
+        return singular(a, n_vox, n, cut_components(k, n, n_vox), row_blocks, extra=extra), n, mean, sd, total
+    n, nb = len(some), n_blocks(n_vox)
+    k = cut_components(k, n, n_vox)
+    tall, columns = _of_few_rows(df, n_vox, sorted((r.run_id, r.t) for r in some), center, scale)
+    total = columns.agg(F.sum("squares")).first()[0] or 0.0
+    if vectors:
+        m, d = orthonormal(tall, n, nb)
+    else:
+        d = np.linalg.svd(triangle(tall, n, nb), compute_uv=False)
+        d = d[d > d[0] * 1e-13]
+    k = min(k + OVERSAMPLE if extra else k, len(d))
+    right = None
+    if vectors:
+        x = times_small(tall, m[:, :k]) if k else tall.limit(0)
+        right, _ = as_table(times_small(x, np.diag(column_signs(x, n_vox, k))) if k else x)
+    of = lambda name: columns.select("vox", F.col(name).alias("value"))
+    return Singular(right, d[:k], 0), n, of("mean") if center else None, of("scale") if scale else None, float(total)
+
+
 def cut_components(k: int, n: int, n_vox: int) -> int:
     most = max(1, min(n, n_vox))
     if k > most:
@@ -436,6 +532,5 @@ def components(df: DataFrame, n_vox: int, k: int, center: bool = True, scale: bo
     if n_vox <= option("kernel.max_features"):
         d = linalg.decompose(df, n_vox, k, center, scale)
         return Components(cells_table(spark, d.loadings), d.d, _vector(spark, d.mean) if center else None, _vector(spark, d.scale) if scale else None, d.n, d.total)
-    a, n, row_blocks, mean, sd, total = prepared(df, n_vox, center, scale)
-    s = singular(a, n_vox, n, cut_components(k, n, n_vox), row_blocks)
+    s, n, mean, sd, total = decomposed(df, n_vox, k, center, scale)
     return Components(cells_of(s.right, n_vox), s.d, mean, sd, n, total, s.right)

@@ -32,11 +32,12 @@ KEPT_STEPS = 25
 
 @dataclass
 class SparseComponents(blocks.Components):
-    """Components whose loadings are sparse and of unit norm; projector: rows (k, vox, w) of the least-squares coefficients; objective by round."""
+    """Components whose loadings are sparse and of unit norm; projector: rows (k, vox, w) of the least-squares coefficients; objective by round; singular: singular values of the data."""
 
     projector: DataFrame | None = None
     objective: tuple[float, ...] = ()
     zeros: float = 0.0
+    singular: np.ndarray | None = None
 
 
 def _stepped(v: np.ndarray, b: np.ndarray, steps: list, nu: float, shrink: float, cut: float) -> np.ndarray:
@@ -79,14 +80,12 @@ def _written(table: DataFrame, l: int, k: int, steps: list, rates: tuple) -> tup
 def sparse_components(df: DataFrame, n_vox: int, k: int, alpha: float, whiten: bool = False, beta: float = BETA, tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS) -> SparseComponents:
     """k sparse components of the rows over t, of the part of the data that k + OVERSAMPLE singular values hold. Ends when a round lowers the objective by less than tolerance of it."""
     spark = df.sparkSession
-    a, n, row_blocks, mean, sd, total = blocks.prepared(df, n_vox, whiten, whiten)
-    k = blocks.cut_components(k, n, n_vox)
-    s = blocks.singular(a, n_vox, n, k, row_blocks, extra=True)
+    s, n, mean, sd, total = blocks.decomposed(df, n_vox, k, whiten, whiten, extra=True)
     l = len(s.d)
     k = min(k, l)
     if not k:
         empty = spark.createDataFrame([], "k int, vox int, w double")
-        return SparseComponents(empty, np.zeros(0), mean, sd, n, total, None, empty)
+        return SparseComponents(empty, np.zeros(0), mean, sd, n, total, None, empty, singular=s.d)
     d2 = s.d**2
     a1, b1 = alpha * d2[0], beta * d2[0]
     nu = 1.0 / (d2[0] + b1)
@@ -122,7 +121,7 @@ def sparse_components(df: DataFrame, n_vox: int, k: int, alpha: float, whiten: b
     found = np.linalg.norm(s.d[:, None] * t * unit, axis=0)
     basis = blocks.cells_of(loadings, n_vox)
     filled = basis.count()
-    return SparseComponents(basis, found, mean, sd, n, total, loadings, projector, tuple(objective), 1.0 - filled / (n_vox * k))
+    return SparseComponents(basis, found, mean, sd, n, total, loadings, projector, tuple(objective), 1.0 - filled / (n_vox * k), s.d)
 
 
 def _started(right: DataFrame, l: int, k: int) -> tuple[DataFrame, str]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..model import ArrayFrame
 from ..operators import blocks, linalg, pursuit, sparse_pca, spatial
 from ..sources import archive
+from ..sources.files import as_table
 from . import pipeline as forms
 from .archive_queries import _frame, _work
 from .kernel_queries import _GAUSS, _atoms
@@ -24,6 +25,7 @@ def _sales(spark, sf_dir):
     """(frame, number of voxels)"""
     month = ((F.year("l_shipdate") - 1992) * 12 + F.month("l_shipdate") - 1).cast("int")
     rows = table(spark, sf_dir, "lineitem").groupBy(F.lit("run-01").alias("run_id"), month.alias("t"), F.col("l_partkey").cast("int").alias("vox")).agg(F.sum("l_quantity").cast("double").alias("value"))
+    rows, _ = as_table(rows)
     return rows, int(rows.agg(F.max("vox")).first()[0]) + 1
 
 
@@ -31,8 +33,7 @@ def _sales(spark, sf_dir):
 def svd_wide_energy(spark, sf_dir):
     """All singular values of more voxels than time points together hold the data's energy."""
     df, n_vox = _sales(spark, sf_dir)
-    a, n, row_blocks, _, _, _ = blocks.prepared(df, n_vox, False, False)
-    d = blocks.singular(a, n_vox, n, n, row_blocks).d
+    d = blocks.decomposed(df, n_vox, df.select("run_id", "t").distinct().count(), vectors=False)[0].d
     return rounded(spark.createDataFrame([(len(d), float((d**2).sum()), bool((np.diff(d) <= 0).all()))], "components int, energy double, falling boolean"), "energy", digits=2)
 
 
@@ -42,11 +43,12 @@ def pca_wide_projection(spark, sf_dir):
     """What the data's projections on six loadings hold is what their singular values say, and loadings are orthonormal."""
     df, n_vox = _sales(spark, sf_dir)
     c = blocks.components(df, n_vox, 6)
-    means = c.basis.join(c.mean.withColumnRenamed("value", "mu"), "vox").groupBy("k").agg(F.sum(F.col("w") * F.col("mu")).alias("shift"))
-    coef = linalg.unpacked(linalg.project(df, linalg.pack(c.basis, "vox", 6), "vox", 6)).join(F.broadcast(means), "k")
+    w = as_table(blocks.packed(c.blocks, n_vox, c.k))[0] if c.blocks is not None else linalg.pack(c.basis, "vox", c.k)
+    means = w.join(c.mean.withColumnRenamed("value", "mu").hint("merge"), "vox").select("mu", F.posexplode("w").alias("k", "w")).groupBy("k").agg(F.sum(F.col("w") * F.col("mu")).alias("shift"))
+    coef = linalg.unpacked(linalg.project(df, w, "vox", c.k)).join(F.broadcast(means), "k")
     x = F.col("value") - F.col("shift")
     promised = spark.createDataFrame([(k, float(d * d)) for k, d in enumerate(c.d)], "k int, promised double")
-    pair = c.basis.join(c.basis.select(F.col("k").alias("j"), "vox", F.col("w").alias("u")), "vox").groupBy("k", "j").agg(F.sum(F.col("w") * F.col("u")).alias("g"))
+    pair = w.select("w", F.posexplode("w").alias("k", "u")).select("k", "u", F.posexplode("w").alias("j", "w")).groupBy("k", "j").agg(F.sum(F.col("w") * F.col("u")).alias("g"))
     unit = pair.groupBy("k").agg((F.max(F.abs(F.col("g") - F.when(F.col("k") == F.col("j"), 1.0).otherwise(0.0))) < 1e-9).alias("unit"))
     out = coef.groupBy("k").agg(F.sum(x * x).alias("found")).join(promised, "k").join(unit, "k")
     within = F.abs(F.col("found") - F.col("promised")) <= 1e-9 * c.total
@@ -58,12 +60,12 @@ def sparse_pca_wide(spark, sf_dir):
     """Six sparse components: the objective falls every round, loadings have zeros, and the fit holds some of the energy, but no more than six singular vectors do."""
     df, n_vox = _sales(spark, sf_dir)
     c = sparse_pca.sparse_components(df, n_vox, 6, 1e-3, tolerance=1e-3)
-    a, n, row_blocks, _, _, total = blocks.prepared(df, n_vox, False, False)
-    best = float((blocks.singular(a, n_vox, n, 6, row_blocks).d ** 2).sum())
-    # what the fit holds: products with loadings and with their least-squares projector
-    width = [linalg.unpacked(linalg.project(df, linalg.pack(b, "vox", 6), "vox", 6)).withColumnRenamed("value", v) for b, v in ((c.basis, "p"), (c.projector, "q"))]
-    held = width[0].join(width[1], ["run_id", "t", "k"]).agg(F.sum(F.col("p") * F.col("q"))).first()[0]
-    row = (total, bool((np.diff(c.objective) <= 0).all()), c.zeros > 0, 0 < held <= best * (1 + 1e-9))
+    best = float((c.singular[:6] ** 2).sum())
+    # what the fit holds: products with loadings and with their least-squares projector, side by side
+    both, _ = as_table(linalg.pack(c.basis.unionByName(c.projector.withColumn("k", F.col("k") + c.k)), "vox", 2 * c.k))
+    products = linalg.project(df, both, "vox", 2 * c.k)
+    held = products.agg(F.sum(linalg.dot(F.slice("c", 1, c.k), F.slice("c", c.k + 1, c.k)))).first()[0]
+    row = (c.total, bool((np.diff(c.objective) <= 0).all()), c.zeros > 0, 0 < held <= best * (1 + 1e-9))
     return rounded(spark.createDataFrame([row], "total double, falls boolean, sparse boolean, less boolean"), "total", digits=2)
 
 

@@ -254,3 +254,23 @@ def test_hash_of_parts_is_that_of_the_whole(spark):
     voxels = spark.range(0, 512, 3).select(F.col("id").cast("int").alias("vox"))
     order = [r.vox + 1 for r in spatial.morton_codes(voxels, dims).orderBy("morton").collect()]
     assert spatial.morton_hash(voxels, dims) == "sha1:" + hashlib.sha1(np.array(order, "<i4").tobytes()).hexdigest()
+
+
+@pytest.mark.parametrize(("center", "scale"), [(False, False), (True, False), (True, True)])
+def test_few_rows_are_decomposed_at_once(spark, center, scale):
+    x = np.random.default_rng(31).normal(size=(9, 300)) + 1.0
+    x[:, 7] = 0.0
+    s, n, mean, sd, total = blocks.decomposed(frame(spark, x), 300, 4, center, scale)
+    y = x - x.mean(axis=0) if center else x
+    y = y / np.where(x.std(axis=0, ddof=1) > 0, x.std(axis=0, ddof=1), 1) if scale else y
+    u, d, vt = np.linalg.svd(y, full_matrices=False)
+    assert n == 9 and s.rounds == 0 and np.allclose(s.d, d[:4]) and np.isclose(total, (y * y).sum())
+    v = np.zeros((300, 4))
+    for r in blocks.packed(s.right, 300, 4).collect():
+        v[r.vox] = r.w
+    assert np.allclose(v.T @ v, np.eye(4), atol=1e-12) and np.allclose(np.abs(v.T @ vt[:4].T), np.eye(4), atol=1e-9)
+    assert (v[np.abs(v).argmax(axis=0), range(4)] > 0).all()
+    if center:
+        assert np.allclose([r.value for r in mean.orderBy("vox").collect()], x.mean(axis=0)[[r.vox for r in mean.select("vox").orderBy("vox").collect()]])
+    assert (sd is not None) == scale
+    assert np.allclose(blocks.decomposed(frame(spark, x), 300, 9, center, scale, vectors=False)[0].d, d[d > d[0] * 1e-13])
