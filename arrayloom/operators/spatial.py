@@ -19,6 +19,7 @@ from ..options import option
 from ..sources.files import as_table
 from .graph import connected_components
 from .ranks import medians, numbered
+from .subset import small
 
 ship(__name__)
 
@@ -281,20 +282,22 @@ def hrbf_centres(voxels: DataFrame, dims, sigma0: float = 6.0, levels: int = 3,
 def atoms(voxels: DataFrame, dims, centres: DataFrame, kernel_type: str = "gaussian", spacing=(1.0, 1.0, 1.0), origin=(0.0, 0.0, 0.0), fine_kernel: str = "wendland_c4", alt_from: int | None = None, least: float = 1e-8, normalise: bool = True) -> DataFrame:
     """(k, vox, w): kernels around centres, cut at 1e-8 and of unit norm over the mask.
 
-    Space is cut into cells as wide as the widest kernel reaches; a centre meets the voxels of its own and the
-    26 cells around it in an equi-join, so no voxel meets a centre that can't reach it.
+    For each sigma, space is cut into cells as wide as its kernels reach; a centre meets the voxels of its own and the
+    26 cells around it in an equi-join, so no voxel meets a centre that is much too far.
     """
+    centres, _ = as_table(centres)
     reach = {"gaussian": math.sqrt(-2 * math.log(least)), "wendland_c4": 1.0}
-    widest = centres.agg(F.max("sigma")).first()[0]
-    if widest is None:
+    sizes = {r.sigma: r["count"] for r in centres.groupBy("sigma").count().collect()}  # a row a level
+    if not sizes:
         raise InvalidInput("there are no centres", "atoms")
-    cell = float(widest) * max(reach[kernel_type], reach[fine_kernel] if alt_from is not None else 0.0)
-    at = lambda c: F.floor(F.col(c) / cell).cast("int")
-    v = world(voxels.select("vox"), dims, spacing, origin).select("vox", "wx", "wy", "wz", at("wx").alias("gx"), at("wy").alias("gy"), at("wz").alias("gz"))
+    wide = max(reach[kernel_type], reach[fine_kernel] if alt_from is not None else 0.0)
+    at = lambda c: F.floor(F.col(c) / (F.col("sigma") * wide)).cast("int")
+    v = world(voxels.select("vox"), dims, spacing, origin).select("vox", "wx", "wy", "wz", F.explode(F.array(*map(F.lit, sorted(sizes)))).alias("sigma"))
+    v = v.withColumns({"gx": at("wx"), "gy": at("wy"), "gz": at("wz")})
     c = centres
     for g, w in (("gx", "cx"), ("gy", "cy"), ("gz", "cz")):
         c = c.withColumn(g, F.explode(F.sequence(at(w) - 1, at(w) + 1)))
-    both = v.join(c.drop("vox"), ["gx", "gy", "gz"])
+    both = v.join(c.drop("vox"), ["sigma", "gx", "gy", "gz"])
     r = F.sqrt(sum(((F.col(f"w{a}") - F.col(f"c{a}")) * (F.col(f"w{a}") - F.col(f"c{a}")) for a in "xyz"), F.lit(0.0))) / F.col("sigma")
     w = kernel(r, kernel_type)
     if alt_from is not None:
@@ -302,7 +305,7 @@ def atoms(voxels: DataFrame, dims, centres: DataFrame, kernel_type: str = "gauss
     out = both.select("k", "vox", w.alias("w")).where(F.abs("w") > least)
     if normalise:
         norm = out.groupBy("k").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        out = out.join(norm, "k").select("k", "vox", (F.col("w") / F.col("norm")).alias("w"))
+        out = out.join(small(norm, 2 * sum(sizes.values())), "k").select("k", "vox", (F.col("w") / F.col("norm")).alias("w"))
     return out
 
 

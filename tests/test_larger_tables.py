@@ -44,3 +44,17 @@ def test_coefficients_are_not_broadcast(spark, name):
     """What tasks make of few packed rows has no size that the optimiser knows."""
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "vox" in line]
+
+
+def test_fine_centres_meet_near_voxels_only(spark):
+    """Centres of two sizes: atoms are those of each size alone, and cells are as small as the kernel of each."""
+    from arrayloom.operators import spatial
+
+    dims = (16, 16, 200)
+    voxels = spark.range(16 * 16 * 200).selectExpr("cast(id AS int) AS vox")
+    schema = "k int, level int, vox int, cx double, cy double, cz double, sigma double"
+    wide, fine = (0, 0, 0, 8.0, 8.0, 100.0, 4.0), (1, 1, 0, 3.0, 9.0, 31.0, 1.0)
+    both = spatial.atoms(voxels, dims, spark.createDataFrame([wide, fine], schema))
+    alone = [spatial.atoms(voxels, dims, spark.createDataFrame([c], schema)) for c in (wide, fine)]
+    rows = lambda df: {(r.k, r.vox): round(r.w, 12) for r in df.collect()}
+    assert rows(both) == rows(alone[0]) | rows(alone[1])
