@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, ship, staged
+from .common import as_table, documents, give_back, ship, staged
 from .shingles import coefficients, mix, signature
 
 ship(__name__)
@@ -85,39 +86,47 @@ class Bags:
 
 
 class Numbered:
-    """Numbers and counts of those of a text's terms that are among the given ones, as arrays."""
+    """Numbers and counts of those of a text's terms that are among the given ones, as arrays.
+
+    Words are terms of their own, which no other word stands for, and are looked up at once. Only words that
+    begin like one of the given beginnings, or have marks, are looked at one by one.
+    """
 
     def __init__(self, number: dict[bytes, int]):
-        self.number, self.known, self.marks = number, {}, {}
+        self.number, self.marks, self.marked = number, {}, {}
         for t, i in number.items():
-            stem, mark, k = t.partition(b"*")
-            if mark:
+            if b"*" in t:
+                stem, _, k = t.partition(b"*")
                 self.marks.setdefault(stem, []).append((int(k), i))
         # a term that is there for its marks only has a number of its own while counting
-        self.only = {t: len(number) + k for k, t in enumerate(t for t in self.marks if t not in number)}
-        self.marks = {number.get(t, self.only.get(t)): x for t, x in self.marks.items()}
-        self.stems = {t[:-1] for t in [*number, *self.only] if t.endswith(b"-")}
-
-    def _terms(self, word: bytes) -> tuple[int, ...]:
-        places = (self.number.get(t, self.only.get(t)) for t in (terms_of_word(word) if self.stems else (word,)))
-        return tuple(i for i in places if i is not None)
+        only = {t: len(number) + k for k, t in enumerate(t for t in self.marks if t not in number)}
+        place = lambda t: only[t] if t in only else number[t]
+        self.stems = {t[:-1]: place(t) for t in [*number, *only] if t.endswith(b"-")}
+        self.heads = {t[: _STEMS[0]] for t in self.stems}
+        self.marked = {t: place(t) for t in self.marks if not t.endswith(b"-")}
+        self.marks = {place(t): x for t, x in self.marks.items()}
+
+    def _begun(self, word: bytes) -> list[int]:
+        """Numbers of the word's beginnings."""
+        starts = [word[:k] for k in _STEMS if len(word) > k] if word.isascii() else [t[:-1] for t in terms_of_word(word)[1:]]
+        return [self.stems[x] for x in starts if x in self.stems]
 
     def __call__(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        words, heads, first = Counter(words_of(text)), self.heads, _STEMS[0]
+        t = np.fromiter(map(self.number.get, words, repeat(-1)), np.int32, len(words))
+        n = np.fromiter(words.values(), np.int32, len(words))
         out: dict[int, int] = {}
-        known = self.known
-        if len(known) > _KEPT_WORDS:
-            known.clear()
-        for w, n in Counter(words_of(text)).items():
-            terms = known.get(w)
-            if terms is None:
-                terms = known[w] = self._terms(w)
-            for t in terms:
-                out[t] = out.get(t, 0) + n
+        for w in [w for w in words if w[:first] in heads]:
+            for i in self._begun(w):
+                out[i] = out.get(i, 0) + words[w]
         if self.marks:
-            out |= {i: 1 for t in self.marks.keys() & out.keys() for k, i in self.marks[t] if out[t] >= k}
-        t, n = np.fromiter(out.keys(), np.int32, len(out)), np.fromiter(out.values(), np.int32, len(out))
-        if self.only:
-            t, n = t[t < len(self.number)], n[t < len(self.number)]
+            counted = [*out.items(), *((self.marked[w], words[w]) for w in self.marked.keys() & words.keys())]
+            out |= {i: 1 for x, c in counted for k, i in self.marks.get(x, ()) if c >= k}
+        if out:
+            t = np.concatenate((t, np.fromiter(out.keys(), np.int32, len(out))))
+            n = np.concatenate((n, np.fromiter(out.values(), np.int32, len(out))))
+        kept = (t >= 0) & (t < len(self.number))
+        t, n = t[kept], n[kept]
         order = np.argsort(t)
         return t[order], n[order]
 
@@ -210,7 +219,7 @@ class ExampleIndex:
     def __setstate__(self, state):
         self.__dict__.update(state)
         self.number = unpacked_terms(self.__dict__.pop("terms"))
-        self.example, self.weight, self.idf = self.example.astype(np.int32), self.weight.astype(np.float64), self.idf.astype(np.float64)
+        self.example, self.idf = self.example.astype(np.int32), self.idf.astype(np.float64)
         self._lay_out()
 
     def vector(self, bag: dict[bytes, int]) -> dict[int, float]:
@@ -221,8 +230,7 @@ class ExampleIndex:
 
     def unit(self, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Terms, sorted, and their weights from their counts."""
-        w = (1 + np.log(n)) * self.idf[t]
-        return t, w / math.sqrt(w @ w) if len(w) else w
+        return unit(self.idf, t, n)
 
     def cosines(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """With every example, a row a vector."""
@@ -232,8 +240,10 @@ class ExampleIndex:
         out, since, example, weight = q @ self.matrix, self.since, self.example, self.weight
         for x, r, (t, w) in zip(out, rows, vectors, strict=True):
             rest = t[r < 0]
-            for a, b, y in zip(since[rest].tolist(), since[rest + 1].tolist(), w[r < 0].tolist(), strict=True):
-                x[example[a:b]] += y * weight[a:b]
+            if len(rest):
+                lists = [slice(a, b) for a, b in zip(since[rest].tolist(), since[rest + 1].tolist(), strict=True)]
+                parts = np.repeat(w[r < 0], self.held[rest]) * np.concatenate([weight[a] for a in lists])
+                x += np.bincount(np.concatenate([example[a] for a in lists]), parts, self.size)
         return out
 
     def all_nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = _VOTERS, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
@@ -278,12 +288,37 @@ class ExampleIndex:
         return [(float(np.clip(np.interp(self.vote(x), self.raw_at, self.value), 0, 1)) if x else self.silent, x) for x in near]
 
 
+def unit(idf: np.ndarray, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    w = (1 + np.log(n)) * idf[t]
+    return t, w / math.sqrt(w @ w) if len(w) else w
+
+
 def _arrays(v: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(v.keys(), np.int32, len(v)), np.fromiter(v.values(), np.float64, len(v))
 
 
+def bags_of(docs: DataFrame, terms: list[bytes]) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, terms, counts): numbers and counts of each text's terms among the given ones, as bytes."""
+    sent = docs.sparkSession.sparkContext.broadcast(packed_terms(terms))  # bounded by max_examples and their words
+
+    def run(batches):
+        bag = Numbered(unpacked_terms(sent.value))
+        for b in batches:
+            bags = [bag(t.as_py()) for t in b.column(1)]
+            yield pa.record_batch([b.column(0), *(pa.array([x[k].tobytes() for x in bags], pa.binary()) for k in (0, 1))], names=["doc_id", "terms", "counts"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, "doc_id long, terms binary, counts binary")
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 16_384, max_terms: int = 4_096) -> ExampleIndex:
-    """An index of at most max_examples labelled rows; document frequencies come from all of docs.
+    """The index of fit_with_bags."""
+    return fit_with_bags(docs, labels, max_examples, max_terms)[0]
+
+
+def fit_with_bags(docs: DataFrame, labels: DataFrame, max_examples: int = 16_384, max_terms: int = 4_096) -> tuple[ExampleIndex, DataFrame]:
+    """The index, and the bags of all docs under its terms, a table, so that texts are cut into words once to be counted and scored.
+
+    An index of at most max_examples labelled rows; document frequencies come from all of docs.
 
     What reaches the driver is bounded by max_examples and their distinct words.
     """
@@ -324,31 +359,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 16_384, max_term
     chosen = choose_terms(counts, sum(r[1] for r in among), len(among), n_terms, max_terms)
     words = terms_in.where(~F.col("term").cast("string").rlike("[-*]")).select("term").toArrow().column(0).to_pylist()  # the examples' words
     terms = chosen + sorted(set(words).difference(chosen))
-    sent_terms = docs.sparkSession.sparkContext.broadcast(packed_terms(terms))  # bounded by max_examples and their words
+    bags, _ = as_table(bags_of(docs, terms))
+    n_known = len(terms)
 
     def frequencies(batches):
-        bag = Numbered(unpacked_terms(sent_terms.value))
-        df, n = np.zeros(len(bag.number), np.int64), 0
+        df, n = np.zeros(n_known, np.int64), 0
         for b in batches:
             n += b.num_rows
-            found = [bag(t.as_py())[0] for t in b.column(0)]
-            df += np.bincount(np.concatenate([np.empty(0, np.int32), *found]), minlength=len(df))
+            df += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), np.int32), minlength=n_known)
         seen = np.flatnonzero(df)
         yield pa.record_batch([pa.array(np.append(seen, -1), pa.int32()), pa.array(np.append(df[seen], n), pa.int64())], names=["term", "df"])
 
-    counted = texts.select("text").mapInArrow(frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # a row a term
+    counted = bags.select("terms").mapInArrow(frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # a row a term
     df = np.zeros(len(terms) + 1)  # the last is the number of documents
     df[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     idf[: len(chosen)] *= _BOOST
 
-    def bagged(batches):
-        bag = Numbered(unpacked_terms(sent_terms.value))
-        for b in batches:
-            bags = [bag(t.as_py()) for t in b.column(1)]
-            yield pa.record_batch([b.column(0), *(pa.array([x[k].tobytes() for x in bags], pa.binary()) for k in (0, 1))], names=["doc_id", "terms", "counts"])
-
-    rows = sample.where("toxic IS NOT NULL").select("doc_id", "text").mapInArrow(bagged, "doc_id long, terms binary, counts binary").toArrow()
+    rows = bags_of(sample.where("toxic IS NOT NULL").select("doc_id", "text"), terms).toArrow()
     held = {i: k for k, i in enumerate(rows.column(0).to_pylist()) if i in kept}
     among.sort()
 
@@ -356,12 +384,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 16_384, max_term
         return tuple(np.frombuffer(rows.column(c)[held[i]].as_py(), np.int32) for c in (1, 2))
 
     some = [(i, y) for i, y in among if len(counts_of(i)[0])]
-    probe = ExampleIndex(terms, idf, [], [], [])
-    index = ExampleIndex(terms, idf, [probe.unit(*counts_of(i)) for i, _ in some], [y for _, y in some], [i for i, _ in some])
+    index = ExampleIndex(terms, idf, [unit(idf, *counts_of(i)) for i, _ in some], [y for _, y in some], [i for i, _ in some])
     index.base = (sum(y for _, y in among) + 0.5) / (len(among) + 1)
     quiet = [y for i, y in among if not len(counts_of(i)[0])]
     index.silent = (sum(quiet) + index.base) / (len(quiet) + 1)
     place = {i: k for k, i in enumerate(index.ids)}
+    del rows, words, terms, some, counted
+    give_back()  # the driver's JVM needs the room
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def voted(batches):
@@ -377,31 +406,32 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 16_384, max_term
     votes = sorted(sample.select("doc_id", "text").mapInArrow(voted, "k int, vote double").collect())  # max_examples rows
     index.calibrate([v for _, v in votes], [int(index.labels[k]) for k, _ in votes])
     sent.destroy()
-    sent_terms.destroy()
-    return index
+    give_back()
+    return index, bags
 
 
-def score(docs: DataFrame, index: ExampleIndex, threshold: float = 0.7) -> DataFrame:
+def score(docs: DataFrame, index: ExampleIndex, threshold: float = 0.7, bags: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, score, predicted, evidence (neighbours' doc_id, cosine, toxic).
 
     Texts without a word of the examples, null and empty ones among them, get the rate of toxic
     texts among examples without words. Repeated rows each return a row; other columns are ignored;
-    an empty table gives no rows; without labels every score is 0.5.
+    an empty table gives no rows; without labels every score is 0.5. bags: those of docs, if they are there already.
     """
     held = docs.sparkSession.sparkContext.broadcast(index)  # bounded by max_examples and their words
 
     def run(batches):
         model = held.value
-        bag = Numbered(model.number)
         for b in batches:
-            p, near = zip(*model.scores([bag(t.as_py()) for t in b.column(1)]), strict=True) if b.num_rows else ((), ())
+            counts = [tuple(np.frombuffer(x, np.int32) for x in bag) for bag in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            p, near = zip(*model.scores(counts), strict=True) if b.num_rows else ((), ())
             told = [[{"doc_id": model.ids[i], "cosine": s, "toxic": int(model.labels[i])} for s, i in x[:3]] for x in near]
             yield pa.record_batch(
                 [b.column(0), pa.array(p, pa.float64()), pa.array([int(x >= threshold) for x in p], pa.int32()), pa.array(told, pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())])))],
                 names=["doc_id", "score", "predicted", "evidence"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int, evidence array<struct<doc_id: long, cosine: double, toxic: int>>")
+    bags = bags_of(docs, list(index.number)) if bags is None else bags
+    return bags.mapInArrow(run, "doc_id long, score double, predicted int, evidence array<struct<doc_id: long, cosine: double, toxic: int>>")
 
 
 def held_out(doc_id="doc_id", parts: int = 3, part: int = 1):
@@ -411,5 +441,5 @@ def held_out(doc_id="doc_id", parts: int = 3, part: int = 1):
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    index = fit(docs, labels.where(~held_out()))
-    return score(docs, index).select("doc_id", held_out().alias("held_out"), "score", "predicted", "evidence")
+    index, bags = fit_with_bags(docs, labels.where(~held_out()))
+    return score(docs, index, bags=bags).select("doc_id", held_out().alias("held_out"), "score", "predicted", "evidence")
