@@ -1,11 +1,13 @@
 """Near duplicates: inverted join over MinHash coordinates, exact confirmation, components.
 
 1. Documents with one and the same shingle set form a class; the smallest doc_id stands for it.
-2. Each class posts itself under its 64 (coordinate, value) tokens. A pair of sets with Jaccard
-   similarity s agrees in a binomial(64, s) number of coordinates; pairs with at least
-   min_matches are candidates. Counting starts from short lists: with tokens in order of rising
-   frequency, a pair with that many matches meets in the first 64 - min_matches + 1 tokens
-   of both (prefix), and the long lists after it are skipped and probed by signature.
+2. Each class posts itself under 32 tokens, each of them the values of two of the 64 coordinates. A pair of
+   sets with Jaccard similarity s agrees in a binomial(64, s) number of coordinates and in a binomial(32, s * s)
+   number of tokens; pairs with at least min_matches and min_pairs are candidates. Texts that only share
+   common words agree in single coordinates, the more of them the larger the corpus is, but hardly in tokens.
+   Counting starts from short lists: with tokens in order of rising frequency, a pair with that many matches
+   meets in the first 32 - min_pairs + 1 tokens of both (prefix); the long lists after it are skipped, and the pair is
+   probed by one byte a coordinate.
 3. Candidates are gathered into clusters: every posting links its members to its most central one,
    by signature. In postings that still hold several clusters, all that isn't in the largest one is compared in
    blocks with everything, which returns a spanning forest of the candidate pairs and not the pairs.
@@ -25,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_table, documents, give_back, ship, skew_join
+from .common import as_table, bounded_broadcast, documents, give_back, ship, skew_join
 from .components import connected_components
-from .shingles import WordHashes, coefficients, shingle_set, signature
+from .shingles import WordHashes, coefficients, mix, shingle_set, signature
 
 ship(__name__)
 
 COORDINATES = 64
+PAIRS = COORDINATES // 2
 _SIGNED = "doc_id long, n long, set_hash binary, sig binary"
 
 
@@ -57,12 +60,25 @@ def _sign(width: int):
     return run
 
 
+def _matrix(column, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, COORDINATES)
+
+
 def _post(batches):
-    coordinate = np.arange(COORDINATES, dtype=np.int64) << 32
+    """Rows (doc, token). 40 bits tell tokens apart well enough, and the other bytes take no room in a shuffle."""
+    place = mix(np.arange(1, PAIRS + 1, dtype=np.uint64))
     for b in batches:
         if b.num_rows:
-            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, COORDINATES)
-            yield pa.record_batch([pa.array(np.repeat(b.column(0).to_numpy(), COORDINATES)), pa.array((sig + coordinate).ravel())], names=["doc", "token"])
+            sig = _matrix(b.column(1), np.uint32).astype(np.uint64)
+            token = mix((sig[:, ::2] << np.uint64(32) | sig[:, 1::2]) ^ place) >> np.uint64(24)
+            yield pa.record_batch([pa.array(np.repeat(b.column(0).to_numpy(), PAIRS)), pa.array(token.ravel().astype(np.int64))], names=["doc", "token"])
+
+
+def _add_probe(batches):
+    """Rows with a byte of each coordinate: equal coordinates stay equal, one of 256 others looks so."""
+    for b in batches:
+        sig = mix(_matrix(b.column(3), np.uint32).astype(np.uint64)).astype(np.uint8)
+        yield pa.record_batch([*b.columns, pa.array([x.tobytes() for x in sig], pa.binary())], names=["set_hash", "doc_id", "n", "sig", "probe"])
 
 
 def _groups(batches, keys: int):
@@ -121,14 +137,14 @@ def _sizes_allow(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _agreeing(min_matches: int, percent: int):
-    """Rows (token, p, q, doc, n, sig): a forest of the candidate pairs in each block pair."""
+    """Rows (token, p, q, doc, n, probe): a forest of the candidate pairs in each block pair."""
 
     def one(table):
         doc, n = (table.column(i).to_numpy() for i in (3, 4))
-        sig = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint32).reshape(-1, COORDINATES)
+        probe = _matrix(table.column(5), np.uint8)
         same = np.zeros((len(doc), len(doc)), np.uint8)
         for k in range(COORDINATES):
-            same += sig[:, k, None] == sig[:, k]
+            same += probe[:, k, None] == probe[:, k]
         return _forest((same >= min_matches) & _sizes_allow(n, percent), doc)
 
     return lambda batches: _edges(one(t) for _, t in _groups(batches, 3))
@@ -214,19 +230,38 @@ def _block_pairs(members: DataFrame, group: str, block: int, block_shingles: int
     return out.select(group, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "doc", "n", *(c for c in rest if c != "doc"))
 
 
+def _marked(rows: DataFrame, docs: DataFrame, bits: int = 26) -> DataFrame:
+    """rows(doc, text) whose doc is in docs(doc), and a few others; joins by doc that follow are exact.
+
+    No text is shuffled: tasks get a bitmap of hashed ids, 2^bits bits, and at most twice as much comes to the driver.
+    """
+    place = F.pmod(F.xxhash64("doc"), F.lit(1 << bits))
+    marks = docs.select(place.alias("p")).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, int(p & 63))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bitmap = np.zeros(1 << bits - 6, np.int64)
+    bitmap[marks.column(0).to_numpy()] = marks.column(1).to_numpy()
+    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches):
+        for b in batches:
+            p = b.column(2).to_numpy()
+            yield b.select([0, 1]).filter(pa.array(bitmap.value[p >> 6] >> (p & 63) & 1 == 1))
+
+    return rows.select("doc", "text", place.alias("p")).mapInArrow(run, "doc long, text binary")
+
+
 def _by_representatives(members: DataFrame, texts: DataFrame, width: int, percent: int, rounds: int = 2) -> DataFrame:
     """Edges (a, b) between representatives of clusters (c, doc) and the members they are linked with.
 
     A representative is drawn by hash from those that aren't linked with an earlier one. Each
-    round sends every member's text once, whatever the cluster's size.
+    round sends every member's text once at most, whatever the cluster's size; none if the representatives are few.
     """
-    edges, open_ = None, members
+    edges, open_, own = None, members, _table(texts.join(bounded_broadcast(members.select("c", "doc")), "doc"))
     for k in range(rounds):
         heads = _table(open_.groupBy("c").agg(F.min(F.struct(F.xxhash64("doc", F.lit(k)), "doc"))["doc"].alias("a")))
         if heads.isEmpty():
             break
-        of_heads = heads.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("head")), "a")
-        pairs = skew_join(members, of_heads, "c", "inner").where("a != doc").join(texts, "doc").select("a", F.col("doc").alias("b"), "head", "text")
+        of_heads = _table(own.join(heads.withColumnRenamed("a", "doc"), ["c", "doc"]).select("c", F.col("doc").alias("a"), F.col("text").alias("head")))
+        pairs = skew_join(own, of_heads, "c", "inner").where("a != doc").select("a", F.col("doc").alias("b"), "head", "text")
         found = _table(pairs.sortWithinPartitions("a").mapInArrow(_compared(width, percent), "a long, b long"))
         edges = found if edges is None else edges.unionByName(found)
         done = found.select(F.col("b").alias("doc")).union(heads.select("a"))
@@ -234,7 +269,7 @@ def _by_representatives(members: DataFrame, texts: DataFrame, width: int, percen
     return edges
 
 
-def near_components(docs: DataFrame, width: int = 5, percent: int = 80, min_matches: int = 34, block: int = 1024, block_shingles: int = 2_000_000) -> DataFrame:
+def near_components(docs: DataFrame, width: int = 5, percent: int = 80, min_matches: int = 34, min_pairs: int = 5, block: int = 1024, block_shingles: int = 2_000_000) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Null and blank texts have an empty set and link with nothing. Rows that repeat a doc_id each
@@ -243,41 +278,43 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, min_matc
     columns are ignored; an empty table gives no rows. Blocks hold about block documents and
     block_shingles shingles; a longer text makes a block of its own.
 
-    min_matches 34 of 64 lets a pair at similarity 0.80 through with probability above 1 - 1e-6.
+    min_matches 34 of 64 and min_pairs 5 of 32 let a pair at similarity 0.80 through with probability above 1 - 1e-6
+    (it misses the first with 3.2e-7, the second with 2.5e-9).
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
     signed = _table(docs.mapInArrow(_sign(width), _SIGNED))
     some = signed.where("doc_id IS NOT NULL AND set_hash IS NOT NULL")
-    classes = _table(some.groupBy("set_hash").agg(F.min(F.struct("doc_id", "n", "sig")).alias("m")).select("set_hash", "m.*"))
+    classes = some.groupBy("set_hash").agg(F.min(F.struct("doc_id", "n", "sig")).alias("m")).select("set_hash", "m.*")
+    classes = _table(classes.mapInArrow(_add_probe, "set_hash binary, doc_id long, n long, sig binary, probe binary"))
     known = docs.where("doc_id IS NOT NULL")
 
     tokens = classes.select("doc_id", "sig").mapInArrow(_post, "doc long, token long")
     often = tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
     shared = skew_join(tokens, often, "token", "inner")
-    room = COORDINATES - min_matches + 1
-    lists = shared.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("t"))  # 64 at most
+    room = PAIRS - min_pairs + 1
+    lists = shared.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("t"))  # 32 at most
     lists = lists.withColumn("shared", F.aggregate("t", F.lit(0.0), lambda s, x: s + F.log2(x["f"].cast("double"))))
-    prefix = F.slice("t", 1, F.greatest(F.lit(0), room - (COORDINATES - F.size("t"))))
+    prefix = F.slice("t", 1, F.greatest(F.lit(0), room - (PAIRS - F.size("t"))))
     postings = _table(lists.select("doc", "shared", F.explode(prefix).alias("x")).select("doc", "shared", "x.token"))
 
-    sigs = classes.select("doc_id", "n", "sig")
+    probes = classes.select(F.col("doc_id").alias("doc"), "n", "probe")
     heads = postings.groupBy("token").agg(F.max(F.struct("shared", (-F.col("doc")).alias("doc")))["doc"].alias("a"))
     stars = skew_join(postings, heads.select("token", (-F.col("a")).alias("a")), "token", "inner").where("a != doc").select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")).distinct()
-    stars = _table(_enough(stars, sigs, min_matches, percent))
+    stars = _table(_enough(stars, probes, min_matches, percent))
     near = connected_components(stars)
 
     placed = skew_join(postings, near.select(F.col("v").alias("doc"), "c"), "doc").select("token", "doc", F.coalesce("c", "doc").alias("c"))
     state = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("who")).where("lo < hi")
     open_ = state.groupBy("m", "who", "lo", "hi").agg(F.min("token").alias("token")).select("token", "m")  # equal lists once
-    mixed = skew_join(skew_join(placed, open_, "token", "inner").select("token", "c", "doc"), sigs.withColumnRenamed("doc_id", "doc"), "doc", "inner").select("token", F.col("c").alias("part"), "doc", "n", "sig")
+    mixed = skew_join(skew_join(placed, open_, "token", "inner").select("token", "c", "doc"), probes, "doc", "inner").select("token", F.col("c").alias("part"), "doc", "n", "probe")
     dealt = _block_pairs(mixed, "token", block, 64 * block_shingles).repartition("token", "p", "q").sortWithinPartitions("token", "p", "q")
     more = _table(dealt.mapInArrow(_agreeing(min_matches, percent), "a long, b long").distinct())
     if not more.isEmpty():
         near = connected_components(near.select(F.col("c").alias("a"), F.col("v").alias("b")).unionByName(more))
     clusters = near.select("c", F.col("v").alias("doc"))
 
-    texts = _table(known.select(F.col("doc_id").alias("doc"), "text").join(clusters.select("doc"), "doc", "left_semi"))
-    weighed = skew_join(clusters, sigs.groupBy("doc_id").agg(F.max("n").alias("n")).withColumnRenamed("doc_id", "doc"), "doc", "inner")
+    texts = _table(_marked(known.select(F.col("doc_id").alias("doc"), "text"), clusters.select("doc")))
+    weighed = skew_join(clusters, probes.groupBy("doc").agg(F.max("n").alias("n")), "doc", "inner")
     sizes = clusters.groupBy("c").agg(F.count("*").alias("m"))
     large = _table(skew_join(clusters, sizes.where(F.col("m") > block // 2), "c", "inner").select("c", "doc"))
     parted, links = weighed.withColumn("part", F.col("doc")), None
@@ -286,8 +323,9 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, min_matc
         parts = connected_components(links).select(F.col("v").alias("doc"), F.col("c").alias("part"))
         links = parts.select(F.col("part").alias("a"), F.col("doc").alias("b"))
         parted = skew_join(weighed, parts, "doc").select("c", "doc", "n", F.coalesce("part", "doc").alias("part"))
-    dealt = _block_pairs(_table(parted.select("c", "part", "doc", "n")), "c", block // 2, block_shingles).join(texts, "doc").select("c", "p", "q", "doc", "text")
-    edges = dealt.repartition("c", "p", "q").sortWithinPartitions("c", "p", "q").mapInArrow(_linked(width, percent), "a long, b long")
+    dealt = _table(_block_pairs(_table(parted.select("c", "part", "doc", "n")), "c", block // 2, block_shingles))
+    of_texts = texts.join(bounded_broadcast(dealt), "doc").select("c", "p", "q", "doc", "text")
+    edges = of_texts.repartition("c", "p", "q").sortWithinPartitions("c", "p", "q").mapInArrow(_linked(width, percent), "a long, b long")
     labels = connected_components(edges if links is None else edges.unionByName(links))
 
     named = classes.select("set_hash", F.col("doc_id").alias("v")).join(labels, "v", "left").select("set_hash", F.coalesce("c", "v").alias("c"))
@@ -296,16 +334,16 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, min_matc
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def _enough(pairs: DataFrame, sigs: DataFrame, min_matches: int, percent: int) -> DataFrame:
+def _enough(pairs: DataFrame, probes: DataFrame, min_matches: int, percent: int) -> DataFrame:
     """Pairs that agree in enough coordinates and whose set sizes allow the similarity."""
 
     def run(batches):
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint32).reshape(-1, COORDINATES) for i in (2, 3))
+            x, y = (_matrix(b.column(i), np.uint8) for i in (2, 3))
             keep = pa.array((x == y).sum(axis=1) >= min_matches)
             yield pa.record_batch([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
-    of_a, of_b = (sigs.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}")) for k in "ab")
+    of_a, of_b = (probes.select(F.col("doc").alias(k), F.col("n").alias(f"n{k}"), F.col("probe").alias(f"s{k}")) for k in "ab")
     both = skew_join(skew_join(pairs, of_b, "b", "inner"), of_a, "a", "inner").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 

@@ -136,6 +136,35 @@ def test_near_repeated_ids_are_one_document(make):
     assert sorted(zip(got.doc_id, got.component_id, strict=True)) == [(5, 5), (5, 5), (7, 5), (9, 5), (11, 11)]
 
 
+def shared_tokens(make, rows):
+    """Tokens of each text that another one has, too."""
+    from pyspark.sql import functions as F
+
+    docs = make(rows, extra=False).select("doc_id", F.encode("text", "utf-8").alias("text"))
+    signed = docs.mapInArrow(near_dedup._sign(2), near_dedup._SIGNED)
+    tokens = signed.select("doc_id", "sig").mapInArrow(near_dedup._post, "doc long, token long").toPandas()
+    return tokens.token.duplicated(keep=False).groupby(tokens.doc).sum()
+
+
+def test_near_texts_of_common_words_share_few_tokens(make):
+    """What goes through the join doesn't rise with texts that are only of the same words; near copies still meet."""
+    rows = [(k, prose(1000 + k, 200, 200)) for k in range(800)]
+    assert shared_tokens(make, rows).sum() < len(rows)
+    words = rows[0][1].split()
+    copy = " ".join(w if k not in (30, 90, 150) else f"e{k}" for k, w in enumerate(words))
+    assert (shared_tokens(make, [(1, rows[0][1]), (2, copy)]) >= 5).all()
+
+
+def test_near_marked_texts(spark):
+    """All rows of marked ids stay, whatever the bit that they fall on, and few others."""
+    rows = spark.range(-2000, 2000).selectExpr("id * 1000003 AS doc", "encode(string(id), 'utf-8') AS text")
+    docs = rows.where("doc % 8 = 0").select("doc")
+    got = {r.doc: bytes(r.text).decode() for r in near_dedup._marked(rows, docs, 16).collect()}
+    want = {k * 1000003 for k in range(-2000, 2000) if k % 8 == 0}
+    assert want <= set(got) and len(got) < len(want) + 200 and all(int(t) * 1000003 == d for d, t in got.items())
+    assert near_dedup._marked(rows, docs.where("false"), 16).count() == 0
+
+
 def test_components_of_a_chain_and_a_star(spark):
     """A chain of rising ids, whose vertices all hook onto their neighbours, and a star around its largest."""
     edges = [(k, k + 1) for k in range(40)] + [(100 + k, 999) for k in range(30)]
